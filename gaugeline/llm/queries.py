@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, sharding
-from .common import table
+from . import chat, mixing, near_dup, packing, sharding, token_files
+from .common import shared_path, table
+from .tokens import vocabulary
 
 
 def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,21 @@ def op3_min_cost_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", F.element_at("pattern", 1).alias("source"), "copies")
 
 
+def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "dropped", end=2, digest=F.crc32)
+    return packed.places.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.col("digest").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "class")
+
+
+def op6_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "token-ids")
+    token_files.write_token_ids(table(spark, sf_dir, "documents"), out, vocabulary("byte_bpe_50k.json"), "leading", end=0)
+    return token_files.with_checksum(token_files.read_token_ids(spark, out))
+
+
+def op9_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     probe = spark.sql(f"SELECT -1L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{control}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
@@ -36,7 +52,7 @@ def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op3_min_cost_mixing, op10_event_sourced_chat)}
+QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op3_min_cost_mixing, op5_harmonic_packing, op6_orc_token_files, op9_hyperminhash_near_dup, op10_event_sourced_chat)}
 
 _ESC = "replace(replace(coalesce({0}, ''), '&', '&amp;'), '<|', '&lt;|')"
 
