@@ -20,7 +20,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -122,19 +122,35 @@ def route(tokens: dict, quota: dict, passes: int = 2) -> dict:
     return routed
 
 
-def sized(df: DataFrame, key: str, text: str, sources, seed: int) -> DataFrame:
-    """key, size, pattern (sorted array of sources), prio (a seeded hash), bucket (its highest 12 bits) and row (an id that
-    holds once written). sources: a column of one source, or of an array of them."""
+def _member(df: DataFrame, sources: str) -> Column:
     kind = df.select(sources).schema[0].dataType
     member = F.array_sort(F.array_distinct(F.col(sources))) if isinstance(kind, T.ArrayType) else F.array(F.col(sources).cast("string"))
-    member = F.when(F.coalesce(F.size(member), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(member)
-    body = text_or_empty(text)
-    rows = df.select(F.col(key).alias("key"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), member.alias("pattern"), F.xxhash64(F.lit(seed), key, F.crc32(F.encode(body, "UTF-8"))).alias("prio"))
-    return rows.withColumn("bucket", F.shiftrightunsigned("prio", 52).cast("int")).withColumn("row", F.monotonically_increasing_id())
+    return F.when(F.coalesce(F.size(member), F.lit(0)) < 1, F.array(F.lit(None).cast("string"))).otherwise(member)
+
+
+def _prio(key: str, text: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.crc32(F.encode(text_or_empty(text), "UTF-8")))
+
+
+def _bucket(prio: str) -> Column:
+    return F.shiftrightunsigned(prio, 52).cast("int")
+
 
+def sized(df: DataFrame, key: str, text: str, sources: str, seed: int) -> DataFrame:
+    """key, size, pattern (sorted array of sources), prio (a seeded hash), bucket (its highest 12 bits) and row (an id that
+    holds once written). sources: a column of one source, or of an array of them."""
+    rows = df.select(F.col(key).alias("key"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), _member(df, sources).alias("pattern"), _prio(key, text, seed).alias("prio"))
+    return rows.withColumn("bucket", _bucket("prio")).withColumn("row", F.monotonically_increasing_id())
+
+
+def _passes(bucket: str) -> Column:
+    """Copies of a row away from its pattern's cut."""
+    return F.coalesce("full", F.lit(0)) + F.when(F.col(bucket) < F.col("cut"), 1).otherwise(0)
 
-def mix_rows(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, fills: int = 3, max_patterns: int = 100_000) -> tuple[DataFrame, dict, dict]:
-    """rows (of sized()) with copies; sizes and targets of sources."""
+
+def mix_rows(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, fills: int = 3, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame, dict, dict]:
+    """rows (of sized()) with copies and edge (whether they lie where a pattern is cut or fill a gap); full passes and
+    cut of each pattern; sizes and targets of sources."""
     spark = rows.sparkSession
     sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("bytes"))
     sums = stage(sums, "mix-sums")
@@ -175,13 +191,33 @@ def mix_rows(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
         gaps = gaps.join(best.select("pattern", "size"), "pattern", "left").select("pattern", "bucket", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
     chosen = picked.select("row").union(extra) if extra is not None else picked.select("row")
     marked = rows.join(F.broadcast(whole), "pattern", "left").join(chosen.withColumn("chosen", F.lit(1)), "row", "left")
-    copies = F.col("full") + F.when((F.col("cut").isNotNull() & (F.col("bucket") < F.col("cut"))) | F.col("chosen").isNotNull(), 1).otherwise(0)
-    return marked.withColumn("copies", F.least(F.lit(most), F.coalesce(copies, F.lit(0)))).drop("full", "rest", "cut", "chosen"), sizes, quota
+    picked_too = F.col("chosen").isNotNull()
+    copies = F.least(F.lit(most), _passes("bucket") + F.when(picked_too, 1).otherwise(0))
+    edge = picked_too | F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
+    return marked.withColumn("copies", copies).withColumn("edge", edge).drop("full", "rest", "cut", "chosen"), whole, sizes, quota
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sources: str = "source", seed: int = 20, **how) -> DataFrame:
     """key, size, pattern, copies, and of a single source its source_size and target."""
     rows = stage(sized(df, key, text, sources, seed), "mix-rows")
-    marked, sizes, quota = mix_rows(rows, **how)
+    marked, _, sizes, quota = mix_rows(rows, **how)
     info = df.sparkSession.createDataFrame([([s], n, float(quota[s])) for s, n in sizes.items()], "pattern array<string>, source_size long, target double")
     return marked.join(F.broadcast(info), "pattern", "left").withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", sources: str = "source", seed: int = 20, **how) -> DataFrame:
+    """The rows of df, each as often as the mix takes it. Texts aren't moved: a row's copies follow from its pattern and
+    hash, but for the few rows where a pattern is cut. Of equal rows there, as many are taken as the mix says."""
+    marked, plan, _, _ = mix_rows(stage(sized(df, key, text, sources, seed), "mix-rows"), **how)
+    edge = marked.filter("edge").groupBy(F.col("prio").alias("__prio2"), F.col("key").alias("__key2")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    edge = stage(edge, "mix-edge-rows")
+    rows = df.withColumn("__pattern", _member(df, sources)).withColumn("__prio", _prio(key, text, seed)).withColumn("__bucket", _bucket("__prio"))
+    plan = plan.select(F.col("pattern").alias("__pattern"), F.col("full").alias("__full"), F.col("cut").alias("__cut"))
+    rows = rows.join(F.broadcast(plan), "__pattern", "left").join(edge, (F.col("__prio") == F.col("__prio2")) & F.col(key).eqNullSafe(F.col("__key2")), "left")
+    away = F.coalesce("__full", F.lit(0)) + F.when(F.col("__bucket") < F.col("__cut"), 1).otherwise(0)
+    out = rows.filter("__rows is null or __rows = 1").withColumn("__n", F.coalesce(F.col("__copies"), away).cast("int"))
+    if not edge.filter("__rows > 1").isEmpty():
+        crowd = rows.filter("__rows > 1").withColumn("__at", F.row_number().over(Window.partitionBy("__prio", key).orderBy("__prio")))
+        share = lambda at: F.floor(F.col("__copies") * at / F.col("__rows"))
+        out = out.unionByName(crowd.withColumn("__n", (share(F.col("__at")) - share(F.col("__at") - 1)).cast("int")).drop("__at"))
+    return out.filter("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(df.columns)

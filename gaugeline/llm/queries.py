@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, near_dup, packing, sharding, token_files
+from . import chat, code_search, mixing, near_dup, packing, pii, quality, sharding, token_counts, token_files
 from .common import shared_path, table
 from .tokens import vocabulary
 
@@ -15,11 +15,20 @@ def op1_virtual_slot_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", F.col("version").alias("map_version"))
 
 
+def op2_offset_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), rule="start")
+
+
 def op3_min_cost_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken", F.element_at("pattern", 1).alias("source"), "copies")
 
 
+def op4_isolation_forest_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op5_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), "dropped", end=2, digest=F.crc32)
     return packed.places.select("doc_id", "start", F.col("length").cast("long").alias("length"), F.col("digest").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "class")
@@ -31,6 +40,19 @@ def op6_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksum(token_files.read_token_ids(spark, out))
 
 
+def op7_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.array(*[F.lit(k) for k in pii.KINDS])
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"], s["stop"])), ",")
+    count = lambda i: F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long")
+    counts = [count(i).alias(f"n_{k}") for i, k in enumerate(pii.KINDS)]
+    return pii.find(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(F.encode(said("base"), "UTF-8"), 256).alias("base_sha256"), said("spans").alias("spans"))
+
+
+def op8_multi_index_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return code_search.search(vectors, vectors.filter("vec_id % 100 = 0"), k=10)
+
+
 def op9_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,11 +74,18 @@ def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op3_min_cost_mixing, op5_harmonic_packing, op6_orc_token_files, op9_hyperminhash_near_dup, op10_event_sourced_chat)}
+QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op2_offset_token_counts, op3_min_cost_mixing, op4_isolation_forest_quality, op5_harmonic_packing, op6_orc_token_files, op7_bootstrapped_pii, op8_multi_index_code_search, op9_hyperminhash_near_dup, op10_event_sourced_chat)}
 
 _ESC = "replace(replace(coalesce({0}, ''), '&', '&amp;'), '<|', '&lt;|')"
 
 ORACLES = {
+    "op8_multi_index_code_search": """
+WITH c AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE embedding IS NOT NULL),
+d AS (SELECT a.id AS query_id, b.id AS neighbour_id, CAST(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance
+  FROM c a JOIN c b ON a.id % 100 = 0 AND a.id <> b.id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, neighbour_id, distance FROM r WHERE rank <= 10
+""",
     "op10_event_sourced_chat": f"""
 WITH c AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
