@@ -190,4 +190,7 @@ def aggregated_experts(cal: DataFrame, test: DataFrame, *keys: str, low: str, hi
     at = Window.partitionBy(*keys, "i")
     for end in ("lo", "hi"):
         flat = flat.withColumn(f"w_{end}", F.exp(-d(eta) * (F.col(f"loss_{end}") - F.min(f"loss_{end}").over(at))))
-    return flat.groupBy(*keys, "i").agg(F.first("y").alias("y"), *[(F.sum(F.col(f"w_{e}") * F.col(e)) / F.sum(f"w_{e}")).alias(e) for e in ("lo", "hi")])
+    for end in ("lo", "hi"):  # means are taken from the least: experts that agree give just what they say
+        flat = flat.withColumn(f"least_{end}", F.min(end).over(at))
+    mean = lambda e: F.first(f"least_{e}") + F.sum(F.col(f"w_{e}") * (F.col(e) - F.col(f"least_{e}"))) / F.sum(f"w_{e}")
+    return flat.groupBy(*keys, "i").agg(F.first("y").alias("y"), mean("lo").alias("lo"), mean("hi").alias("hi"))

@@ -14,11 +14,15 @@ from ..functions.scalar import epoch_us, from_epoch_s
 HOUR = 3600
 
 
-def binned(df: DataFrame, series: Column, ts: str, value: str, step: int = HOUR, decimals: int = 6) -> DataFrame:
-    """series, slot, v: the mean reading per bin, closed and labelled on the left. Kept to some decimals, so later
-    results don't depend on the order of a sum."""
+def grained(x: Column, grain: int = 1024) -> Column:
+    return F.floor(x * float(grain) + 0.5).cast("double") / float(grain)
+
+
+def binned(df: DataFrame, series: Column, ts: str, value: str, step: int = HOUR, grain: int = 1024) -> DataFrame:
+    """series, slot, v: the mean reading per bin, closed and labelled on the left. Kept to 1 / grain, a power of two: sums
+    of such readings are exact, so later results don't depend on the order of a sum."""
     slot = F.floor(epoch_us(F.col(ts)) / (step * 1_000_000)).cast("long")
-    return df.select(series.alias("series"), slot.alias("slot"), F.col(value).alias("v")).groupBy("series", "slot").agg(F.round(F.avg("v"), decimals).alias("v"))
+    return df.select(series.alias("series"), slot.alias("slot"), F.col(value).alias("v")).groupBy("series", "slot").agg(grained(F.avg("v"), grain).alias("v"))
 
 
 def dense(cells: DataFrame, *keys: str) -> DataFrame:
@@ -29,14 +33,14 @@ def dense(cells: DataFrame, *keys: str) -> DataFrame:
     return grid.join(cells, [*keys, "slot"], "left").withColumn("observed", F.col("v").isNotNull())
 
 
-def session_grid(df: DataFrame, series: Column, ts: str, value: str, step: int = HOUR, hours: tuple[int, int] = (7, 16), decimals: int = 6) -> DataFrame:
+def session_grid(df: DataFrame, series: Column, ts: str, value: str, step: int = HOUR, hours: tuple[int, int] = (7, 16), grain: int = 1024) -> DataFrame:
     """Sessions are a series' days, within hours of the day. A session's slots run from the floor of its first reading to
     the ceiling of its last; a session without length has none."""
     us = epoch_us(F.col(ts))
     rows = df.select(series.alias("series"), F.to_date(ts).alias("day"), us.alias("us"), F.col(value).alias("v"), F.hour(ts).alias("hour")).filter(F.col("hour").between(*hours))
     width = step * 1_000_000
     span = rows.groupBy("series", "day").agg(F.floor(F.min("us") / width).alias("lo"), F.ceil(F.max("us") / width).alias("hi")).filter("hi > lo")
-    cells = rows.groupBy("series", "day", F.floor(F.col("us") / width).alias("slot")).agg(F.round(F.avg("v"), decimals).alias("v"))
+    cells = rows.groupBy("series", "day", F.floor(F.col("us") / width).alias("slot")).agg(grained(F.avg("v"), grain).alias("v"))
     grid = span.select("series", "day", F.explode(F.sequence("lo", "hi")).alias("slot"))
     return grid.join(cells, ["series", "day", "slot"], "left").withColumn("observed", F.col("v").isNotNull())
 

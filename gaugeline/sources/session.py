@@ -6,6 +6,7 @@ import os
 import shutil
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,13 @@ def ship(spark: SparkSession) -> SparkSession:
     to = tempfile.mkdtemp(prefix="gaugeline-")
     sc.addPyFile(shutil.make_archive(f"{to}/gaugeline", "zip", root, "gaugeline"))
     return spark
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that the driver and all executors see, which a cluster names in spark.checkpoint.dir."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not root:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeline-"))
+        root = sc.getCheckpointDir()
+    return f"{root.rstrip('/')}/gaugeline/{name}-{uuid4().hex}"
