@@ -1,25 +1,37 @@
 """Whole-text encoding with public tokenizers, by words.
 
-Both vocabularies used here cut at white space before anything else, so a text's ids are those of its words, one after
-the other, as long as each word keeps the white space that belongs to it. Words repeat, so each worker remembers the ids
-of words it has met (a bounded dictionary, emptied when full) and hands only new ones to the tokenizers library, many in
-one call. Texts whose white space isn't plain are encoded whole. Ids are little-endian unsigned 32-bit integers, as
-bytes. Control strings inside texts are ordinary text.
+Both vocabularies used here cut a text at white space, and between letters and sentence marks, before anything else. So a
+text's ids are those of its segments, one after the other, as long as a segment keeps the white space that belongs to it.
+Segments repeat: a worker finds and hashes those of a batch of texts with array operations, looks them up in a table of
+bounded size, and hands only new ones to the tokenizers library, many in one call. Texts whose white space isn't plain
+are encoded whole. Control strings inside texts are ordinary text.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that a worker remembers, and code points of the longest one that it does.
-REMEMBER, LONGEST = 400_000, 64
+#: Segments that a worker remembers (some 50 bytes each), and bytes of the longest one that it does.
+REMEMBER, LONGEST = 1_200_000, 96
+_SLOTS = 22
+_U = np.uint64
 _loaded: dict = {}
 
+# Fixed random numbers for hashes: a value per byte, and an odd base whose successor isn't a multiple of 8.
+_rng = np.random.default_rng(20)
+_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = 0x9E3779B97F4A7C13
+_INVERSE = pow(_BASE, -1, 2**64)
+_SPACE, _LINE = 32, 10
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?")] = True
+
 
 def vocabulary(name: str) -> str:
     import public_tokenizers
@@ -27,112 +39,275 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def _as_bytes(ids: Iterable[int]) -> bytes:
-    return np.asarray(ids, dtype="<u4").tobytes()
+def _powers(n: int):
+    """Powers of the base and of its inverse, 0 to n, modulo 2 ** 64."""
+    have = _loaded.get("powers")
+    if have is None or len(have[0]) <= n:
+        size = max(n + 1, 1 << 16)
+        out = []
+        for b in (_BASE, _INVERSE):
+            p = np.full(size, b, np.uint64)
+            p[0] = 1
+            out.append(np.multiply.accumulate(p))
+        _loaded["powers"] = have = tuple(out)
+    return have
+
+
+class _Memory:
+    """Hash to ids, in arrays: open addressing, ids in one flat array. Emptied when full."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << _SLOTS, np.uint64)
+        self.at = np.zeros(1 << _SLOTS, np.int32)
+        self.n = self.used = 0
+        self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+
+    def _slot(self, keys):
+        return (keys >> _U(64 - _SLOTS)).astype(np.int64)
+
+    def find(self, keys):
+        """The number of each key's entry; -1 for none."""
+        out = np.full(len(keys), -1, np.int64)
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            there = self.keys[slot]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.at[slot[hit]]
+            go = ~hit & (there != 0)
+            open_, slot = open_[go], (slot[go] + 1) & ((1 << _SLOTS) - 1)
+        return out
+
+    def add(self, keys, ids: list) -> None:
+        """New, distinct keys with their ids."""
+        n = len(keys)
+        while self.n + n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        lengths = np.fromiter(map(len, ids), np.int64, n)
+        flat = np.concatenate(ids) if n else np.empty(0, np.uint32)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[self.n : self.n + n] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[self.n : self.n + n] = lengths
+        number = np.arange(self.n, self.n + n)
+        self.n, self.used = self.n + n, self.used + len(flat)
+        slot, left = self._slot(keys), np.arange(n)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.at[slot[put]] = keys[left[put]], number[left[put]]
+            go = np.ones(len(left), bool)
+            go[put] = False
+            left, slot = left[go], (slot[go] + 1) & ((1 << _SLOTS) - 1)
 
 
 class _Encoder:
+    lower = False
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.memory = _Memory()
+        vocabulary = self.library.get_vocab()
+        self.lengths = np.zeros(self.library.get_vocab_size(), np.int64)
+        self.marked = np.zeros(len(self.lengths), bool)
+        for token, i in vocabulary.items():
+            self.lengths[i] = len(token)  # each character of a byte-level token stands for a byte
+            self.marked[i] = self.marks(token)
+
+    def whole(self, texts: list[str]) -> list:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def joined(self, texts: list[str], glue: str, lead: str, cut) -> list:
+        """Ids of segments that are encoded some hundreds at a time; cut finds where each begins and ends."""
+        out: list = []
+        for i in range(0, len(texts), 400):
+            some = texts[i : i + 400]
+            ids = self.whole([lead + glue.join(some)])[0]
+            starts, ends = cut(ids)
+            if len(starts) == len(some) == len(ends):
+                out += [ids[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            else:
+                out += self.whole([lead + t for t in some])
+        return out
+
+    def cuts(self, b, first):
+        """Whether a segment begins at each byte. first: where texts begin."""
+        raise NotImplementedError
+
+    def encode_flat(self, texts: list[str]):
+        """(ids, starts): the ids of all texts one after the other, and where each text's begin, with the end."""
+        raw = [t.encode() for t in texts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        firsts = np.cumsum(sizes) - sizes
+        b = np.frombuffer(b"".join(raw), np.uint8)
+        if not len(b):
+            return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        begin = np.zeros(len(b), bool)
+        begin[firsts[sizes > 0]] = True
+        cut, kept = self.cuts(b, begin)
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(b))
+        shown = b
+        if self.lower:  # only where all is ASCII: elsewhere case and composition don't commute
+            high = np.add.reduceat((b >= 128).astype(np.int32), starts) > 0
+            up = (b >= 65) & (b <= 90) & np.repeat(~high, ends - starts)
+            shown = np.where(up, b | 32, b).astype(np.uint8)
+        if kept is not None:  # segments of white space alone are dropped
+            use = kept[starts]
+            starts, ends = starts[use], ends[use]
+        power, back = _powers(len(b))
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_VALUE[shown] * power[: len(b)], out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * back[starts]
+        keys = (keys ^ (keys >> _U(29))) * _U(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
+        keys ^= keys >> _U(32)
+        keys[keys == 0] = 1
+        if self.memory.n > REMEMBER:
+            self.memory.clear()
+        number = self.memory.find(keys)
+        lacking = np.flatnonzero(number < 0)
+        extra: list = []
+        if len(lacking):
+            new, where, inverse = np.unique(keys[lacking], return_index=True, return_inverse=True)
+            at = lacking[where]
+            data = shown.tobytes()
+            words = [data[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            ids = self.fresh(words)
+            base = self.memory.n
+            short = (ends[at] - starts[at]) <= LONGEST
+            self.memory.add(new[short], [x for x, ok in zip(ids, short, strict=True) if ok])
+            extra = [x for x, ok in zip(ids, short, strict=True) if not ok]
+            named = np.empty(len(new), np.int64)
+            named[short] = base + np.arange(int(short.sum()))
+            named[~short] = -2 - np.arange(len(extra))
+            number[lacking] = named[inverse]
+        flat, from_, many = self.memory.flat[: self.memory.used], self.memory.starts[: self.memory.n], self.memory.lengths[: self.memory.n]
+        if extra:
+            long_starts = len(flat) + np.cumsum([0, *map(len, extra)])[:-1]
+            flat = np.concatenate([flat, *extra])
+            from_, many = np.concatenate((from_, long_starts)), np.concatenate((many, [len(x) for x in extra]))
+            number = np.where(number < 0, self.memory.n - 2 - number, number)
+        lengths = many[number].astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(lengths)))
+        ids = flat[np.repeat(from_[number] - upto[:-1], lengths) + np.arange(upto[-1])]
+        segment = np.searchsorted(starts, np.append(firsts, len(b)), "left")
+        return ids, upto[segment]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        plain = [i for i, t in enumerate(texts) if not self.is_odd(t)]
+        out = [b""] * len(texts)
+        ids, starts = self.encode_flat([texts[i] for i in plain])
+        raw, at = ids.astype("<u4", copy=False).tobytes(), (4 * starts).tolist()
+        for k, i in enumerate(plain):
+            out[i] = raw[at[k] : at[k + 1]]
+        if len(plain) < len(texts):
+            rest = sorted(set(range(len(texts))) - set(plain))
+            for i, x in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+                out[i] = x.astype("<u4", copy=False).tobytes()
+        return out
+
+    def is_odd(self, text: str) -> bool:
+        return False
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [_as_bytes(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def remember(self, new: dict[str, bytes]) -> None:
-        if len(self.known) + len(new) > REMEMBER:
-            self.known.clear()
-        self.known.update((w, b) for w, b in new.items() if len(w) <= LONGEST)
+def _between(b):
+    """Whether a byte begins a run of sentence marks after an ASCII letter, or the other way round."""
+    out = np.zeros(len(b), bool)
+    letter, mark = _LETTER[b], _MARK[b]
+    out[1:] = (letter[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    return out
 
 
 class DroppedSpaceEncoder(_Encoder):
-    """White space separates words and leaves no ids."""
+    """White space separates words and leaves no ids; case is dropped. The last token of a word is marked as its end."""
 
-    MARK = "\x01"
+    lower = True
+    GLUE = " \x01 "
 
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        self.mark = self.library.encode(self.MARK, add_special_tokens=False).ids
-
-    def fresh(self, words: list[str]) -> dict[str, bytes]:
-        plain, rest = [w for w in words if self.MARK not in w], [w for w in words if self.MARK in w]
-        out = dict(zip(rest, self.whole(rest), strict=True))
-        if len(self.mark) != 1:
-            return out | dict(zip(plain, self.whole(plain), strict=True))
-        for i in range(0, len(plain), 20_000):
-            some = plain[i : i + 20_000]
-            ids = np.frombuffer(self.whole([f" {self.MARK} ".join(some)])[0], "<u4")
-            ends = np.flatnonzero(ids == self.mark[0])
-            starts = np.concatenate(([0], ends + 1))
-            raw = ids.tobytes()
-            out.update((w, raw[a:b]) for w, a, b in zip(some, (starts * 4).tolist(), (np.append(ends, len(ids)) * 4).tolist(), strict=True))
+        self.glue = self.whole(["\x01"])[0]
+
+    def marks(self, token: str) -> bool:
+        return token.endswith("</w>")
+
+    def cuts(self, b, begin):
+        space = (b == _SPACE) | (b == _LINE)
+        cut = begin | space | _between(b)
+        cut[1:] |= space[:-1]
+        return cut, ~space
+
+    def fresh(self, words: list[str]) -> list:
+        """Alphabetic words end where a marked token is; between others stands a word of its own."""
+
+        def ended(ids):
+            ends = np.flatnonzero(self.marked[ids]) + 1
+            return np.concatenate(([0], ends[:-1])) if len(ends) else ends, ends
+
+        def glued(ids):
+            at = np.flatnonzero(ids == self.glue[0])
+            return np.concatenate(([0], at + 1)), np.append(at, len(ids))
+
+        out: list = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if w.isalpha()]
+        rest = [i for i, w in enumerate(words) if not w.isalpha() and "\x01" not in w] if len(self.glue) == 1 else []
+        for some, glue, cut in ((plain, " ", ended), (rest, self.GLUE, glued)):
+            for i, ids in zip(some, self.joined([words[i] for i in some], glue, "", cut), strict=True):
+                out[i] = ids
+        lone = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(lone, self.whole([words[i] for i in lone]), strict=True):
+            out[i] = ids
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
-        get = self.known.get
-        parts = [list(map(get, r)) for r in rows]
-        lacking = [i for i, p in enumerate(parts) if None in p]
-        new = self.fresh(list({w for i in lacking for w, p in zip(rows[i], parts[i], strict=True) if p is None}))
-        for i in lacking:
-            parts[i] = [new[w] if p is None else p for w, p in zip(rows[i], parts[i], strict=True)]
-        self.remember(new)
-        return [b"".join(p) for p in parts]
-
 
 class LeadingSpaceEncoder(_Encoder):
     """Byte-level: a single blank goes with the word after it, a line end stands alone."""
 
+    def marks(self, token: str) -> bool:
+        return token[0] == "Ġ"
+
     def __init__(self, path: str) -> None:
         super().__init__(path)
-        size = self.library.get_vocab_size()
-        self.opens = np.zeros(size, bool)
-        self.lengths = np.zeros(size, np.int64)
-        for token, i in self.library.get_vocab().items():
-            self.opens[i] = token[0] in "ĠĊ"
-            self.lengths[i] = len(token)  # each character of a byte-level token stands for a byte
+        self.line = int(self.whole(["\n"])[0][0])
 
-    @staticmethod
-    def odd(word: str) -> bool:
-        """Whether white space in or beside a word isn't plain. A word after a line end begins with it."""
-        body = word[1:] if word[:1] == "\n" else word
-        return body.split() != [body]
-
-    def fresh(self, words: list[str]) -> dict[str, bytes]:
-        out: dict[str, bytes] = {}
-        for i in range(0, len(words), 20_000):
-            some = words[i : i + 20_000]
-            raw = self.whole(["".join([w if w[0] == "\n" else " " + w for w in some])])[0]
-            starts = np.flatnonzero(self.opens[np.frombuffer(raw, "<u4")]) * 4
-            if len(starts) == len(some):
-                out.update((w, raw[a:b]) for w, a, b in zip(some, starts.tolist(), [*starts[1:].tolist(), len(raw)], strict=True))
-            else:
-                out.update(zip(some, self.whole([w if w[0] == "\n" else " " + w for w in some]), strict=True))
-        return out
+    def is_odd(self, text: str) -> bool:
+        """Whether white space isn't single blanks and line ends between words."""
+        return text != "" and len(text.split()) - 1 != text.count(" ") + text.count("\n") or any(c in text for c in _STRANGE)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        rows = [t.replace("\n", " \n").split(" ") for t in texts]
-        firsts = [r.pop(0) for r in rows]
-        heads = self.whole(firsts)
-        get = self.known.get
-        parts = [list(map(get, r)) for r in rows]
-        lacking = [i for i, p in enumerate(parts) if None in p]
-        new, odd = {}, {i for i, w in enumerate(firsts) if texts[i] and self.odd(w)}
-        wanted = {w for i in lacking for w, p in zip(rows[i], parts[i], strict=True) if p is None}
-        strange = {w for w in wanted if self.odd(w)}
-        new = self.fresh(list(wanted - strange))
-        for i in lacking:
-            if strange and not strange.isdisjoint(rows[i]):
-                odd.add(i)
-            elif i not in odd:
-                parts[i] = [new[w] if p is None else p for w, p in zip(rows[i], parts[i], strict=True)]
-        self.remember(new)
-        for i, raw in zip(sorted(odd), self.whole([texts[i] for i in sorted(odd)]), strict=True):
-            heads[i], parts[i] = raw, []
-        return [h + b"".join(p) for h, p in zip(heads, parts, strict=True)]
+    def cuts(self, b, begin):
+        line = b == _LINE
+        cut = begin | (b == _SPACE) | line | _between(b)
+        cut[1:] |= line[:-1]
+        return cut, None
+
+    def fresh(self, words: list[str]) -> list:
+        def spaced(ids):
+            starts = np.flatnonzero(self.marked[ids])
+            return starts, np.append(starts[1:], len(ids))
+
+        def lined(ids):
+            at = np.flatnonzero(ids == self.line)
+            return np.concatenate(([0], at + 1)), np.append(at, len(ids))
+
+        out: list = [None] * len(words)
+        led = [i for i, w in enumerate(words) if w[0] == " "]
+        bare = [i for i, w in enumerate(words) if w[0] not in " \n"]
+        for some, glue, cut in ((led, "", spaced), (bare, "\n", lined)):
+            for i, ids in zip(some, self.joined([words[i] for i in some], glue, "", cut), strict=True):
+                out[i] = ids
+        return [x if x is not None else np.array([self.line], np.uint32) for x in out]
+
+
+#: White space other than blank and line end, as str.split() has it.
+_STRANGE = [chr(c) for c in range(0x3001) if chr(c).isspace() and c not in (_SPACE, _LINE)]
 
 
 def encoder(path: str, space: str):
@@ -142,7 +317,7 @@ def encoder(path: str, space: str):
     return _loaded[path, space]
 
 
-def batches(texts: list[str | None], most: int = 2_000_000):
+def batches(texts: list[str | None], most: int = 400_000):
     """(index, texts) of runs of texts of about `most` code points, nulls as empty, so memory stays bounded."""
     at, run, n = 0, [], 0
     for i, t in enumerate(texts):
