@@ -45,15 +45,17 @@ def _deal(items: Column, loads: Column) -> Column:
 
 
 def edit_map(totals: DataFrame, n_shards: int, old: DataFrame | None = None) -> DataFrame:
-    """A slot map (virtual_slot, bytes, records, shard) for n_shards. With an old map, each shard keeps its slots,
-    largest first, up to the new mean; only what is above it, and slots that the old map lacks, is dealt anew."""
+    """A slot map (virtual_slot, bytes, records, shard) for n_shards. With an old map, each shard gives
+    up small slots until it is down to the new mean; these, and slots that the old map lacks, are dealt anew."""
     mean = totals.agg((F.sum("bytes") / n_shards).alias("mean"))
     if old is None:
         held = totals.withColumn("kept", F.lit(None).cast("int"))
     else:
-        by_shard = Window.partitionBy("shard").orderBy(F.desc("bytes"), "virtual_slot").rowsBetween(Window.unboundedPreceding, 0)
-        held = totals.join(F.broadcast(old.select("virtual_slot", "shard")), "virtual_slot", "left").withColumn("sum", F.sum("bytes").over(by_shard)).crossJoin(F.broadcast(mean))
-        held = held.withColumn("kept", F.when((F.col("shard") < n_shards) & (F.col("sum") <= F.col("mean")), F.col("shard"))).drop("sum", "mean", "shard")
+        shard = Window.partitionBy("shard")
+        before = F.coalesce(F.sum("bytes").over(shard.orderBy("bytes", "virtual_slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        held = totals.join(F.broadcast(old.select("virtual_slot", "shard")), "virtual_slot", "left").withColumn("before", before).withColumn("load", F.sum("bytes").over(shard)).crossJoin(F.broadcast(mean))
+        stays = (F.col("shard") < n_shards) & (F.col("before") >= F.col("load") - F.col("mean"))
+        held = held.withColumn("kept", F.when(stays, F.col("shard"))).drop("before", "load", "mean", "shard")
     item = F.struct((-F.col("bytes")).alias("order"), "virtual_slot", "bytes", "records", "kept")
     one = held.agg(F.array_sort(F.collect_list(F.when(F.col("kept").isNull(), item))).alias("free"), F.array_sort(F.collect_list(F.when(F.col("kept").isNotNull(), item))).alias("held"))
     loads = F.transform(F.sequence(F.lit(0), F.lit(n_shards - 1)), lambda k: F.aggregate("held", F.lit(0).cast("long"), lambda s, x: s + F.when(x["kept"] == k, x["bytes"]).otherwise(F.lit(0).cast("long"))))
