@@ -2,14 +2,15 @@
 
 A document's set holds its distinct five-word shingles. Each shingle hash falls into one of 128 buckets by its highest
 bits; a bucket keeps its smallest hash, compressed to a count of leading zeros and ten mantissa bits (HyperMinHash
-registers, 16 bits each). Bands of four registers are keys; documents that share a key are candidates. Candidate pairs
+registers, 16 bits each). Sets too small to fill buckets are hashed into each of them anew, since a band of buckets that
+hold one shingle between them would make candidates of all documents that share a line. Bands of four registers are keys; documents that share a key are candidates. Candidate pairs
 whose similarity, estimated from equal registers less the expected number of register collisions, is far below the
 threshold are left out (five standard deviations); the others are confirmed on full sets of 64-bit shingle hashes.
 
 Only texts with equal sets fall into one class beforehand. Large groups are not expanded into pairs: first each document
 meets the smallest document of the keys it shares most, then the other keys' smallest ones as far as they are in
-another component by then, then, in keys that still hold several components, documents of different components meet.
-So the components are those of all links among candidates. A pair at similarity 0.75 shares no key of 32 with
+another component by then, then, in keys that still hold several components, documents of different components are
+compared in blocks. So the components are those of all links among candidates. A pair at similarity 0.75 shares no key of 32 with
 probability (1 - 0.75 ** 4) ** 32, about 5e-6, for large sets, and less for small ones.
 
 Defined results: words of fewer than five are one shingle; without words or text the set is empty and links to
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from .common import stage
 
 WORDS, BUCKET_BITS, MANTISSA_BITS, ROWS = 5, 7, 10, 4
+#: Sizes of sets that have the sketch for large and that for small ones: 512 times 0.75, and 512 by 0.75.
+FEW, MANY = 384, 683
+#: The most documents and shingles of a block, about.
+BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
 #: The most rows that are sent to all executors; beyond it both sides are dealt out.
 SEND = 1_000_000
 SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
@@ -64,26 +69,44 @@ def _word_hashes() -> dict:
     return Known()
 
 
+def _register(smallest):
+    """(leading zeros + 1) << 10 | mantissa of 64-bit hashes."""
+    import numpy as np
+
+    zeros = (64 - np.frexp(smallest.astype(np.float64))[1]).clip(0, 60).astype(np.uint64)
+    mantissa = (smallest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS)
+    return ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS) | mantissa).astype(np.uint16)
+
+
 def registers(shingles):
-    """128 registers of 16 bits: (leading zeros + 1) << 10 | mantissa of each bucket's smallest hash; 0 where empty."""
+    """Two sketches of 128 registers each. For sets of at most MANY shingles, each register has a hash function of its own
+    and sees the whole set; for sets of at least FEW, one hash deals the set out to 128 buckets, so the work doesn't grow
+    with the registers. Sets between have both, and sets that are similar enough have one in common. 0: not there."""
     import numpy as np
 
-    out = np.zeros(1 << BUCKET_BITS, np.uint16)
-    if not len(shingles):
-        return out
-    bucket = (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    first = np.flatnonzero(np.diff(bucket, prepend=-1))
-    rest = (shingles[first] << np.uint64(BUCKET_BITS)) | np.uint64(1 << (BUCKET_BITS - 1))
-    zeros = (64 - np.frexp(rest.astype(np.float64))[1]).clip(0, 62).astype(np.uint64)
-    mantissa = (rest << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA_BITS)
-    out[bucket[first]] = ((zeros + np.uint64(1)) << np.uint64(MANTISSA_BITS) | mantissa).astype(np.uint16)
+    out = np.zeros(2 << BUCKET_BITS, np.uint16)
+    n = len(shingles)
+    if 0 < n <= MANY:
+        odd = np.random.default_rng(11).integers(0, 2**63, 1 << BUCKET_BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) if registers.odd is None else registers.odd
+        registers.odd = odd
+        out[: 1 << BUCKET_BITS] = _register((shingles[:, None] * odd).min(0) | np.uint64(1))
+    if n >= FEW:
+        bucket = (shingles >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        first = np.flatnonzero(np.diff(bucket, prepend=-1))
+        out[(1 << BUCKET_BITS) + bucket[first]] = _register((shingles[first] << np.uint64(BUCKET_BITS)) | np.uint64(1))
     return out
 
 
+registers.odd = None
+
+
 def estimate(a, b, n_a, n_b):
-    """Similarity of pairs from their registers, corrected for registers that are equal by chance; and buckets used."""
+    """Similarity of pairs from their registers, corrected for registers that are equal by chance; and registers used."""
     import numpy as np
 
+    half = 1 << BUCKET_BITS
+    small = ((a[:, 0] != 0) & (b[:, 0] != 0))[:, None]
+    a, b = np.where(small, a[:, :half], a[:, half:]), np.where(small, b[:, :half], b[:, half:])
     used = ((a != 0) | (b != 0)).sum(1)
     equal = ((a == b) & (a != 0)).sum(1)
     ratio = np.maximum(n_a, n_b) / np.maximum(1, np.minimum(n_a, n_b))
@@ -105,7 +128,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
                 n.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(registers(s).view("<i8"))
-            many = (1 << BUCKET_BITS) // ROWS
+            many = (2 << BUCKET_BITS) // ROWS
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * many), pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "bands"])
 
@@ -153,7 +176,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         import numpy as np
 
         for batch in found:
-            r = [np.asarray(batch.column(c).values).view("<u2").reshape(-1, 1 << BUCKET_BITS) for c in ("r_a", "r_b")]
+            r = [np.asarray(batch.column(c).values).view("<u2").reshape(-1, 2 << BUCKET_BITS) for c in ("r_a", "r_b")]
             j, used = estimate(*r, *(np.asarray(batch.column(c)) for c in ("n_a", "n_b")))
             p = percent / 100
             keep = j >= p - 5 * np.sqrt(p * (1 - p) / np.maximum(1, used))
@@ -162,29 +185,83 @@ def likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long")
 
 
+def confirmed_in_blocks(left: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between documents of different components (id, label, hub: the smallest label of a shared key). Documents that
+    keys connect are a cluster; a cluster is cut into blocks of bounded size, and each pair of blocks is compared in one
+    place: who shares a key, then whose estimate is near, then who is confirmed on full sets. Only links come out."""
+    stars = left.select(F.col("hub").alias("a"), F.col("label").alias("b")).distinct()
+    clusters = left.select("id", "label").distinct().join(components(stars).select(F.col("id").alias("label"), F.col("label").alias("cluster")), "label")
+    members = clusters.join(nodes.select("id", "n", "bands"), "id")
+    sized = clusters.join(nodes.select("id", "n"), "id").groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("many"))
+    placed = members.join(sized, "cluster").withColumn("block", F.pmod(F.xxhash64("id"), "many").cast("int")).join(sets, "id")
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("many") - 1)))
+    sent = sent.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+
+    def run(key, table):
+        import numpy as np
+        import pyarrow as pa
+
+        half = 1 << BUCKET_BITS
+        ids, labels, n = (np.asarray(table.column(c)) for c in ("id", "label", "n"))
+        bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(len(ids), -1)
+        regs = bands.view("<u2").reshape(len(ids), 2 * half)
+        flat = table.column("shingles").combine_chunks()
+        values, ends = np.asarray(flat.flatten()), np.concatenate(([0], np.cumsum(n)))
+        block = np.asarray(table.column("block"))
+        x, y = key[1].as_py(), key[2].as_py()
+        rows, cols = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        p, out = percent / 100, ([], [])
+        for i in rows:
+            near = cols[(labels[cols] != labels[i]) & ((x != y) | (cols > i))]
+            near = near[np.minimum(n[near], n[i]) * 100 >= percent * np.maximum(n[near], n[i])]
+            near = near[((bands[near] == bands[i]) & (bands[i] != 0)).any(1)]
+            if not len(near):
+                continue
+            j, used = estimate(np.broadcast_to(regs[i], (len(near), 2 * half)), regs[near], np.full(len(near), n[i]), n[near])
+            near = near[j >= p - 5 * np.sqrt(p * (1 - p) / np.maximum(1, used))]
+            if not len(near):
+                continue
+            mine = values[ends[i] : ends[i + 1]]
+            theirs = np.concatenate([values[ends[k] : ends[k + 1]] for k in near])
+            at = np.searchsorted(mine, theirs)
+            same = mine[np.minimum(at, len(mine) - 1)] == theirs
+            both = np.add.reduceat(same.astype(np.int64), np.concatenate(([0], np.cumsum(n[near])[:-1])))
+            linked = near[100 * both >= percent * (n[i] + n[near] - both)]
+            out[0].extend([ids[i]] * len(linked))
+            out[1].extend(ids[linked])
+        return pa.table({"a": pa.array(np.minimum(*map(np.array, out)) if out[0] else [], pa.int64()), "b": pa.array(np.maximum(*map(np.array, out)) if out[0] else [], pa.int64())})
+
+    found = sent.select("cluster", "x", "y", "id", "label", "n", "block", "bands", F.array_sort("shingles").alias("shingles")).groupBy("cluster", "x", "y").applyInArrow(run, "a long, b long")
+    return stage(found.distinct(), "links")
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
-    """id, label: the smallest id that is reachable. Labels move along links and then to their label's label, until
-    none changes. With earlier labels (id, label), links join the components that these stand for."""
+    """id, label: the smallest id that is reachable. Each round points every node at its smallest neighbour, follows the
+    pointers, and contracts the links to those between what they lead to; so links fall away from round to round. A
+    component's smallest id always leads to itself. With earlier labels (id, label), links join what these stand for."""
     if labels is not None:
-        old = labels
-        links = links.join(old.select(F.col("id").alias("a"), F.col("label").alias("x")), "a", "left").join(old.select(F.col("id").alias("b"), F.col("label").alias("y")), "b", "left")
-        links = links.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")).filter("a <> b").distinct()
-    both = stage(links.select("a", "b").union(links.select("b", "a")), "both-ways")
-    found = stage(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    while True:
-        near = both.join(found.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        moved = found.join(near, "id").select("id", "label", F.least("label", "near").alias("to"))
-        ahead = found.select(F.col("id").alias("to"), F.col("label").alias("far"))
-        moved = stage(moved.join(ahead, "to", "left").select("id", F.col("label").alias("was"), F.least("to", F.coalesce("far", "to")).alias("label")), "labels")
-        if moved.filter("was <> label").isEmpty():
-            break
-        found = moved.select("id", "label")
-    found = found.select("id", "label")
+        x, y = labels.select(F.col("id").alias("a"), F.col("label").alias("x")), labels.select(F.col("id").alias("b"), F.col("label").alias("y"))
+        links = links.join(x, "a", "left").join(y, "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+    edges = stage(_contracted(links.select("a", "b")), "edges")
+    found = None
+    while not edges.isEmpty():
+        ends = edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("to")).unionByName(edges.select(F.col("a").alias("id"), F.col("a").alias("to")).distinct())
+        up = ends.groupBy("id").agg(F.min("to").alias("to"))
+        for _ in range(2):
+            up = up.join(up.select(F.col("id").alias("to"), F.col("to").alias("far")), "to").select("id", F.col("far").alias("to"))
+        up = stage(up, "pointers")
+        found = up.select("id", F.col("to").alias("label")) if found is None else found.join(up.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        x, y = up.select(F.col("id").alias("a"), F.col("to").alias("x")), up.select(F.col("id").alias("b"), F.col("to").alias("y"))
+        edges = stage(_contracted(edges.join(x, "a").join(y, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))), "edges")
+    found = stage(found, "labels") if found is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
     if labels is None:
         return found
-    up = found.select(F.col("id").alias("label"), F.col("label").alias("top"))
-    merged = labels.join(up, "label", "left").select("id", F.coalesce("top", "label").alias("label"))
-    return stage(merged.unionByName(found.join(labels.select("id"), "id", "left_anti")).groupBy("id").agg(F.min("label").alias("label")), "labels")
+    merged = labels.join(found.select(F.col("id").alias("label"), F.col("label").alias("top")), "label", "left").select("id", F.coalesce("top", "label").alias("label"))
+    return stage(merged.unionByName(found.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
+def _contracted(links: DataFrame) -> DataFrame:
+    return links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -213,11 +290,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     labels = components(confirmed(likely(others, nodes, percent), sets, percent), labels)
 
     marked = shared.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-    mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    left = stage(marked.join(mixed, "key"), "mixed-keys")
-    pairs = left.select("key", F.col("id").alias("a"), F.col("label").alias("x")).join(left.select("key", F.col("id").alias("b"), F.col("label").alias("y")), "key").filter("a < b and x <> y").select("a", "b").distinct()
-    last = pairs.join(met.select("a", "b"), ["a", "b"], "left_anti")
-    labels = components(confirmed(likely(last, nodes, percent), sets, percent), labels)
+    mixed = marked.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key", F.col("low").alias("hub"))
+    left = stage(marked.join(mixed, "key").select("id", "label", "hub").distinct(), "mixed-keys")
+    labels = components(confirmed_in_blocks(left, nodes, sets, percent), labels)
 
     top = nodes.select("id", "doc_id", "set_id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     top = top.withColumn("component_id", F.when(F.col("label") == F.col("id"), F.col("doc_id")).otherwise(F.col("label")))
