@@ -35,6 +35,8 @@ HINTS = {"email": "@", "ip": ".", "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: Code points of the longest candidate, and of the context that is looked at.
 LONGEST, BEFORE = 64, 60
+#: Matches whose places are added up at once.
+CHUNK = 256
 SPANS = "array<struct<kind:int,start:int,stop:int>>"
 
 
@@ -61,40 +63,56 @@ def _valid(kind: str, text: Column) -> Column:
     return n.between(8, 15) if kind == "phone" else F.when(n.between(16, 19), _luhn(_digits(text))).otherwise(False)
 
 
+def once(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All matches of a pattern with their places: array<struct<start,stop,value>>. The text between matches gives the
-    places."""
+    """All matches of a pattern with their places: array<struct<start,stop,value,before>>. The text between matches gives
+    the places; they are added up in chunks, so many matches in one text stay affordable. before: the text from the last
+    match but one to this one, in which the words before it stand."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.array().cast("array<struct<start:int,stop:int,value:string>>")
+    none = F.array().cast("array<struct<start:int,stop:int,value:string,before:string>>")
 
     def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        stop = start + F.length(x["value"])
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), x["value"].alias("value")))).alias("out"))
+        start = acc["at"] + x["gap"]
+        row = F.struct(start.alias("start"), (start + F.length(x["value"])).alias("stop"), x["value"].alias("value"), x["before"].alias("before"))
+        return F.struct((start + F.length(x["value"])).alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
     def placed(values: Column) -> Column:
-        pairs = F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values)), values, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-        return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        def over(gaps: Column) -> Column:
+            part = lambda a, i: F.when(i >= 0, F.get(a, i)).otherwise("")
+            before = lambda i: F.concat(part(values, i - 2), part(gaps, i - 1), part(values, i - 1), F.get(gaps, i))
+            rows = F.transform(values, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), v.alias("value"), F.substring(before(i), F.lit(-BEFORE), F.lit(BEFORE)).alias("before")))
+            parts = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda c: F.slice(r, c * CHUNK + 1, F.lit(CHUNK)))
+            return once(once(rows, parts), chunked)
+
+        return once(F.split(text, pattern, -1), over)
+
+    def chunked(parts: Column) -> Column:
+        total = lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x["gap"] + F.length(x["value"]))
+        ahead = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, p: F.struct((acc["at"] + total(p)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(parts, ahead, lambda p, at: F.aggregate(p, F.struct(at.alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
 
-    return F.when(F.size(found) > 0, placed(found)).otherwise(none)
+    return once(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(none))
 
 
 def rule_matches(text: Column) -> Column:
     """array<struct<kind,start,stop,value>> by kind, then start."""
-    none = F.array().cast("array<struct<kind:int,start:int,stop:int,value:string>>")
+    none = F.array().cast("array<struct<kind:int,start:int,stop:int,value:string,before:string>>")
 
     def of(number: int, kind: str) -> Column:
         ok = F.filter(matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
-        typed = F.transform(ok, lambda m: F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value")))
+        typed = F.transform(ok, lambda m: F.struct(F.lit(number).alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"), m["before"].alias("before")))
         return F.when(F.contains(text, F.lit(HINTS[kind])), typed).otherwise(none) if kind in HINTS else typed
 
     return F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before, in lower case; empty where there are fewer."""
-    left = F.substring(text, F.greatest(F.lit(0), start - BEFORE) + 1, F.least(F.lit(BEFORE), start))
-    return F.lower(F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
+def _context(before: Column) -> Column:
+    """The last two words, in lower case; empty where there are fewer."""
+    return F.lower(F.regexp_extract(before, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
 
 
 def _shape(kind: Column, value: Column) -> Column:
@@ -113,14 +131,14 @@ def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     body = text_or_empty(text)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_id"), body.alias("text"))
     rows = rows.withColumn("found", rule_matches(F.col("text"))).withColumn("words", matches(F.col("text"), CANDIDATE))
-    base = F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.lower(m["value"]).alias("value"), _context(F.col("text"), m["start"]).alias("context")))
+    base = F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.lower(m["value"]).alias("value"), _context(m["before"]).alias("context")))
     lead, tail = "\"'([<{", "\"'),.;:!?]>}"
 
     def core(m: Column) -> Column:
         cut = F.ltrim(m["value"], F.lit(lead))
         start = m["start"] + F.length(m["value"]) - F.length(cut)
         value = F.rtrim(cut, F.lit(tail))
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), F.lower(value).alias("value"), _context(F.col("text"), m["start"]).alias("context"))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), F.lower(value).alias("value"), _context(m["before"]).alias("context"))
 
     short = F.filter("words", lambda m: F.length(m["value"]) <= LONGEST)
     free = F.filter(short, lambda m: ~F.exists("found", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
