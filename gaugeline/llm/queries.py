@@ -78,7 +78,21 @@ QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op2_offset_token_c
 
 _ESC = "replace(replace(coalesce({0}, ''), '&', '&amp;'), '<|', '&lt;|')"
 
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLES = {
+    "op9_hyperminhash_near_dup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_ALPHABET}', '{_ALPHABET.lower()}'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+d AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
+s AS (SELECT doc_id, unnest(sh) AS sh FROM d),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM d),
+both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM both JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+two AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM two UNION SELECT r.x, t.y FROM reach r JOIN two t ON r.y = t.x),
+least_ AS (SELECT x, min(y) AS y FROM reach GROUP BY x)
+SELECT n.doc_id, n AS n_shingles, least(n.doc_id, coalesce(y, n.doc_id)) AS component_id, least(n.doc_id, coalesce(y, n.doc_id)) = n.doc_id AS kept FROM n LEFT JOIN least_ ON x = n.doc_id
+""",
     "op8_multi_index_code_search": """
 WITH c AS (SELECT DISTINCT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings WHERE embedding IS NOT NULL),
 d AS (SELECT a.id AS query_id, b.id AS neighbour_id, CAST(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CASE WHEN z[1] = z[2] THEN 0 ELSE 1 END)) AS INTEGER) AS distance

@@ -44,7 +44,7 @@ def test_slot_map_versions(spark, small):
     second = {r.virtual_slot: r for r in sharding.read_map(spark, store).collect()}
     assert sharding.read_map(spark, store, 1).count() == len(first) == len(second)
     moved = [s for s in first if first[s] != second[s].shard]
-    assert 0 < len(moved) < len(first) / 3
+    assert 0 < sum(second[s].bytes for s in moved) < sum(r.bytes for r in second.values()) / 5
     load = Counter()
     for r in second.values():
         load[r.shard] += r.bytes
@@ -431,10 +431,14 @@ def test_pii_rules_on_hostile_texts(spark):
     draw = __import__("random").Random(6)
     bits = ["a", "b.", "@", "x@y.z", ".", "1", "22", "256", "0", "255", "-", " ", "+1", "(", ")", "4111111111111111", "é", "😀", "_", "%", "1.2.3.4", "00", "\n"]
     texts = ["".join(draw.choices(bits, k=draw.randint(1, 40))) for _ in range(3000)]
-    texts += ["a" * 200_000, "1" * 200_000, "1." * 50_000, "+" + "1 " * 50_000, "a@" + "b." * 50_000, "@" * 100_000, "1 " * 100_000 + "a@b.c", "+1" + "(" * 100_000]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    texts += ["a" * 200_000, "1" * 200_000, "1." * 20_000, "+" + "1 " * 20_000, "a@" + "b." * 50_000, "@" * 100_000, "1 " * 20_000 + "a@b.c", "+1" + "(" * 100_000, "x " * 50_000 + "1.2.3.4 é 4.3.2.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
     for r in pii.find(df).collect():
-        assert _said(r) == _base(texts[r.doc_id] if len(texts[r.doc_id]) < 1000 else "") or len(texts[r.doc_id]) > 1000, repr(texts[r.doc_id])
+        text = texts[r.doc_id]
+        if len(set(text)) == 1 and len(text) > 1000:  # Python's matcher is quadratic there; none of them holds a match
+            assert _said(r) == []
+        else:
+            assert _said(r) == _base(text), repr(text[:200])
 
 
 def test_pii_patterns_find_unseen_identifiers(spark):
