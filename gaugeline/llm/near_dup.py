@@ -20,7 +20,7 @@ copies, kept alike; an empty table gives no rows; other columns are not looked a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -32,7 +32,7 @@ FEW, MANY = 384, 683
 BLOCK_ROWS, BLOCK_SHINGLES = 4096, 2_000_000
 #: The most rows that are sent to all executors; beyond it both sides are dealt out.
 SEND = 1_000_000
-SIGNATURE = "doc_id long, n_shingles long, set_id binary, bands array<long>"
+SIGNATURE = "doc_id long, text_id long, n_shingles long, set_id binary, bands array<long>"
 
 
 def _shingles(text: str | None, known: dict):
@@ -114,6 +114,11 @@ def estimate(a, b, n_a, n_b):
     return np.maximum(0, equal - chance) / np.maximum(1, used), used
 
 
+def _text_id(text: str) -> Column:
+    """What tells rows that share an id, or have none, apart."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def run(found):
         import numpy as np
@@ -123,16 +128,16 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         known = _word_hashes()
         for batch in found:
             n, ids, bands = [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 s = _shingles(t.as_py(), known)
                 n.append(len(s))
                 ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 bands.append(registers(s).view("<i8"))
             many = (2 << BUCKET_BITS) // ROWS
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * many), pa.array(np.concatenate(bands) if bands else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "n_shingles", "set_id", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), lists], names=["doc_id", "text_id", "n_shingles", "set_id", "bands"])
 
-    return stage(df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SIGNATURE), "signatures")
+    return stage(df.select(F.col(key).cast("long").alias("doc_id"), _text_id(text).alias("text_id"), F.col(text).alias("text")).mapInArrow(run, SIGNATURE), "signatures")
 
 
 def full_sets(df: DataFrame, needed: DataFrame, key: str, text: str) -> DataFrame:
@@ -265,7 +270,7 @@ def _contracted(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of all rows."""
+    """doc_id, n_shingles, component_id, kept, text_id of all rows."""
     found = signatures(df, key, text)
     some = found.filter("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     nodes = stage(some.withColumn("id", F.coalesce("doc_id", F.xxhash64("set_id").bitwiseOR(F.lit(-(1 << 63))))), "sets")
@@ -296,16 +301,22 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     top = nodes.select("id", "doc_id", "set_id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     top = top.withColumn("component_id", F.when(F.col("label") == F.col("id"), F.col("doc_id")).otherwise(F.col("label")))
-    small = found.filter("set_id is not null").select("doc_id", "n_shingles", "set_id").join(top.select("set_id", "component_id"), "set_id", "left").select("doc_id", "n_shingles", "component_id")
-    out = small.unionByName(found.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-    return out.withColumn("kept", same_id(F.col("doc_id"), F.col("component_id")))
-
-
-def same_id(a: Column, b: Column) -> Column:
-    return a.eqNullSafe(b)
+    small = found.filter("set_id is not null").select("doc_id", "text_id", "n_shingles", "set_id").join(top.select("set_id", "component_id"), "set_id", "left").drop("set_id")
+    out = small.unionByName(found.filter("set_id is null").select("doc_id", "text_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_id")
 
 
 def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of df that stay: of each component the one with the smallest id, and of equal such rows one."""
-    keep = near_duplicates(df, key, text, percent).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(keep, df[key].cast("long").eqNullSafe(keep["__kept"]), "left_semi").dropDuplicates([key])
+    """The rows of df that stay: of each component the one with the smallest id, and of equal such rows one. What goes is
+    sent to all executors if it's small, so texts needn't move; only rows that occur several times are dealt out."""
+    judged = stage(near_duplicates(df, key, text, percent).select("doc_id", "text_id", "kept"), "judged")
+    ids = judged.groupBy(F.col("doc_id").alias("__doc"), F.col("text_id").alias("__text")).agg(F.min("kept").alias("__kept"), (F.count("*") > 1).alias("__many"))
+    odd = stage(ids.filter("not __kept or __many"), "odd")
+    side = F.broadcast(odd) if odd.count() <= SEND else odd
+    rows = df.join(side, F.col(key).cast("long").eqNullSafe(F.col("__doc")) & (_text_id(text) == F.col("__text")), "left")
+    once = rows.filter("__kept is null").select(df.columns)
+    if odd.filter("__kept and __many").isEmpty():
+        return once
+    several = rows.filter("__kept and __many")
+    first = several.withColumn("__n", F.row_number().over(Window.partitionBy("__doc", "__text").orderBy("__text"))).filter("__n = 1")
+    return once.unionByName(first.select(df.columns))
