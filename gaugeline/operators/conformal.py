@@ -9,7 +9,7 @@ from ..functions.scalar import conformal_quantile, d
 
 
 def clipped(lo: Column, clip: float | None) -> Column:
-    return lo if clip is None else F.greatest(lo, d(clip))
+    return lo if clip is None else F.when(lo.isNotNull(), F.greatest(lo, d(clip)))
 
 
 def margins(cal: DataFrame, score: str, alpha: float, *keys: str, rule=conformal_quantile) -> DataFrame:

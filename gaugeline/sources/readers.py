@@ -72,7 +72,8 @@ def headed(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame
 
 def with_rate(df: DataFrame, reading: str = "occupancy", capacity: str = "capacity") -> DataFrame:
     """occupancy_rate: reading by capacity, from 0 to 1; null without a capacity."""
-    return df.withColumn("occupancy_rate", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(reading, capacity))))
+    rate = F.try_divide(reading, capacity)
+    return df.withColumn("occupancy_rate", F.when(rate.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), rate))))
 
 
 def sorted_ids(df: DataFrame, name: str, out: str = "series_id") -> DataFrame:
