@@ -26,7 +26,7 @@ def report(sql: str | None = None, doubles: str = ""):
     return add
 
 
-@report(b.with_(b.panel_sql()) + "SELECT series, slot, v, observed FROM dense")
+@report(b.with_(b.panel_sql()) + "SELECT series, slot, v, observed FROM dense", "v")
 def panel_hourly(spark, sf_dir):
     return b.panel(spark, sf_dir).select("series", "slot", "v", "observed")
 
@@ -61,7 +61,7 @@ def split_embargo_flags(spark, sf_dir):
 s AS (SELECT series, day, min(us) // 3600000000 AS lo, (max(us) + 3599999999) // 3600000000 AS hi FROM r GROUP BY series, day),
 c AS (SELECT series, day, us // 3600000000 AS slot, {b.grained_sql('avg(value)')} AS v FROM r GROUP BY 1, 2, 3),
 g AS (SELECT series, day, unnest(generate_series(lo, hi)) AS slot FROM s WHERE hi > lo)
-SELECT g.series, CAST(g.day AS VARCHAR) AS day, g.slot, v, v IS NOT NULL AS observed FROM g LEFT JOIN c ON g.series = c.series AND g.day = c.day AND g.slot = c.slot""")
+SELECT g.series, CAST(g.day AS VARCHAR) AS day, g.slot, v, v IS NOT NULL AS observed FROM g LEFT JOIN c ON g.series = c.series AND g.day = c.day AND g.slot = c.slot""", "v")
 def session_panel(spark, sf_dir):
     out = pn.session_grid(b.read(spark, sf_dir, "events"), F.col("event_type"), "ts", "value")
     return out.select("series", F.col("day").cast("string").alias("day"), "slot", "v", "observed")

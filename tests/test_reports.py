@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from gaugeline import plans
@@ -22,7 +23,7 @@ def sql():
 def normal(df):
     out = df[sorted(df.columns)].copy()
     for c in out.columns:
-        out[c] = [None if v is None or v != v else round(float(v), 5) + 0.0 if isinstance(v, float) else v for v in out[c].tolist()]
+        out[c] = [None if pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, float) else v for v in out[c].tolist()]
     return sorted(map(repr, out.itertuples(index=False, name=None)))
 
 
