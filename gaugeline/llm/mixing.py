@@ -4,7 +4,8 @@ Documents may belong to several sources. They are counted by membership pattern
 capacity of each pattern is routed to the quotas of its sources by a min-cost flow in which a pattern's n-th pass over
 its documents costs more than the one before (convex costs, so no pattern is repeated before others are used once, as
 far as quotas allow); then documents are selected: whole passes, and for the rest a seeded order of the pattern's
-documents, cut where the rest is reached, with up to `fills` further documents that fit the gap best.
+documents, cut before the rest is exceeded, with up to `fills` further documents, each the one whose size is nearest to
+what is lacking, if that brings the pattern nearer.
 
 The flow's graph is built from counts: a node per pattern and per source, gathered on the driver. Its size is the number
 of patterns, not of documents; beyond `max_patterns` it raises. The seeded order's cut is found from sums per
@@ -182,10 +183,10 @@ def mix_rows(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int =
     extra = None
     for i in range(fills):
         gaps = stage(gaps, f"mix-gap{i}")
-        late = rows.join(F.broadcast(gaps), "pattern").filter((rows["bucket"] >= gaps["bucket"]) & (F.col("size") > 0) & (F.col("size") <= F.col("gap"))).select("row", "pattern", "size", "prio")
+        late = rows.join(F.broadcast(gaps), "pattern").filter((rows["bucket"] >= gaps["bucket"]) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select("row", "pattern", "size", "prio", "gap")
         late = late.join(F.broadcast(extra), "row", "left_anti") if extra is not None else late
         late = late.join(picked.select("row"), "row", "left_anti")
-        best = late.groupBy("pattern").agg(F.min_by(F.struct("row", "size"), F.struct((-F.col("size")).alias("s"), "prio", "row")).alias("b"))
+        best = late.groupBy("pattern").agg(F.min_by(F.struct("row", "size"), F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "size", "prio", "row")).alias("b"))
         best = stage(best.select("pattern", "b.row", "b.size"), f"mix-fill{i}")
         extra = best.select("row") if extra is None else extra.union(best.select("row"))
         gaps = gaps.join(best.select("pattern", "size"), "pattern", "left").select("pattern", "bucket", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
@@ -209,12 +210,14 @@ def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", sources:
     """The rows of df, each as often as the mix takes it. Texts aren't moved: a row's copies follow from its pattern and
     hash, but for the few rows where a pattern is cut. Of equal rows there, as many are taken as the mix says."""
     marked, plan, _, _ = mix_rows(stage(sized(df, key, text, sources, seed), "mix-rows"), **how)
-    edge = marked.filter("edge").groupBy(F.col("prio").alias("__prio2"), F.col("key").alias("__key2")).agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-    edge = stage(edge, "mix-edge-rows")
+    marked = stage(marked.select("key", "prio", "copies", "edge"), "mix-copies")
+    wanted = marked.filter("edge").select(F.col("prio").alias("__prio2"), F.col("key").alias("__key2")).distinct()
+    equal = marked.join(wanted, (F.col("prio") == F.col("__prio2")) & F.col("key").eqNullSafe(F.col("__key2")))
+    edge = stage(equal.groupBy("__prio2", "__key2").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "mix-edge-rows")
     rows = df.withColumn("__pattern", _member(df, sources)).withColumn("__prio", _prio(key, text, seed)).withColumn("__bucket", _bucket("__prio"))
     plan = plan.select(F.col("pattern").alias("__pattern"), F.col("full").alias("__full"), F.col("cut").alias("__cut"))
     rows = rows.join(F.broadcast(plan), "__pattern", "left").join(edge, (F.col("__prio") == F.col("__prio2")) & F.col(key).eqNullSafe(F.col("__key2")), "left")
-    away = F.coalesce("__full", F.lit(0)) + F.when(F.col("__bucket") < F.col("__cut"), 1).otherwise(0)
+    away = F.least(F.lit(how.get("most", 2)), F.coalesce("__full", F.lit(0)) + F.when(F.col("__bucket") < F.col("__cut"), 1).otherwise(0))
     out = rows.filter("__rows is null or __rows = 1").withColumn("__n", F.coalesce(F.col("__copies"), away).cast("int"))
     if not edge.filter("__rows > 1").isEmpty():
         crowd = rows.filter("__rows > 1").withColumn("__at", F.row_number().over(Window.partitionBy("__prio", key).orderBy("__prio")))
