@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_parts, stage
 
 WORDS, BUCKET_BITS, MANTISSA_BITS, ROWS = 5, 7, 10, 4
 #: Sizes of sets that have the sketch for large and that for small ones: 512 times 0.75, and 512 by 0.75.
@@ -57,16 +57,22 @@ def _shingles(text: str | None, known: dict):
 
 
 def _word_hashes() -> dict:
+    """The worker's memory of word hashes."""
     import xxhash
 
     class Known(dict):
         def __missing__(self, word: bytes) -> int:
             h = xxhash.xxh64_intdigest(word)
-            if len(self) < 300_000 and len(word) < 64:
+            if len(self) < 100_000 and len(word) < 64:
                 self[word] = h
             return h
 
-    return Known()
+    if "words" not in _kept:
+        _kept["words"] = Known()
+    return _kept["words"]
+
+
+_kept: dict = {}
 
 
 def _register(smallest):
@@ -126,7 +132,7 @@ def signatures(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         import xxhash
 
         known = _word_hashes()
-        for batch in found:
+        for batch in in_parts(found):
             n, ids, bands = [], [], []
             for t in batch.column(2):
                 s = _shingles(t.as_py(), known)
@@ -152,7 +158,7 @@ def full_sets(df: DataFrame, needed: DataFrame, key: str, text: str) -> DataFram
         import xxhash
 
         known = _word_hashes()
-        for batch in found:
+        for batch in in_parts(found):
             ids, sets = [], []
             for i, want, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 s = _shingles(t.as_py(), known)

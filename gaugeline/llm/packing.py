@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import in_parts, stage
 
 CAPACITY = 4096
 PIECES = "doc_id long, start long, length int, doc_tokens long, class int, task int, turn long, ids binary"
@@ -59,7 +59,7 @@ def pieces(df: DataFrame, path: str, space: str, end: int, key: str = "doc_id",
         from .tokens import batches, encoder
 
         enc, task, turns = encoder(path, space), TaskContext.get().partitionId(), dict.fromkeys(known, 0)
-        for batch in found:
+        for batch in in_parts(found):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at, some in batches(texts):
                 rows = []

@@ -21,6 +21,8 @@ from math import ceil, inf, log, log2
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_parts
+
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_marks", "n_lines")
 SYMBOLS, WINDOW = "#*$%&|<>", 5
 #: Symbols, upper-case words or marks per word that count as none.
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def run(found):
         import pyarrow as pa
 
-        for b in found:
+        for b in in_parts(found):
             stats = [text_stats(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(b.column("label").to_pylist(), pa.int32()), pa.array(stats, pa.list_(pa.int64()))], names=["doc_id", "label", "stats"])
 
@@ -180,7 +182,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
     def run(found):
         import pyarrow as pa
 
-        for b in found:
+        for b in in_parts(found):
             stats, failed, score, kept = judge(forest.value, b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c) for c in stats.T), pa.array(failed), pa.array(score), pa.array(kept)], names=["doc_id", *STATS, "base_failed", "score", "kept"])
 
@@ -195,7 +197,7 @@ def keep(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     def run(found):
         import pyarrow as pa
 
-        for b in found:
+        for b in in_parts(found):
             yield b.filter(pa.array(judge(forest.value, b.column(at).to_pylist())[3]))
 
     return docs.mapInArrow(run, docs.schema)

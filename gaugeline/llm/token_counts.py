@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_parts
+
 RULES = ("start", "end", "most")
 COUNTS = "doc_id long, section int, start int, stop int, n_tokens long, n_crossing long"
 
@@ -79,7 +81,7 @@ def section_tokens(df: DataFrame, path: str, rule: str = "start", key: str = "do
         from .tokens import batches, encoder
 
         enc = encoder(path, "leading")
-        for batch in found:
+        for batch in in_parts(found):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             given = batch.column(2).to_pylist() if sections else None
             for at, some in batches(texts):

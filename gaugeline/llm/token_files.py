@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import in_parts
+
 ROW = "doc_id long, file int, before long, n_tokens long, ids array<int>"
 OPTIONS = {"orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.create.index": "true", "orc.row.index.stride": "1000", "orc.stripe.size": str(32 << 20), "compression": "zstd"}
 
@@ -29,7 +31,7 @@ def write_token_ids(df: DataFrame, out: str, path: str, space: str, end: int, ke
 
         enc, file, before = encoder(path, space), TaskContext.get().partitionId(), 0
         tail = end.to_bytes(4, "little")
-        for batch in found:
+        for batch in in_parts(found):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for at, some in batches(texts):
                 raw = [r + tail for r in enc.encode(some)]
@@ -62,9 +64,9 @@ def with_checksum(rows: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        for b in found:
+        for b in in_parts(found):
             ids = b.column("ids")
-            values, offsets = ids.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False), np.asarray(ids.offsets)
+            values, offsets = ids.values.to_numpy(zero_copy_only=False).view("<u4"), np.asarray(ids.offsets)
             crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("start"), b.column("n_tokens"), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 

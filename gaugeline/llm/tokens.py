@@ -16,8 +16,8 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Segments that a worker remembers (some 50 bytes each), and bytes of the longest one that it does.
-REMEMBER, LONGEST = 1_200_000, 96
-_SLOTS = 22
+REMEMBER, LONGEST = 800_000, 96
+_SLOTS = 21
 _U = np.uint64
 _loaded: dict = {}
 
