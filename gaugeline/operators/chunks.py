@@ -28,7 +28,7 @@ def matured_end(chunk_end: int, horizon: int, released: int, n: int) -> int:
     return min(n, max(released, chunk_end - horizon + 1))
 
 
-def ensemble_intervals(df: DataFrame, features: list[str], y: str, value: str, day: str, *keys: str, alpha: float = 0.1, horizon: int = 1, members: int = 30, blocks: int = 10, seed: int = 42, trees: int = 5, depth: int = 6) -> DataFrame:
+def ensemble_intervals(df: DataFrame, features: list[str], y: str, value: str, day: str, *keys: str, alpha: float = 0.1, horizon: int = 1, members: int = 30, blocks: int = 10, seed: int = 42, trees: int = 5, depth: float = 6) -> DataFrame:
     """Ensemble batch prediction intervals (Xu and Xie): forests on bootstrapped blocks of the train and calibration rows;
     a row's residual is that of the members that didn't see it; test days get the interval of the last residuals, whose
     width is the least over splits of alpha, and the residuals move on by outcomes that have matured."""
@@ -72,4 +72,6 @@ def ensemble_intervals(df: DataFrame, features: list[str], y: str, value: str, d
         return test[[*keys, "i", y, "lo", "hi"]]
 
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in (*keys, "i", y))
-    return df.select(*dict.fromkeys([*keys, "i", y, value, day, "split", *features])).groupBy(*keys).applyInPandas(run, f"{types}, lo double, hi double")
+    rows = df.select(*dict.fromkeys([*keys, "i", y, value, day, "split", *features]))
+    # fits are long where rows are few: series go to tasks of their own, which a fixed number of partitions keeps apart
+    return rows.repartition(8 * df.sparkSession.sparkContext.defaultParallelism, *keys).groupBy(*keys).applyInPandas(run, f"{types}, lo double, hi double")

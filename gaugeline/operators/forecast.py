@@ -47,25 +47,26 @@ def ridge(x, y, penalty: float = 1.0):
     return lambda z: (z - mx) @ w + my
 
 
-def _tree(x, y, depth: int, leaf: int, rng, tries: int, value: Callable):
+def _tree(x, y, depth: float, leaf: int, rng, tries: int, value: Callable):
     """A regression tree by variance, over quantile cuts; a nested tuple."""
     import numpy as np
 
     if depth == 0 or len(y) < 2 * leaf or np.ptp(y) == 0:
         return value(y)
-    best = None
-    for f in rng.permutation(x.shape[1])[:tries]:
-        order = np.argsort(x[:, f], kind="stable")
-        v, t = x[order, f], y[order]
-        n = np.arange(1, len(t))
-        left, total = np.cumsum(t)[:-1], t.sum()
-        gain = left**2 / n + (total - left) ** 2 / (len(t) - n)
-        gain[(v[1:] == v[:-1]) | (n < leaf) | (len(t) - n < leaf)] = -np.inf
-        k = int(gain.argmax())
-        if np.isfinite(gain[k]) and (best is None or gain[k] > best[0]):
-            best = (gain[k], f, (v[k] + v[k + 1]) / 2)
-    if best is None:
+    tried = rng.permutation(x.shape[1])[:tries]
+    columns = np.ascontiguousarray(x[:, tried].T)
+    order = np.argsort(columns, axis=1, kind="stable")
+    v, t = np.take_along_axis(columns, order, 1), y[order]
+    n = np.arange(1, len(y))
+    left, total = np.cumsum(t, axis=1)[:, :-1], t.sum(axis=1, keepdims=True)
+    gain = left**2 / n + (total - left) ** 2 / (len(y) - n)
+    gain[(v[:, 1:] == v[:, :-1]) | (n < leaf) | (len(y) - n < leaf)] = -np.inf
+    f, k = divmod(int(gain.argmax()), len(y) - 1)
+    if not np.isfinite(gain[f, k]):
         return value(y)
+    # the middle of neighbouring doubles can be the upper one, which would leave a side empty
+    cut = (v[f, k] + v[f, k + 1]) / 2
+    best = gain[f, k], tried[f], cut if cut < v[f, k + 1] else v[f, k]
     side = x[:, best[1]] <= best[2]
     return best[1], best[2], _tree(x[side], y[side], depth - 1, leaf, rng, tries, value), _tree(x[~side], y[~side], depth - 1, leaf, rng, tries, value)
 
@@ -80,7 +81,7 @@ def _walk(tree, x):
     return out
 
 
-def forest(x, y, trees: int = 100, leaf: int = 2, depth: int = 12, seed: int = 42, rows=None):
+def forest(x, y, trees: int = 100, leaf: int = 2, depth: float = 12, seed: int = 42, rows=None):
     """Bagged trees. rows: draws the rows of a tree; by default a plain bootstrap."""
     import numpy as np
 

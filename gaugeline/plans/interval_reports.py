@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions.scalar import conformal_quantile, d, skipping_quantile
@@ -228,26 +230,29 @@ def rolling_origin_folds(spark, sf_dir):
     return mt.scored(split_cp(pt.in_folds(rows, folds(panel)), keys=("fold", "series")), b.ALPHA, "fold", "series")
 
 
-# Fitted learners and resampling have no SQL: tests hold them against plain Python.
+# Fitted learners and resampling have no SQL: tests hold them against plain Python. Sizes are the reference's, whose
+# trees are grown without a limit of depth.
+
+FOREST = {"trees": 100, "depth": math.inf}
 
 
 @report()
 def base_learners(spark, sf_dir):
     rows = b.rows(spark, sf_dir)
-    out = [fc.fitted(rows, b.FEATURES, "y", "occ", n, "series", **o).withColumn("learner", F.lit(n)) for n, o in (("ridge", {}), ("forest", {"trees": 10, "depth": 6}), ("boosting", {"rounds": 30}))]
+    out = [fc.fitted(rows, b.FEATURES, "y", "occ", n, "series", **o).withColumn("learner", F.lit(n)) for n, o in (("ridge", {}), ("forest", FOREST), ("boosting", {"rounds": 200}))]
     every = out[0].unionByName(out[1]).unionByName(out[2])
     return mt.point_errors(b.part(every, "test"), "y", "yhat", "learner", "series")
 
 
 @report()
 def fitted_quantile_cqr(spark, sf_dir):
-    rows = cf.uncrossed(fc.fitted_band(b.rows(spark, sf_dir), b.FEATURES, "y", "occ", b.ALPHA, "series", rounds=30), "low", "high")
+    rows = cf.uncrossed(fc.fitted_band(b.rows(spark, sf_dir), b.FEATURES, "y", "occ", b.ALPHA, "series", rounds=100), "low", "high")
     return mt.scored(cf.banded(b.part(rows, "test"), cf.margins(b.calibration(rows, "low", "high"), "score", b.ALPHA, "series"), "low", "high", "series"), b.ALPHA, "series")
 
 
 @report()
 def gaussian_band_conformal(spark, sf_dir):
-    rows = fc.fitted_band(b.rows(spark, sf_dir), b.FEATURES, "y", "occ", b.ALPHA, "series", kind="gaussian", rounds=30)
+    rows = fc.fitted_band(b.rows(spark, sf_dir), b.FEATURES, "y", "occ", b.ALPHA, "series", kind="gaussian", rounds=300, rate=0.03)
     plain = b.part(rows, "test").withColumn("lo", F.col("low")).withColumn("hi", F.col("high")).withColumn("method", F.lit("gaussian"))
     conf = cf.banded(b.part(rows, "test"), cf.margins(b.calibration(rows, "low", "high"), "score", b.ALPHA, "series"), "low", "high", "series").withColumn("method", F.lit("gaussian_conformal"))
     return mt.scored(plain.select("method", "series", "y", "lo", "hi").unionByName(conf.select("method", "series", "y", "lo", "hi")), b.ALPHA, "method", "series")
@@ -256,7 +261,7 @@ def gaussian_band_conformal(spark, sf_dir):
 @report()
 def enbpi_intervals(spark, sf_dir):
     rows = b.rows(spark, sf_dir).withColumn("day", F.floor(F.col("slot") / 24))
-    return mt.scored(ch.ensemble_intervals(rows, b.FEATURES, "y", "occ", "day", "series", alpha=b.ALPHA, horizon=b.HORIZON, members=12, trees=2, depth=5), b.ALPHA, "series")
+    return mt.scored(ch.ensemble_intervals(rows, b.FEATURES, "y", "occ", "day", "series", alpha=b.ALPHA, horizon=b.HORIZON, members=30, **FOREST), b.ALPHA, "series")
 
 
 @report()
