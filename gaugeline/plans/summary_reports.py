@@ -352,7 +352,7 @@ def mantel_on_roster(spark, sf_dir):
 
 @report()
 def spatial_permutation_tests(spark, sf_dir):
-    return sp.permutation_tests(spatial_pairs(spark, sf_dir), site_means(spark, sf_dir), "mean_occ", 199, 999)
+    return sp.permutation_tests(spatial_pairs(spark, sf_dir), site_means(spark, sf_dir), "mean_occ")
 
 
 @report(

@@ -45,3 +45,10 @@ def test_neighbouring_doubles_are_split(steps):
     x = np.array([low] * 5 + [math.nextafter(low, 1)] * 5)[:, None]
     predict = forecast.forest(x, np.array([0.0] * 5 + [1.0] * 5), trees=1, rows=lambda: np.arange(10))
     assert predict(np.array([[0.0], [0.5]])).tolist() == [0.0, 1.0]
+
+
+def test_permutation_tests_draw_in_full(spark, monkeypatch):
+    from gaugeline.operators import spatial
+
+    c = calls(monkeypatch, spark, "spatial_permutation_tests", spatial, "permutation_tests")[0]
+    assert (c["moran_draws"], c["mantel_draws"]) == (999, 9_999)
