@@ -69,8 +69,9 @@ def _opened(rows: DataFrame, keys, out: str, clip: float | None, extra: tuple =
     return flat.withColumn("lo", lo if clip is None else F.greatest(lo, d(clip))).withColumn("hi", F.col("high") + F.col("q"))
 
 
-def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, gamma: float | Column = 0.05, window: int | None = None, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i", engine: str = "fold") -> DataFrame:
-    """keys, i, low, high, y, alpha, q, lo, hi. cal has a column score; gamma may be a column of the keys."""
+def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, gamma: float | Column = 0.05, window: int | Column | None = None, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i", engine: str = "fold") -> DataFrame:
+    """keys, i, low, high, y, alpha, q, lo, hi. cal has a column score; gamma may be a column of the keys, and in the fold
+    the window one of the keys and the array cal of scores."""
     rows = gathered(cal, test, *keys, low=low, high=high, y=y, order=order)
     g = gamma if isinstance(gamma, Column) else d(gamma)
     if engine == "fold":

@@ -183,6 +183,28 @@ def delay_sensitivity(spark, sf_dir):
     return mt.scored(out, b.ALPHA, "gamma", "series")
 
 
+_DELAYS, _RATES = (1, 3, 6), (0.002, 0.005, 0.01, 0.02, 0.05, 0.1)
+
+
+@report()
+def delay_sensitivity_grid(spark, sf_dir):
+    """The whole grid: six gammas at three horizons, and split-CP, which has no feedback that could come late, as control."""
+    out = []
+    for h in _DELAYS:
+        rows = b.rows(spark, sf_dir, h)
+        cal, test = b.calibration(rows), b.part(rows, "test")
+        spread = F.explode(F.array(*map(d, _RATES)))
+        window = F.greatest(F.lit(50), F.size("cal"))
+        aci = ad.stream(cal.withColumn("gamma", spread), test.withColumn("gamma", spread), "series", "gamma", low="occ", high="occ", alpha=b.ALPHA, horizon=h, gamma=F.col("gamma"), window=window, clip=None)
+        split = cf.banded(test, cf.margins(cal, "score", b.ALPHA, "series"), "occ", "occ", "series", clip=None).withColumn("gamma", F.lit(None).cast("double"))
+        for method, x in (("aci", aci), ("split_cp", split)):
+            out.append(mt.scored(x, b.ALPHA, "gamma", "series").withColumn("method", F.lit(method)).withColumn("horizon", F.lit(h)))
+    every = out[0]
+    for x in out[1:]:
+        every = every.unionByName(x)
+    return every
+
+
 @report(
     b.with_(b.rows_sql(), f"""sc AS (SELECT series, list_sort(list(abs(y - occ))) AS sc FROM fc WHERE split = 'calibration' GROUP BY series),
 arms AS (SELECT 'corrected' AS arm, series, sc[{b.rank_sql('len(sc)', b.num(b.ALPHA))}] AS q FROM sc UNION ALL SELECT 'legacy', series, sc[least({b.rank_sql('len(sc)', b.num(b.ALPHA))} + 1, len(sc))] FROM sc),

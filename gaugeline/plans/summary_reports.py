@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import d
+from ..operators import adaptive as ad
+from ..operators import conformal as cf
 from ..operators import decisions as dc
 from ..operators import features as ft
+from ..operators import forecast as fc
 from ..operators import inference as inf
 from ..operators import metrics as mt
 from ..operators import panel as pn
@@ -15,7 +19,7 @@ from ..operators import quality as ql
 from ..operators import spatial as sp
 from ..operators import tables as tb
 from . import base as b
-from .interval_reports import _MONDRIAN, mondrian, split_cp
+from .interval_reports import _MONDRIAN, FOREST, mondrian, split_cp
 from .panel_reports import report
 
 _CELLS = f"cell AS (SELECT series, {b.scores_sql()} FROM cp GROUP BY series)"
@@ -294,6 +298,46 @@ def failure_injection(spark, sf_dir):
     return dc.causal(made, base, "series", "level")
 
 
+_ONSET, _OVERSHOOT = 60, 1.6769
+_SWEEP = (0.8, 0.9, 0.95, 0.98, 1.0, 1.05, 1.2, _OVERSHOOT)
+
+
+def injected(rows):
+    """Test rows of each arm: nothing, an implausible level, a plausible one, and the sweep's levels, from the onset on.
+    Lags and rolling statistics are rebuilt over all retained rows of the series."""
+    train = F.col("split") == "train"
+    known = rows.groupBy("series").agg(F.max(F.when(train, F.col("occ"))).alias("capacity"), F.percentile(F.when(train, F.col("occ")), F.lit(0.5)).alias("median"))
+    levels = [("none", F.lit(None).cast("double")), ("implausible", d(_OVERSHOOT) * F.col("capacity")), ("plausible", F.col("median")), *((f"level_{x:.4f}", d(x) * F.col("capacity")) for x in _SWEEP)]
+    many = rows.join(known, "series").select("*", F.inline(F.array(*[F.struct(F.lit(a).alias("arm"), v.alias("level")) for a, v in levels])))
+    start = F.when((F.col("split") == "test") & F.col("level").isNotNull(), F.lit(_ONSET))
+    for c in ("occ", "y"):
+        many = ft.overlaid(many, c, start, F.col("level"))
+    return b.part(ft.rebuilt(many, b.LAGS, b.WIDTH, "series", "arm", order="slot"), "test").dropna(subset=b.FEATURES)
+
+
+@report()
+def failure_injection_arms(spark, sf_dir):
+    """Three arms and eight levels, through fitted models and adaptive quantile intervals as without an injection. The
+    models of a series are fitted once; its arms are rows to predict."""
+    rows = b.rows(spark, sf_dir)
+    arms = injected(rows)
+    every = rows.filter("split <> 'test'").withColumn("arm", F.lit("")).unionByName(arms.drop("capacity", "median", "level"))
+    how = {"carry": ("i", "split", "arm")}
+    on = ["series", *how["carry"]]
+    point = fc.fitted(every, b.FEATURES, "y", "occ", "forest", "series", **how, **FOREST).select(*on, "yhat")
+    band = cf.uncrossed(fc.fitted_band(every, b.FEATURES, "y", "occ", b.ALPHA, "series", rounds=100, **how), "low", "high")
+    cal = b.calibration(band, "low", "high").drop("arm")
+    gamma = ad.chosen_gamma(cal, "series", low="low", high="high", alpha=b.ALPHA, horizon=b.HORIZON).select("series", "gamma")
+    keyed = arms.select("series", "arm").distinct().join(gamma, "series")
+    iv = ad.stream(cal.join(keyed, "series"), b.part(band, "test").join(gamma, "series"), "series", "arm", "gamma", low="low", high="high", alpha=b.ALPHA, horizon=b.HORIZON, gamma=F.col("gamma"))
+    seen = iv.join(b.part(point, "test").drop("split"), ["series", "arm", "i"]).join(arms.select("series", "arm", "i", "capacity"), ["series", "arm", "i"])
+    by = seen.select("series", "arm", "gamma", "i", "capacity", F.inline(F.array(*[F.struct(F.lit(p).alias("policy"), F.col(c).alias("bound")) for p, c in (("interval", "hi"), ("point", "yhat"))])))
+    made = dc.withdrawals(by, F.col("capacity") - F.col("bound") < 1, F.lit(_ONSET), "series", "arm", "policy", "gamma")
+    out = dc.causal(made, made.filter("arm = 'none'"), "series", "policy")
+    first = lambda p: F.max(F.when(F.col("policy") == p, F.col("first_withdrawal"))).over(Window.partitionBy("series", "arm"))
+    return out.withColumn("lead_over_point", first("point") - first("interval"))
+
+
 # Space: sites are users modulo 20 on a six-hour grid.
 
 _COORD = "coord AS (SELECT CAST(k AS BIGINT) AS site, 44.75 + (k * 11 % 19) * 0.01::DOUBLE AS lat, 20.40 + (k * 7 % 23) * 0.01::DOUBLE AS lon FROM range(20) t(k))"

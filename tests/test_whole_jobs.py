@@ -52,3 +52,32 @@ def test_permutation_tests_draw_in_full(spark, monkeypatch):
 
     c = calls(monkeypatch, spark, "spatial_permutation_tests", spatial, "permutation_tests")[0]
     assert (c["moran_draws"], c["mantel_draws"]) == (999, 9_999)
+
+
+def test_delay_grid_holds_the_smaller_report(spark):
+    sf = "/root/testdata/sf0.01"
+    got = plans.QUERIES["delay_sensitivity_grid"](spark, sf).toPandas()
+    n = got["series"].nunique()
+    assert len(got) == n * 3 * (6 + 1)
+    assert sorted(got.loc[got["method"] == "aci", "gamma"].unique()) == [0.002, 0.005, 0.01, 0.02, 0.05, 0.1]
+    small = plans.QUERIES["delay_sensitivity"](spark, sf).toPandas().set_index(["gamma", "series"])
+    same = got[(got["horizon"] == 3) & got["gamma"].isin([0.005, 0.05])].set_index(["gamma", "series"]).loc[small.index]
+    assert np.abs(same[["picp", "mpiw", "winkler"]].to_numpy() - small[["picp", "mpiw", "winkler"]].to_numpy()).max() == 0
+
+
+def test_injection_rebuilds_features_in_every_arm(spark):
+    from gaugeline.plans import base, summary_reports
+
+    rows = base.rows(spark, "/root/testdata/sf0.01").filter("series = 'click'").cache()
+    got = summary_reports.injected(rows).toPandas().sort_values("i").set_index("arm")
+    assert got.index.nunique() == 11
+    kept = rows.toPandas().sort_values("slot")
+    cap = kept.loc[kept["split"] == "train", "occ"].max()
+    for arm, level in (("none", None), ("level_0.8000", 0.8 * cap), ("plausible", kept.loc[kept["split"] == "train", "occ"].median())):
+        want = kept.assign(level=kept["occ"] if level is None else level)
+        hit = (want["split"] == "test") & (want["i"] >= 60)
+        want["occ"] = want["occ"].where(~hit, want["level"])
+        x = got.loc[arm]
+        for k in base.LAGS:
+            assert np.allclose(x[f"lag_{k}"], want["occ"].shift(k)[want["split"] == "test"])
+        assert np.allclose(x["roll_mean"], want["occ"].shift(1).rolling(6).mean()[want["split"] == "test"])
