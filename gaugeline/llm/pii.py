@@ -1,8 +1,8 @@
 """Personal data by rules and bootstrapped contextual extraction.
 
 Four kinds are found by rule: e-mail addresses, IPv4 addresses, card numbers (Luhn) and phone numbers. They are seeds.
-The two words before a seed are a lexical pattern; words that look like identifiers but that no rule matched are
-candidates, with their patterns. Patterns and instances form a graph, one edge per distinct (pattern, instance). In each
+The two words before a seed are a lexical pattern; words that look like identifiers but that no rule matched, and runs
+of numbers joined by single blanks, are candidates, with their patterns. Patterns and instances form a graph, one edge per distinct (pattern, instance). In each
 round a pattern's confidence in a kind is the share of its distinct instances that are known to be of it, patterns with
 enough known instances and confidence are taken, and candidates score one minus the product of their patterns' doubts;
 those above the threshold, of a shape that the kind allows, become known. At the end the candidates that stand in a
@@ -33,8 +33,11 @@ PATTERNS = {
 #: What a text of the kind must contain: a cheap test before the matcher runs.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 CANDIDATE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: Code points of the longest candidate, and of the context that is looked at.
-LONGEST, BEFORE = 64, 60
+#: Pieces of numbers, each a word up to marks that end it, joined by single blanks.
+_PIECE = r"[(+]?+[0-9][0-9().+/-]*+(?=[\"',;:!?\]>}]*+(?:[\x20\x09-\x0D]|$))"
+RUN = rf"(?<![^\x20\x09-\x0D\"'\[<{{]){_PIECE}(?:\x20{_PIECE})++"
+#: Code points beyond which values and contexts are kept as hashes.
+LONGEST = 64
 #: Matches whose places are added up at once.
 CHUNK = 256
 SPANS = "array<struct<kind:int,start:int,stop:int>>"
@@ -84,7 +87,7 @@ def matches(text: Column, pattern: str) -> Column:
         def over(gaps: Column) -> Column:
             part = lambda a, i: F.when(i >= 0, F.get(a, i)).otherwise("")
             before = lambda i: F.concat(part(values, i - 2), part(gaps, i - 1), part(values, i - 1), F.get(gaps, i))
-            rows = F.transform(values, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), v.alias("value"), F.substring(before(i), F.lit(-BEFORE), F.lit(BEFORE)).alias("before")))
+            rows = F.transform(values, lambda v, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), v.alias("value"), before(i).alias("before")))
             parts = lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int")), lambda c: F.slice(r, c * CHUNK + 1, F.lit(CHUNK)))
             return once(once(rows, parts), chunked)
 
@@ -112,7 +115,11 @@ def rule_matches(text: Column) -> Column:
 
 def _context(before: Column) -> Column:
     """The last two words, in lower case; empty where there are fewer."""
-    return F.lower(F.regexp_extract(before, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
+    return _bounded(F.lower(F.regexp_extract(before, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1)))
+
+
+def _bounded(value: Column) -> Column:
+    return F.when(F.length(value) > LONGEST, F.sha2(value, 256)).otherwise(value)
 
 
 def _shape(kind: Column, value: Column) -> Column:
@@ -122,7 +129,7 @@ def _shape(kind: Column, value: Column) -> Column:
         F.when(kind == 0, value.rlike("^[^@]+@[^@]+$"))
         .when(kind == 1, value.rlike("^[0-9A-Fa-f]+(?:[.:]+[0-9A-Fa-f]+){3,7}$"))
         .when(kind == 2, n.between(12, 19) & value.rlike("^[0-9 -]+$"))
-        .otherwise(n.between(7, 15) & value.rlike("^[0-9().+/-]+$"))
+        .otherwise(n.between(7, 15) & value.rlike("^[0-9() .+/-]+$"))
     )
 
 
@@ -131,25 +138,38 @@ def occurrences(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     body = text_or_empty(text)
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(body).alias("text_id"), body.alias("text"))
     rows = rows.withColumn("found", rule_matches(F.col("text"))).withColumn("words", matches(F.col("text"), CANDIDATE))
-    base = F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), F.lower(m["value"]).alias("value"), _context(m["before"]).alias("context")))
+    rows = rows.withColumn("runs", F.when(F.col("text").rlike(RUN), matches(F.col("text"), RUN)).otherwise(F.filter("words", lambda m: F.lit(False))))
+    base = F.transform("found", lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["stop"].alias("stop"), _bounded(F.lower(m["value"])).alias("value"), _context(m["before"]).alias("context")))
     lead, tail = "\"'([<{", "\"'),.;:!?]>}"
 
+    def cored(m: Column, cut: Column, value: Column) -> Column:
+        start = m["start"] + F.length(m["value"]) - F.length(cut)
+        shape = F.array(*[_shape(F.lit(k), value) for k in range(len(KINDS))])
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), _bounded(F.lower(value)).alias("value"), shape.alias("shape"), _context(m["before"]).alias("context"))
+
     def core(m: Column) -> Column:
         cut = F.ltrim(m["value"], F.lit(lead))
-        start = m["start"] + F.length(m["value"]) - F.length(cut)
-        value = F.rtrim(cut, F.lit(tail))
-        return F.struct(start.alias("start"), (start + F.length(value)).alias("stop"), F.lower(value).alias("value"), _context(m["before"]).alias("context"))
+        return cored(m, cut, F.rtrim(cut, F.lit(tail)))
+
+    def core_of_run(m: Column) -> Column:
+        """Brackets around all of a run go, those within stay."""
+        cut = F.when(m["value"].rlike(r"^\([^()]*+\)?+[.+/-]*+$"), F.substring(m["value"], F.lit(2), F.length(m["value"]))).otherwise(m["value"])
+        value = F.rtrim(cut, F.lit(".(+/-"))
+        return cored(m, cut, F.when(F.contains(value, F.lit("(")), value).otherwise(F.rtrim(value, F.lit(").(+/-"))))
 
-    short = F.filter("words", lambda m: F.length(m["value"]) <= LONGEST)
-    free = F.filter(short, lambda m: ~F.exists("found", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
-    return stage(rows.select("doc_id", "text_id", base.alias("base"), F.filter(F.transform(free, core), lambda c: (c["value"] != "") & (c["context"] != "")).alias("candidates")), "occurrences")
+    free = lambda c: F.filter(c, lambda m: ~F.exists("found", lambda b: (b["start"] < m["stop"]) & (m["start"] < b["stop"])))
+    shaped = lambda c: F.exists(c["shape"], lambda x: x)
+    rows = rows.select("doc_id", "text_id", base.alias("base"), F.transform(free("words"), core).alias("words"), F.filter(F.transform(free("runs"), core_of_run), shaped).alias("runs"))
+    # a word of no shape that lies in a run is a part of an instance, not one of its own
+    own = F.filter("words", lambda c: shaped(c) | ~F.exists("runs", lambda r: (r["start"] <= c["start"]) & (c["stop"] <= r["stop"] + 1)))
+    return stage(rows.select("doc_id", "text_id", "base", F.filter(F.concat(own, "runs"), lambda c: (c["value"] != "") & (c["context"] != "")).alias("candidates")), "occurrences")
 
 
 def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.9, threshold: float = 0.8) -> DataFrame:
     """context, kind, confidence of the patterns that are taken in the last round."""
-    seeds = found.select(F.explode("base").alias("m")).filter("m.context <> ''").select("m.context", "m.value", "m.kind")
-    others = found.select(F.explode("candidates").alias("m")).select("m.context", "m.value", F.lit(None).cast("int").alias("kind"))
-    edges = stage(seeds.unionByName(others).groupBy("context", "value").agg(F.min("kind").alias("seed")), "edges")
+    seeds = found.select(F.explode("base").alias("m")).filter("m.context <> ''").select("m.context", "m.value", "m.kind", F.lit(None).cast("array<boolean>").alias("shape"))
+    others = found.select(F.explode("candidates").alias("m")).select("m.context", "m.value", F.lit(None).cast("int").alias("kind"), "m.shape")
+    edges = stage(seeds.unionByName(others).groupBy("context", "value").agg(F.min("kind").alias("seed"), F.max("shape").alias("shape")), "edges")
     known = edges.filter("seed is not null").groupBy("value").agg(F.min("seed").alias("kind"))
     for r in range(rounds):
         known = stage(known, f"known{r}")
@@ -157,7 +177,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, confidence: f
         totals = by_kind.groupBy("context").agg(F.sum("n").alias("total"), F.max_by(F.struct("kind", "n"), F.when(F.col("kind").isNotNull(), F.col("n"))).alias("top"))
         taken = totals.filter((F.col("top.n") >= support) & (F.col("top.n") >= confidence * F.col("total")) & F.col("top.kind").isNotNull())
         taken = stage(taken.select("context", "top.kind", (F.col("top.n") / (F.col("total") + 1)).alias("confidence")), f"patterns{r}")
-        doubt = edges.join(known.select("value"), "value", "left_anti").join(taken, "context").filter(_shape(F.col("kind"), F.col("value")))
+        doubt = edges.join(known.select("value"), "value", "left_anti").join(taken, "context").filter(F.get("shape", F.col("kind")))
         scored = doubt.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
         fresh = scored.filter(F.col("score") >= threshold).groupBy("value").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
         known = known.unionByName(fresh)
@@ -167,7 +187,7 @@ def bootstrap(found: DataFrame, rounds: int = 3, support: int = 5, confidence: f
 def discovered(found: DataFrame, patterns: DataFrame) -> DataFrame:
     """doc_id, text_id, added: spans of candidates in taken patterns; only of documents that have any."""
     rows = found.filter(F.size("candidates") > 0).select("doc_id", "text_id", F.explode("candidates").alias("c")).select("doc_id", "text_id", "c.*")
-    hit = rows.join(patterns, "context").filter(_shape(F.col("kind"), F.col("value")))
+    hit = rows.join(patterns, "context").filter(F.get("shape", F.col("kind")))
     return hit.groupBy("doc_id", "text_id").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "stop"))).alias("added"))
 
 
