@@ -42,8 +42,7 @@ def cramers_v(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 
 def excess_dispersion(cells: DataFrame, base: str, *keys: str, population: bool = True) -> DataFrame:
-    """Spread of coverage over cells of each partition, what exceeds the chance partition's, and the share of the base
-    partition's excess that is gone."""
+    """Spread of coverage over cells of each partition, and what exceeds the chance partition's."""
     sd = (F.stddev_pop if population else F.stddev_samp)("picp")
     spread = cells.groupBy(*keys, "partition").agg(F.count("*").alias("n_cells"), sd.alias("sd"))
     floor = spread.filter(F.col("partition") == base).select(*keys, F.col("sd").alias("floor_sd"))
