@@ -3,8 +3,9 @@
 Both vocabularies used here cut a text at white space, and between letters and sentence marks, before anything else. So a
 text's ids are those of its segments, one after the other, as long as a segment keeps the white space that belongs to it.
 Segments repeat: a worker finds and hashes those of a batch of texts with array operations, looks them up in a table of
-bounded size, and hands only new ones to the tokenizers library, many in one call. Texts whose white space isn't plain
-are encoded whole. Control strings inside texts are ordinary text.
+bounded size, and hands only new ones to the tokenizers library, many in one call. A hash only says where to look: a
+segment takes remembered ids if its bytes are those remembered, and segments of one batch share ids if their bytes are
+equal. Texts whose white space isn't plain are encoded whole. Control strings inside texts are ordinary text.
 """
 
 from __future__ import annotations
@@ -53,8 +54,25 @@ def _powers(n: int):
     return have
 
 
+def _spread(starts, lengths):
+    """The places start to start + length of all, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def _differ(a, a_starts, b, b_starts, lengths):
+    """Whether the bytes of two buffers differ, for runs of these lengths, none of them empty."""
+    if not len(lengths):
+        return np.zeros(0, bool)
+    unlike = a[_spread(a_starts, lengths)] != b[_spread(b_starts, lengths)]
+    if not unlike.any():
+        return np.zeros(len(lengths), bool)
+    return np.add.reduceat(unlike.astype(np.int32), np.cumsum(lengths) - lengths) > 0
+
+
 class _Memory:
-    """Hash to ids, in arrays: open addressing, ids in one flat array. Emptied when full."""
+    """Segments to ids, in arrays: open addressing by a hash, bytes and ids in flat arrays. Emptied when full."""
 
     def __init__(self) -> None:
         self.clear()
@@ -64,6 +82,7 @@ class _Memory:
         self.at = np.zeros(1 << _SLOTS, np.int32)
         self.n = self.used = 0
         self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.bytes, self.byte_starts, self.byte_lengths, self.n_bytes = np.zeros(1 << 19, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _slot(self, keys):
         return (keys >> _U(64 - _SLOTS)).astype(np.int64)
@@ -80,11 +99,26 @@ class _Memory:
             open_, slot = open_[go], (slot[go] + 1) & ((1 << _SLOTS) - 1)
         return out
 
-    def add(self, keys, ids: list) -> None:
-        """New, distinct keys with their ids."""
+    def unlike(self, number, shown, starts, lengths):
+        """Whether the segments' bytes differ from those of the entries."""
+        out = self.byte_lengths[number] != lengths
+        same = np.flatnonzero(~out)
+        out[same] = _differ(self.bytes, self.byte_starts[number[same]], shown, starts[same], lengths[same])
+        return out
+
+    def add(self, keys, ids: list, words: list[bytes]) -> None:
+        """New, distinct keys with their ids and bytes."""
         n = len(keys)
         while self.n + n > len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+            for name in ("starts", "lengths", "byte_starts", "byte_lengths"):
+                setattr(self, name, np.resize(getattr(self, name), 2 * len(self.starts) if name == "starts" else len(self.starts)))
+        sizes, joined = np.fromiter(map(len, words), np.int64, n), np.frombuffer(b"".join(words), np.uint8)
+        while self.n_bytes + len(joined) > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * len(self.bytes))
+        self.bytes[self.n_bytes : self.n_bytes + len(joined)] = joined
+        self.byte_starts[self.n : self.n + n] = self.n_bytes + np.cumsum(sizes) - sizes
+        self.byte_lengths[self.n : self.n + n] = sizes
+        self.n_bytes += len(joined)
         lengths = np.fromiter(map(len, ids), np.int64, n)
         flat = np.concatenate(ids) if n else np.empty(0, np.uint32)
         while self.used + len(flat) > len(self.flat):
@@ -171,23 +205,38 @@ class _Encoder:
         keys[keys == 0] = 1
         if self.memory.n > REMEMBER:
             self.memory.clear()
+        lengths = ends - starts
         number = self.memory.find(keys)
+        known = np.flatnonzero(number >= 0)
+        clash = np.zeros(len(keys), bool)  # segments whose hash is another's
+        clash[known] = self.memory.unlike(number[known], shown, starts[known], lengths[known])
         lacking = np.flatnonzero(number < 0)
         extra: list = []
         if len(lacking):
             new, where, inverse = np.unique(keys[lacking], return_index=True, return_inverse=True)
+            first = lacking[where][inverse]
+            unlike = lengths[first] != lengths[lacking]
+            again = np.flatnonzero(~unlike & (first != lacking))
+            unlike[again] = _differ(shown, starts[first[again]], shown, starts[lacking[again]], lengths[lacking[again]])
+            clash[lacking[unlike]] = True
             at = lacking[where]
             data = shown.tobytes()
-            words = [data[s:e].decode() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            ids = self.fresh(words)
+            words = [data[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            ids = self.fresh([w.decode() for w in words])
             base = self.memory.n
-            short = (ends[at] - starts[at]) <= LONGEST
-            self.memory.add(new[short], [x for x, ok in zip(ids, short, strict=True) if ok])
+            short = lengths[at] <= LONGEST
+            self.memory.add(new[short], [x for x, ok in zip(ids, short, strict=True) if ok], [x for x, ok in zip(words, short, strict=True) if ok])
             extra = [x for x, ok in zip(ids, short, strict=True) if not ok]
             named = np.empty(len(new), np.int64)
             named[short] = base + np.arange(int(short.sum()))
             named[~short] = -2 - np.arange(len(extra))
             number[lacking] = named[inverse]
+        if clash.any():  # those are told apart by their bytes alone
+            at = np.flatnonzero(clash)
+            words = [shown[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            place = {w: -2 - len(extra) - i for i, w in enumerate(dict.fromkeys(words))}
+            extra = extra + self.fresh([w.decode() for w in place])
+            number[at] = [place[w] for w in words]
         flat, from_, many = self.memory.flat[: self.memory.used], self.memory.starts[: self.memory.n], self.memory.lengths[: self.memory.n]
         if extra:
             long_starts = len(flat) + np.cumsum([0, *map(len, extra)])[:-1]
@@ -196,7 +245,7 @@ class _Encoder:
             number = np.where(number < 0, self.memory.n - 2 - number, number)
         lengths = many[number].astype(np.int64)
         upto = np.concatenate(([0], np.cumsum(lengths)))
-        ids = flat[np.repeat(from_[number] - upto[:-1], lengths) + np.arange(upto[-1])]
+        ids = flat[_spread(from_[number], lengths)]
         segment = np.searchsorted(starts, np.append(firsts, len(b)), "left")
         return ids, upto[segment]
 
