@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,18 +20,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see. A cluster names it in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a temporary folder is set."""
+    """The folder that the driver and all executors see. A cluster names it in spark.checkpoint.dir. Where that is unset,
+    a session whose executors are threads of this process takes a temporary folder; any other one is refused."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeline-"))
         root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/gaugeline/{name}-{uuid4().hex}"
+    return f"{shared_root(spark)}/gaugeline/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +44,47 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Stages tables, and removes those that nothing reads any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def stage(self, df: DataFrame, name: str) -> DataFrame:
+        path = shared_path(self.spark, name)
+        df.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """What was made of these tables must be staged itself."""
+        for t in tables:
+            _, path = self.paths.pop(id(t))
+            remove(self.spark, path)
+
+    def close(self, keep: Iterable[DataFrame] = ()) -> None:
+        """Removes all but some tables, which are left for the session's readers."""
+        kept = {id(t) for t in keep}
+        self.drop(*[t for i, (t, _) in self.paths.items() if i not in kept])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def in_parts(batches, rows: int = 1000):
     """Arrow batches in parts, so what a worker makes of one stays small; afterwards Arrow gives back what it holds."""
     import pyarrow as pa

@@ -5,9 +5,12 @@ Each record hashes to one of `n_slots` virtual slots, for good. Bytes are added
 hash: only the slots that change hands move. All steps are DataFrame operations; what is gathered in one row or
 broadcast is bounded by `n_slots`.
 
+Equal rows (same key, size and checksum) are counted first and dealt as numbered copies, each with a slot of its own, so
+that a crowd of them spreads over all slots; the narrow rows meet once for that, by all their values.
+
 Defined results: a null text has no bytes and checksum 0; a null key hashes like any other value, together with the
-text's checksum, so that many null or equal keys with different texts still spread; equal rows share a virtual slot and
-get different places; an empty table gives an empty map and no rows; other columns of the input are not looked at.
+text's checksum; equal rows get different places, whichever of them has which; an empty table gives an empty map and no
+rows; other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -19,13 +22,31 @@ from .common import shared_path, stage
 
 N_SLOTS = 4096
 OVERHEAD = 8
+#: Equal rows that one task unfolds at a time.
+LOT = 100_000
 
 
-def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """key, size (UTF-8 bytes of the text plus 8), text_crc32 and virtual_slot of each row; the text is read once."""
+def counted(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, size (UTF-8 bytes of the text plus 8) and text_crc32, with the number n of rows that share them; the text is
+    read once."""
     body = F.coalesce(F.col(text), F.lit(""))
     rows = df.select(F.col(key).alias("key"), (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
-    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("key", "text_crc32"), F.lit(n_slots)).cast("int"))
+    return rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n"))
+
+
+def copies(groups: DataFrame) -> DataFrame:
+    """Each group as n rows with their number, copy. Where n is more than LOT, lots are dealt out before they unfold."""
+    one = groups.filter(F.col("n") == 1).withColumn("copy", F.lit(0).cast("long")).drop("n")
+    lots = groups.filter(F.col("n") > 1).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))).alias("lot"))
+    lots = lots.repartition("key", "text_crc32", "lot")
+    numbers = F.sequence(F.col("lot") * LOT, F.least(F.col("lot") * LOT + LOT, F.col("n")) - 1)
+    return one.unionByName(lots.select("*", F.explode(numbers).alias("copy")).drop("n", "lot"))
+
+
+def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
+    """key, size, text_crc32, copy and virtual_slot of each row. The first of equal rows has the slot of its values."""
+    salt = F.when(F.col("copy") > 0, F.col("copy"))  # hashes skip nulls
+    return copies(counted(df, key, text)).withColumn("virtual_slot", F.pmod(F.xxhash64("key", "text_crc32", salt), F.lit(n_slots)).cast("int"))
 
 
 def slot_totals(rows: DataFrame) -> DataFrame:
@@ -81,7 +102,7 @@ def placed(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
     the own slot. No task sees more than one slot's rows, which hold a key, a size and a checksum only."""
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slot_map.select("virtual_slot", "shard", "version", F.coalesce(F.sum("records").over(before), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("virtual_slot").orderBy("key", "text_crc32", "size")
+    inside = Window.partitionBy("virtual_slot").orderBy("key", "text_crc32", "size", "copy")
     return rows.withColumn("place", F.row_number().over(inside).cast("long") - 1).join(F.broadcast(offsets), "virtual_slot").withColumn("place", F.col("place") + F.col("before")).drop("before")
 
 

@@ -34,6 +34,19 @@ def test_sharding(table):
         assert max(load.values()) <= sum(load.values()) / 24 + max(r.size for r in rows)
 
 
+def test_equal_rows_spread_over_shards(spark, monkeypatch):
+    for lot in (sharding.LOT, 300):
+        monkeypatch.setattr(sharding, "LOT", lot)
+        df = spark.range(2000).selectExpr("7L AS doc_id", "repeat('x', 500) AS text").union(spark.range(1000).selectExpr("CAST(NULL AS LONG)", "'y'"))
+        rows = sharding.shard(df, 24).collect()
+        load = Counter()
+        for r in rows:
+            load[r.shard] += r.size
+        assert Counter((r.key, r.size) for r in rows) == {(7, 508): 2000, (None, 9): 1000}
+        assert len(load) == 24
+        assert max(load.values()) - min(load.values()) <= 0.05 * sum(load.values()) / 24
+
+
 def test_slot_map_versions(spark, small):
     store = shared_path(spark, "test-map")
     rows = sharding.slotted(small, n_slots=256)
