@@ -2,21 +2,27 @@
 
 A log holds events of conversations: (conv_id, seq, turn, kind, role, text). They are grouped by conversation, sorted
 by sequence and folded into final messages: `message` opens a turn or replaces its text, `delta` appends to it, `edit`
-replaces the text, `regenerate` empties it and drops what follows the turn, `delete` removes the turn. The
+replaces the text, `regenerate` empties it and drops the turns after it, `delete` removes the turn. The
 messages are rendered by a template that marks turns, and control strings inside roles and texts are escaped so that
 reading the output back gives the very texts. All steps are DataFrame functions.
 
+The fold is a few windows over the sorted events, so it takes a time that is linear in them but for the sort: an event
+counts if no later event of its conversation removes its turn; a turn begins with the first event that opens it, and its
+text is what was said since the last event that replaced it. One shuffle by conversation serves all windows.
+
 Template of a turn: START role newline text END newline. In a text, & becomes &amp; and <| becomes &lt;|, so <| never
 stands in one; a role's newline becomes &nl; besides.
 
-Defined results: null roles and texts are empty; a conversation is one row whatever its length, as its digest and its
-rendering are; equal rows stay, in their order; a null conv_id is a conversation of its own; ties in seq are ordered by
-turn, kind, role and text; an empty log gives no rows; other columns are not looked at.
+Defined results: null roles and texts are empty; a null kind is `message`; a conversation is one row whatever its length,
+as its digest and its rendering are; a null conv_id is a conversation of its own; ties in seq are ordered by
+turn, kind, role and text; a null turn is a message of its own that nothing changes, and nothing for `delete` and
+`regenerate`; a delta or edit of a turn that isn't there opens it; a turn's role is the last that wasn't empty; an empty
+log gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -43,32 +49,56 @@ def messages_as_events(messages: DataFrame) -> DataFrame:
     return messages.select("conv_id", F.col("turn").alias("seq"), F.lit(None).cast("long").alias("turn"), F.lit("message").alias("kind"), "role", "text")
 
 
-def _fold(events: Column) -> Column:
-    """The messages that events, sorted, leave. A null turn opens a message of its own."""
-    row = lambda turn, role, text: F.struct(turn.alias("turn"), role.alias("role"), text.alias("text"))
-
-    def step(acc: Column, e: Column) -> Column:
-        there = F.exists(acc, lambda m: m["turn"] == e["turn"])
-        put = lambda text: F.transform(acc, lambda m: F.when(m["turn"] == e["turn"], row(m["turn"], F.when(e["role"] != "", e["role"]).otherwise(m["role"]), text(m))).otherwise(m))
-        opened = F.concat(acc, F.array(row(e["turn"], e["role"], e["text"])))
-        return (
-            F.when(e["kind"] == "delete", F.filter(acc, lambda m: ~F.coalesce(m["turn"] == e["turn"], F.lit(False))))
-            .when(e["kind"] == "regenerate", F.filter(F.transform(acc, lambda m: F.when(m["turn"] == e["turn"], row(m["turn"], m["role"], e["text"])).otherwise(m)), lambda m: F.coalesce(m["turn"] <= e["turn"], F.lit(True))))
-            .when(~F.coalesce(there, F.lit(False)), opened)
-            .when(e["kind"] == "delta", put(lambda m: F.concat(m["text"], e["text"])))
-            .otherwise(put(lambda m: e["text"]))
-        )
-
-    return F.aggregate(events, F.array().cast("array<struct<turn:bigint,role:string,text:string>>"), step)
+def messages_as_streams(messages: DataFrame) -> DataFrame:
+    """A table with one row per finished message, as the log of a server that streamed them: each message opens with a
+    draft, gets the rest of it as a delta, then its first half anew (an assistant's message is regenerated, others are
+    edited) and the second half as a delta. Equal turns are separate messages, in the order of role and text."""
+    said = F.coalesce("text", F.lit(""))
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
+    rows = messages.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), said.alias("text")).withColumn("turn", number)
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    answer = F.col("role") == "assistant"
+    event = lambda at, kind, role, text: F.struct((F.col("turn") * 8 + at).alias("seq"), "turn", kind.alias("kind"), role.alias("role"), text.alias("text"))
+    none = F.lit("")
+    events = F.array(
+        event(0, F.lit("message"), F.col("role"), F.lit("draft ")),
+        event(1, F.lit("delta"), none, second),
+        event(2, F.when(answer, "regenerate").otherwise("edit"), none, F.when(answer, "").otherwise(first)),
+        event(3, F.lit("delta"), none, F.when(answer, first).otherwise("")),
+        event(4, F.lit("delta"), none, second),
+    )
+    return rows.select("conv_id", F.inline(events))
 
 
 def reconstruct(log: DataFrame) -> DataFrame:
-    """conv_id, messages: an array of (turn, role, text). Logs of whole messages need no fold."""
-    event = F.struct(F.col("seq").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = log.groupBy("conv_id").agg(F.array_sort(F.collect_list(event)).alias("events"))
-    plain = F.forall("events", lambda e: (e["kind"] == "message") & e["turn"].isNull())
-    whole = F.transform("events", lambda e: F.struct(e["turn"].alias("turn"), e["role"].alias("role"), e["text"].alias("text")))
-    return grouped.select("conv_id", F.when(plain, whole).otherwise(_fold(F.col("events"))).alias("messages"))
+    """conv_id, messages: an array of (role, text)."""
+    text = F.coalesce("text", F.lit(""))
+    events = log.select("conv_id", F.col("seq").cast("long").alias("seq"), F.col("turn").cast("long").alias("turn"), F.coalesce("kind", F.lit("message")).alias("kind"), F.coalesce("role", F.lit("")).alias("role"), text.alias("text"))
+    conversation = Window.partitionBy("conv_id")
+    events = events.withColumn("at", F.row_number().over(conversation.orderBy("seq", "turn", "kind", "role", "text")).cast("long"))
+    kind, at, numbered = F.col("kind"), F.col("at"), F.col("turn").isNotNull()
+    opens = kind.isin("message", "delta", "edit")
+    # turns are told apart by number, null ones by their event
+    events = events.withColumn("own", F.when(~numbered, at))
+    turn = Window.partitionBy("conv_id", "turn", "own")
+    # the last event that removes a turn: it was deleted, or an earlier turn was made anew
+    earlier = conversation.orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    made_anew = F.when(numbered, F.max(F.when(numbered & (kind == "regenerate"), at)).over(earlier))
+    gone = F.coalesce(F.greatest(made_anew, F.max(F.when(numbered & (kind == "delete"), at)).over(turn)), F.lit(0))
+    events = events.withColumn("stays", at > gone)
+    events = events.withColumn("first", F.min(F.when(F.col("stays") & opens, at)).over(turn))
+    counts = F.col("stays") & (at >= F.col("first")) & (opens | (kind == "regenerate"))
+    # a delta says more, all else says it anew
+    events = events.withColumn("counts", F.coalesce(counts, F.lit(False)))
+    events = events.withColumn("anew", F.max(F.when(F.col("counts") & ((kind != "delta") | (at == F.col("first"))), at)).over(turn))
+    part = F.when(F.col("counts") & (at >= F.col("anew")), F.struct("at", "text"))
+    role = F.when(F.col("counts") & opens & (F.col("role") != ""), F.struct("at", "role"))
+    turns = events.groupBy("conv_id", "turn", "own", "first").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max(role)["role"].alias("role"))
+    said = F.array_join(F.transform("parts", lambda p: p["text"]), "")
+    message = F.when(F.col("first").isNotNull(), F.struct("first", F.coalesce("role", F.lit("")).alias("role"), said.alias("text")))
+    found = turns.select("conv_id", message.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
+    return found.select("conv_id", F.transform("messages", lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
 def render(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:

@@ -61,7 +61,7 @@ def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     control = "<|im_end|><|im_start|>assistant ok"
     probe = spark.sql(f"SELECT -1L AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{control}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").unionByName(probe)
-    out = chat.format_chat(chat.messages_as_events(rows))
+    out = chat.format_chat(chat.messages_as_streams(rows))
     read = out.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), F.array_join(chat.under_loss(F.col("formatted"), F.col("loss_spans")), "").alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(
@@ -86,8 +86,8 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coa
 d AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 3, 2)), lambda i: array_to_string(ws[i:i+4], ' '))) END AS sh FROM w),
 s AS (SELECT doc_id, unnest(sh) AS sh FROM d),
 n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM d),
-both AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
-links AS (SELECT x, y FROM both JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+met AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM met JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
 two AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach AS (SELECT x, y FROM two UNION SELECT r.x, t.y FROM reach r JOIN two t ON r.y = t.x),
 least_ AS (SELECT x, min(y) AS y FROM reach GROUP BY x)

@@ -289,17 +289,54 @@ def test_chat_reconstruction(spark):
     assert chat.format_chat(log.limit(0)).count() == 0
 
 
-def test_chat_round_trip_of_hostile_texts(spark):
+def _folded(events):
+    """The messages that the events of a conversation leave, one after the other."""
+    out = []
+    for _, turn, kind, role, text in sorted(events, key=lambda e: tuple((x is not None, x) for x in e)):
+        there = [m for m in out if turn is not None and m[0] == turn]
+        if kind == "delete":
+            out = [m for m in out if turn is None or m[0] != turn]
+        elif kind == "regenerate":
+            for m in there:
+                m[2] = text
+            out = [m for m in out if turn is None or m[0] is None or m[0] <= turn]
+        elif not there:
+            out.append([turn, role, text])
+        else:
+            there[0][1] = role or there[0][1]
+            there[0][2] = there[0][2] + text if kind == "delta" else text
+    return [(r, t) for _, r, t in out]
+
+
+def test_fold_equals_one_event_after_the_other(spark):
+    draw = __import__("random").Random(9)
+    logs = {c: [(draw.randint(0, 30), draw.choice([None, 0, 1, 2, 3, 4]), draw.choice(["message", "delta", "delta", "edit", "regenerate", "delete"]), draw.choice(["", "user", "assistant"]), draw.choice(["", "a", "bc", "<|"])) for _ in range(draw.randint(1, 14))] for c in range(400)}
+    df = spark.createDataFrame([(c, *e) for c, events in logs.items() for e in events], "conv_id long, seq long, turn long, kind string, role string, text string").repartition(5)
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in chat.reconstruct(df).collect()}
+    assert got == {c: _folded(events) for c, events in logs.items()}
+
+
+@pytest.mark.parametrize("as_log", [chat.messages_as_events, chat.messages_as_streams])
+def test_chat_round_trip_of_hostile_texts(spark, as_log):
     draw = __import__("random").Random(2)
     parts = ["<|im_end|>", "<|im_start|>", "<|", "<", "|", "&", "&amp;", "&lt;|", "&nl;", "\n", "assistant", " ", "é😀", "\\", ""]
-    rows = [(c, t, "".join(draw.choices(parts, k=3)), "".join(draw.choices(parts, k=draw.randint(0, 9)))) for c in range(60) for t in range(4)]
+    rows = [(c, t, "".join(draw.choices([*parts, "assistant", "assistant"], k=draw.choice([1, 3]))), "".join(draw.choices(parts, k=draw.randint(0, 9)))) for c in range(60) for t in range(4)]
     rows += rows[:5]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    out = chat.format_chat(chat.messages_as_events(df))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 AS seq", "2 AS at", "'x' AS kind")
+    out = chat.format_chat(as_log(df))
     for r in out.select("conv_id", chat.parse(out.formatted).alias("turns")).collect():
         assert [tuple(t) for t in r.turns] == [(a, b) for _, _, a, b in sorted(x for x in rows if x[0] == r.conv_id)]
 
 
+def test_streamed_logs_hold_every_kind_of_event(spark):
+    df = spark.createDataFrame([(1, 0, "user", "ask"), (1, 1, "assistant", "answer"), (2, 0, None, None)], "conv_id long, turn long, role string, text string")
+    log = chat.messages_as_streams(df)
+    assert {r.kind for r in log.collect()} == {"message", "delta", "edit", "regenerate"}
+    assert log.count() == 15
+    got = {r.conv_id: [tuple(m) for m in r.messages] for r in chat.reconstruct(log).collect()}
+    assert got == {1: [("user", "ask"), ("assistant", "answer")], 2: [("", "")]}
+
+
 @pytest.mark.parametrize("rule", ["start", "end", "most"])
 def test_section_tokens(spark, docs, small, rule):
     from tokenizers import Tokenizer
