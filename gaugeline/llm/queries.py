@@ -54,7 +54,7 @@ def op8_multi_index_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_id")
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents")).drop("text_id", "first")
 
 
 def op10_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -246,6 +246,53 @@ def test_near_duplicates_chains_and_thresholds(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect()) == want
 
 
+def _brute(df):
+    return Counter((d, n, c, d == c) for d, n, c in _components(df.collect()))
+
+
+def _judged(df):
+    return Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(df).collect())
+
+
+def test_near_duplicates_without_ids_and_with_ids_that_repeat(spark):
+    base = " ".join(f"b{i}" for i in range(60))
+    other = " ".join(f"o{i}" for i in range(60))
+    lone = " ".join(f"l{i}" for i in range(60))
+    rows = [(5, base), (None, base + " extra"), (9, base + " other"), (None, lone), (None, lone + " x"), (3, other), (3, lone + " y z"), (-7, other + " w"), (-7, "five words are here now"), (None, ""), (None, ""), (4, None), (4, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'c' AS doc", "1 AS hashed", "true AS first", "2 AS many", "3 AS lots", "map(1, doc_id) AS lot").repartition(3)
+    got = _judged(df)
+    assert got == _brute(df)
+    assert got[9, 57, 5, False] == 1
+    kept = near_dup.drop_near_duplicates(df)
+    assert kept.schema == df.schema
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(5, base): 1, (3, lone + " y z"): 1, (-7, other + " w"): 1, (-7, "five words are here now"): 1, (None, ""): 2, (4, None): 1, (4, ""): 1}
+
+
+def test_near_duplicates_of_crowds_and_shared_passages(spark, monkeypatch):
+    """Keys beyond the salting bound, copies of one row, and texts that share a passage but aren't near copies."""
+    import random
+
+    monkeypatch.setattr(near_dup, "LOT", 4)
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7)
+    draw, rows = random.Random(12), []
+    fresh = lambda n: [f"u{draw.randint(0, 10**9)}" for _ in range(n)]
+    passage = fresh(70)
+    for i in range(60):
+        rows.append((i, " ".join(passage + fresh(draw.choice([3, 8, 12, 16, 20, 30, 60])))))
+    for i in range(60, 80):
+        rows.append((i, " ".join(passage + fresh(5) + passage[:20])))
+    rows += [(100, "all of these rows are one and the same text")] * 40
+    rows += [(101 + i, "all of these rows are one and the same text") for i in range(30)]
+    chain = fresh(50)
+    for i in range(30):
+        rows.append((200 + i, " ".join(chain)))
+        chain = [*chain[1:], *fresh(1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert _judged(df) == _brute(df)
+    kept = near_dup.drop_near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({d for d, _, c in _components(df.collect()) if d == c})
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(1)
     for size in (60, 500, 600, 5000):
