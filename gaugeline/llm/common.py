@@ -95,6 +95,22 @@ def in_parts(batches, rows: int = 1000):
     pa.default_memory_pool().release_unused()
 
 
+def ordered(df: DataFrame) -> Column:
+    """A row's columns as one value that can be put in order: all but those that hold maps."""
+    return F.struct(*[F.col(f"`{f.name}`") for f in df.schema if "map<" not in f.dataType.simpleString()])
+
+
+def unfolded(df: DataFrame, n: str, number: str, by: Iterable[str], lot: int) -> DataFrame:
+    """Each row as often as column n says, numbered from 0. Rows that unfold to more than a lot are dealt out, with the
+    number of the lot, before they do."""
+    (at,) = unused(df, "lot")
+    one = df.filter(F.col(n) == 1).withColumn(number, F.lit(0).cast("long"))
+    lots = df.filter(F.col(n) > 1).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / lot))))
+    lots = lots.repartition(*by, at)
+    numbers = F.sequence(F.col(at) * lot, F.least(F.col(at) * lot + lot, F.col(n)) - 1)
+    return one.unionByName(lots.withColumn(number, F.explode(numbers)).drop(at))
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 

@@ -4,16 +4,21 @@ Documents may belong to several sources. They are counted by membership pattern
 capacity of each pattern is routed to the quotas of its sources by a min-cost flow in which a pattern's n-th pass over
 its documents costs more than the one before (convex costs, so no pattern is repeated before others are used once, as
 far as quotas allow); then documents are selected: whole passes, and for the rest a seeded order of the pattern's
-documents, cut before the rest is exceeded, with up to `fills` further documents, each the one whose size is nearest to
-what is lacking, if that brings the pattern nearer.
-
-The flow's graph is built from counts: a node per pattern and per source, gathered on the driver. Its size is the number
-of patterns, not of documents; beyond `max_patterns` it raises. The seeded order's cut is found from sums per
-(pattern, 4096 hash ranges) and then inside one range per pattern, so no task sorts a whole source.
+documents, cut before the rest is exceeded. The NEAR documents before the cut and as many after it are then chosen anew,
+as the sum of sizes that comes nearest to what they should give: first among copies that differ by one pass, and where
+that leaves more than a thousandth of the pattern's tokens open, among all numbers of copies. Sums are exact up to
+SUMS distinct ones; beyond, of sums that differ by less than a share 1 / SUMS of the whole one is kept. A pattern of at
+most 2 * NEAR documents so takes what comes nearest of all that can be taken.
+
+Equal rows (key, size, pattern and text hash) are one group with a count until the end. The flow's graph is built from
+counts: a node per pattern and per source, gathered on the driver. Its size is the number of patterns, not of documents
+(some kilobytes each); `max_patterns` guards the driver's memory, and what has more raises and can be given a higher
+one. The seeded order's cut is found from sums per (pattern, 4096 hash ranges), and the documents near it in the few
+ranges around the cut, so no task sorts a whole source.
 
 Defined results: a null text has no words and is taken as often as its pattern asks, for no words; a null or empty list
-of sources is the source null, which comes last; a source without words has target 0; equal rows are separate documents
-in a fixed order of hash, key and size; an empty table gives no rows; other columns are not looked at.
+of sources is the source null, which comes last; a source without words has target 0; equal rows are separate documents,
+whose copies differ by one at most; an empty table gives no rows; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +30,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, stage, text_or_empty
+from .common import WORD, Scratch, ordered, text_or_empty, unfolded, unused
 
 BUCKETS = 4096
+#: Documents on each side of a cut that are chosen anew, and distinct sums that are told apart.
+NEAR, SUMS = 64, 1 << 15
+#: Equal rows that one task unfolds at a time, and rows that are sent to all executors, of some 40 bytes.
+LOT, SEND = 100_000, 1_000_000
 
 
 def targets(sizes: dict, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict:
@@ -130,97 +139,190 @@ def _member(df: DataFrame, sources: str) -> Column:
 
 
 def _prio(key: str, text: str, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.crc32(F.encode(text_or_empty(text), "UTF-8")))
+    """A seeded hash of 63 bits."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key).cast("string"), F.crc32(F.encode(text_or_empty(text), "UTF-8"))), 1)
 
 
 def _bucket(prio: str) -> Column:
-    return F.shiftrightunsigned(prio, 52).cast("int")
+    return F.shiftright(prio, 51).cast("int")
 
 
-def sized(df: DataFrame, key: str, text: str, sources: str, seed: int) -> DataFrame:
-    """key, size, pattern (sorted array of sources), prio (a seeded hash), bucket (its highest 12 bits) and row (an id that
-    holds once written). sources: a column of one source, or of an array of them."""
+def grouped(df: DataFrame, key: str, text: str, sources: str, seed: int) -> DataFrame:
+    """key, size, pattern (sorted array of sources), prio (a seeded hash), n (rows that share these) and bucket (the highest 12
+    bits of prio). sources: a column of one source, or of an array of them."""
     rows = df.select(F.col(key).alias("key"), F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"), _member(df, sources).alias("pattern"), _prio(key, text, seed).alias("prio"))
-    return rows.withColumn("bucket", _bucket("prio")).withColumn("row", F.monotonically_increasing_id())
-
-
-def _passes(bucket: str) -> Column:
-    """Copies of a row away from its pattern's cut."""
-    return F.coalesce("full", F.lit(0)) + F.when(F.col(bucket) < F.col("cut"), 1).otherwise(0)
-
-
-def mix_rows(rows: DataFrame, weights=(5, 2, 1), share: float = 1.5, most: int = 2, fills: int = 3, max_patterns: int = 100_000) -> tuple[DataFrame, DataFrame, dict, dict]:
-    """rows (of sized()) with copies and edge (whether they lie where a pattern is cut or fill a gap); full passes and
-    cut of each pattern; sizes and targets of sources."""
-    spark = rows.sparkSession
-    sums = rows.groupBy("pattern", "bucket").agg(F.sum("size").alias("bytes"))
-    sums = stage(sums, "mix-sums")
-    found = sums.groupBy("pattern").agg(F.sum("bytes").alias("tokens")).limit(max_patterns + 1).collect()
-    if len(found) > max_patterns:
-        raise ValueError(f"more than {max_patterns} membership patterns")
-    tokens = {tuple(r["pattern"]): int(r["tokens"]) for r in found}
-    sizes: dict = {}
-    for p, n in tokens.items():
-        for s in p:
-            sizes[s] = sizes.get(s, 0) + n
-    quota = targets(sizes, weights, share, most)
-    routed = route({p: n for p, n in tokens.items() if n}, {s: round(x) for s, x in quota.items()}, most)
-    plan = []
-    for p, n in tokens.items():
-        total = sum(routed.get((p, s), 0) for s in p)
-        full = min(most, total // n) if n else 0
-        plan.append((list(p), full, total - full * n))
-    plan_df = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, full int, rest long"))
-
-    upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut = sums.withColumn("upto", F.sum("bytes").over(upto)).join(plan_df, "pattern").filter((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("bytes") <= F.col("rest")))
-    cut = stage(cut.groupBy("pattern").agg(F.min("full").alias("full"), F.min("rest").alias("rest"), F.min_by(F.struct("bucket", (F.col("upto") - F.col("bytes")).alias("before")), "bucket").alias("c")).select("pattern", "full", "rest", "c.bucket", "c.before"), "mix-cut")
-    whole = plan_df.join(cut.select("pattern", F.col("bucket").alias("cut")), "pattern", "left")
-    run = Window.partitionBy("pattern").orderBy("prio", "key", "size", "row").rowsBetween(Window.unboundedPreceding, 0)
-    edge = rows.join(F.broadcast(cut.select("pattern", "bucket", "rest", "before")), ["pattern", "bucket"]).withColumn("upto", F.col("before") + F.sum("size").over(run)).filter(F.col("upto") <= F.col("rest"))
-    picked = stage(edge.select("row", "pattern", "size", "upto"), "mix-edge")
-    gaps = cut.join(picked.groupBy("pattern").agg(F.max("upto").alias("upto")), "pattern", "left").select("pattern", "bucket", (F.col("rest") - F.coalesce("upto", "before")).alias("gap"))
-    extra = None
-    for i in range(fills):
-        gaps = stage(gaps, f"mix-gap{i}")
-        late = rows.join(F.broadcast(gaps), "pattern").filter((rows["bucket"] >= gaps["bucket"]) & (F.col("size") > 0) & (F.col("size") < 2 * F.col("gap"))).select("row", "pattern", "size", "prio", "gap")
-        late = late.join(F.broadcast(extra), "row", "left_anti") if extra is not None else late
-        late = late.join(picked.select("row"), "row", "left_anti")
-        best = late.groupBy("pattern").agg(F.min_by(F.struct("row", "size"), F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), "size", "prio", "row")).alias("b"))
-        best = stage(best.select("pattern", "b.row", "b.size"), f"mix-fill{i}")
-        extra = best.select("row") if extra is None else extra.union(best.select("row"))
-        gaps = gaps.join(best.select("pattern", "size"), "pattern", "left").select("pattern", "bucket", (F.col("gap") - F.coalesce("size", F.lit(0))).alias("gap"))
-    chosen = picked.select("row").union(extra) if extra is not None else picked.select("row")
-    marked = rows.join(F.broadcast(whole), "pattern", "left").join(chosen.withColumn("chosen", F.lit(1)), "row", "left")
-    picked_too = F.col("chosen").isNotNull()
-    copies = F.least(F.lit(most), _passes("bucket") + F.when(picked_too, 1).otherwise(0))
-    edge = picked_too | F.coalesce(F.col("bucket") == F.col("cut"), F.lit(False))
-    return marked.withColumn("copies", copies).withColumn("edge", edge).drop("full", "rest", "cut", "chosen"), whole, sizes, quota
+    return rows.groupBy("key", "size", "pattern", "prio").agg(F.count("*").alias("n")).withColumn("bucket", _bucket("prio"))
+
+
+def nearest(sizes: Sequence[int], counts: Sequence[Sequence[int]], want: int) -> list[int]:
+    """For each size one of its counts, so that the sum of size times count comes nearest to `want`; among equals the
+    smaller sum, and of one sum the counts that come first."""
+    import numpy as np
+
+    sums, steps = np.zeros(1, np.int64), []
+    for size, options in zip(sizes, counts, strict=True):
+        made = np.concatenate([sums + size * c for c in options])
+        made, first = np.unique(made, return_index=True)
+        # of sums beyond what is wanted only the least can matter
+        upto = np.searchsorted(made, want, "right") + 1
+        made, first = made[:upto], first[:upto]
+        if len(made) > SUMS:
+            part = (made - made[0]) * SUMS // max(1, int(made[-1] - made[0]))
+            keep = np.flatnonzero(np.diff(part, prepend=-1))
+            made, first = made[keep], first[keep]
+        steps.append(((first % len(sums)).astype(np.int32), (first // len(sums)).astype(np.int8)))
+        sums = made
+    at, out = int(np.argmin(np.abs(sums - want))), []
+    for (before, which), options in zip(reversed(steps), reversed(list(counts)), strict=True):
+        out.append(options[int(which[at])])
+        at = int(before[at])
+    return out[::-1]
+
+
+def chosen(sizes: Sequence[int], picked: Sequence[bool], full: int, most: int, gap: int, tokens: int) -> list[int]:
+    """Copies of the documents around a cut. gap: what the picked ones leave open."""
+    one = [[min(most, full + p), min(most, full + (not p))] for p in picked]
+    want = gap + sum(s * o[0] for s, o in zip(sizes, one, strict=True))
+    best = nearest(sizes, one, want)
+    off = abs(sum(s * c for s, c in zip(sizes, best, strict=True)) - want)
+    if 1000 * off <= tokens:
+        return best
+    more = nearest(sizes, [[*o, *(c for c in range(most + 1) if c not in o)] for o in one], want)
+    return more if abs(sum(s * c for s, c in zip(sizes, more, strict=True)) - want) < off else best
+
+
+def _rechosen(near: DataFrame, most: int) -> DataFrame:
+    """pattern, prio, key, size, copies (of all rows of the group) of the groups near their pattern's cut. A row of near:
+    a group, with up to NEAR of its rows that are picked (inside) and of those that are not (outside)."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(["prio", "key", "size"], na_position="first", kind="stable")
+        sizes, picked, of = [], [], []
+        for i, (size, inside, outside) in enumerate(zip(pdf["size"].tolist(), pdf["inside"].tolist(), pdf["outside"].tolist(), strict=True)):
+            sizes += [size] * (inside + outside)
+            picked += [True] * inside + [False] * outside
+            of += [i] * (inside + outside)
+        row = pdf.iloc[0]
+        copies = chosen(sizes, picked, int(row["full"]), most, int(row["gap"]), int(row["tokens"]))
+        total = pdf["away"].to_numpy().copy()
+        for i, c in zip(of, copies, strict=True):
+            total[i] += c
+        return pd.DataFrame({"pattern": [list(row["pattern"])] * len(pdf), "prio": pdf["prio"].to_numpy(), "key": pdf["key"].to_numpy(), "size": pdf["size"].to_numpy(), "n": pdf["n"].to_numpy(), "copies": total})
+
+    kind = near.schema["key"].dataType.simpleString()
+    near = near.withColumn("key", F.col("key").cast("string"))
+    found = near.groupBy("pattern").applyInPandas(run, "pattern array<string>, prio long, key string, size long, n long, copies long")
+    return found.withColumn("key", F.col("key").cast(kind))
+
+
+class Mix:
+    """groups: with pattern, prio and n. plan: a row per pattern (pattern, full, last: the hash up to which its documents get
+    one copy more). near: the groups near cuts, with the copies of all their rows. sizes, quota: of sources."""
+
+    def __init__(self, df: DataFrame, key: str, text: str, sources: str, seed: int, weights=(5, 2, 1), share: float = 1.5, most: int = 2, max_patterns: int = 100_000) -> None:
+        spark, self.most = df.sparkSession, most
+        self.scratch = scratch = Scratch(spark)
+        self.groups = groups = scratch.stage(grouped(df, key, text, sources, seed), "mix-groups")
+        worth = F.col("size") * F.col("n")
+        sums = scratch.stage(groups.groupBy("pattern", "bucket").agg(F.sum(worth).alias("tokens"), F.sum("n").alias("rows")), "mix-sums")
+        found = sums.groupBy("pattern").agg(F.sum("tokens").alias("tokens")).limit(max_patterns + 1).collect()
+        if len(found) > max_patterns:
+            raise ValueError(f"more than {max_patterns} membership patterns; max_patterns may be raised as far as the driver's memory goes")
+        tokens = {tuple(r["pattern"]): int(r["tokens"]) for r in found}
+        self.sizes: dict = {}
+        for p, n in tokens.items():
+            for s in p:
+                self.sizes[s] = self.sizes.get(s, 0) + n
+        self.quota = targets(self.sizes, weights, share, most)
+        routed = route({p: n for p, n in tokens.items() if n}, {s: round(x) for s, x in self.quota.items()}, most)
+        plan = []
+        for p, n in tokens.items():
+            total = sum(routed.get((p, s), 0) for s in p)
+            full = min(most, total // n) if n else 0
+            plan.append((list(p), full, total - full * n, n))
+        plan = F.broadcast(spark.createDataFrame(plan, "pattern array<string>, full int, rest long, tokens long"))
+
+        # the ranges around the cut that hold NEAR rows on either side
+        order = Window.partitionBy("pattern").orderBy("bucket")
+        before = order.rowsBetween(Window.unboundedPreceding, -1)
+        ahead = sums.withColumn("upto", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
+        ahead = ahead.join(plan.select("pattern", "full", "rest", F.col("tokens").alias("all")), "pattern").filter("all > 0")
+        inside = F.col("upto") <= F.col("rest")  # of a pattern's ranges, the first ones begin before its cut
+        at_cut = ahead.groupBy("pattern").agg(F.max(F.when(inside, F.col("rows_before"))).alias("low"), F.max(F.when(inside, F.col("rows_before") + F.col("rows"))).alias("high"))
+        about = ahead.join(F.broadcast(at_cut), "pattern").filter((F.col("rows_before") + F.col("rows") > F.col("low") - NEAR) & (F.col("rows_before") < F.col("high") + NEAR))
+        span = about.groupBy("pattern").agg(F.min("bucket").alias("first"), F.max("bucket").alias("final"), F.min("upto").alias("upto"), F.first("full").alias("full"), F.first("rest").alias("rest"), F.first("all").alias("tokens"))
+        span = scratch.stage(span, "mix-span")
+
+        # in them: who is picked, and how far from the cut
+        run = Window.partitionBy("pattern").orderBy("prio", "key", "size")
+        rows = groups.join(F.broadcast(span), "pattern").filter(F.col("bucket").between(F.col("first"), F.col("final")))
+        rows = rows.withColumn("before", F.col("upto") + F.coalesce(F.sum(worth).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        fits = F.when(F.col("size") > 0, F.floor((F.col("rest") - F.col("before")) / F.col("size"))).otherwise(F.when(F.col("before") <= F.col("rest"), F.col("n")).otherwise(0))
+        rows = rows.withColumn("picked", F.greatest(F.lit(0), F.least(F.col("n"), fits)).cast("long"))
+        every = Window.partitionBy("pattern")
+        rows = rows.withColumn("gap", F.col("rest") - F.max(F.when(F.col("picked") > 0, F.col("before") + F.col("picked") * F.col("size")).otherwise(F.col("upto"))).over(every))
+        back = Window.partitionBy("pattern").orderBy(F.col("prio").desc(), F.col("key").desc(), F.col("size").desc())
+        picked_after = F.coalesce(F.sum("picked").over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        open_before = F.coalesce(F.sum(F.col("n") - F.col("picked")).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        rows = rows.withColumn("inside", F.greatest(F.lit(0), F.least(F.col("picked"), NEAR - picked_after)).cast("long"))
+        rows = rows.withColumn("outside", F.greatest(F.lit(0), F.least(F.col("n") - F.col("picked"), NEAR - open_before)).cast("long"))
+        away = F.least(F.lit(most), F.col("full") + 1) * (F.col("picked") - F.col("inside")) + F.col("full") * (F.col("n") - F.col("picked") - F.col("outside"))
+        rows = rows.withColumn("away", away.cast("long"))
+        last = rows.groupBy("pattern").agg(F.max(F.when(F.col("picked") > 0, F.col("prio"))).alias("last"))
+        near = rows.filter((F.col("inside") + F.col("outside") > 0) | F.col("picked").between(1, F.col("n") - 1))
+        self.near = scratch.stage(_rechosen(near.select("pattern", "prio", "key", "size", "n", "full", "tokens", "gap", "inside", "outside", "away"), most), "mix-near")
+        # documents of ranges before the span are picked too
+        last = span.join(last, "pattern", "left").select("pattern", F.coalesce("last", F.shiftleft(F.col("first").cast("long"), 51) - 1).alias("last"))
+        self.plan = F.broadcast(scratch.stage(plan.join(last, "pattern", "left").select("pattern", "full", "last"), "mix-plan"))
+        scratch.drop(sums, span)
+
+    def copies_of(self, rows: DataFrame) -> DataFrame:
+        """groups (pattern, prio, key, size, n) with the copies of all their rows."""
+        on = ["pattern", "prio", "size"]
+        near = self.near.select(*on, F.col("key").alias("near_key"), F.col("copies").alias("chosen"))
+        near = F.broadcast(near) if self.near.count() <= SEND else near
+        rows = rows.join(near, [rows[c].eqNullSafe(near[c]) for c in on] + [rows["key"].eqNullSafe(near["near_key"])], "left").select(*[rows[c] for c in rows.columns], "chosen")
+        rows = rows.join(self.plan, "pattern", "left")
+        return rows.withColumn("copies", F.coalesce("chosen", F.col("n") * _passes(self.most))).drop("chosen", "full", "last")
+
+
+def _passes(most: int, prio: str = "prio", full: str = "full", last: str = "last") -> Column:
+    """Copies of a row that isn't near its pattern's cut."""
+    return F.least(F.lit(most), F.coalesce(full, F.lit(0)) + F.when(F.col(prio) <= F.col(last), 1).otherwise(0)).cast("long")
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", sources: str = "source", seed: int = 20, **how) -> DataFrame:
-    """key, size, pattern, copies, and of a single source its source_size and target."""
-    rows = stage(sized(df, key, text, sources, seed), "mix-rows")
-    marked, _, sizes, quota = mix_rows(rows, **how)
-    info = df.sparkSession.createDataFrame([([s], n, float(quota[s])) for s, n in sizes.items()], "pattern array<string>, source_size long, target double")
-    return marked.join(F.broadcast(info), "pattern", "left").withColumn("taken", F.col("copies") * F.col("size"))
+    """A row per row of df: key, size, pattern, copies, taken, and of a single source its source_size and target."""
+    m = Mix(df, key, text, sources, seed, **how)
+    rows = unfolded(m.copies_of(m.groups), "n", "number", ["key", "prio"], LOT)
+    of_one = F.expr("copies div n") + F.when(F.col("number") < F.col("copies") % F.col("n"), 1).otherwise(0)
+    rows = rows.select("key", "size", "pattern", of_one.cast("int").alias("copies"))
+    info = df.sparkSession.createDataFrame([([s], n, float(m.quota[s])) for s, n in m.sizes.items()], "pattern array<string>, source_size long, target double")
+    return rows.join(F.broadcast(info), "pattern", "left").withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def repeat_rows(df: DataFrame, key: str = "doc_id", text: str = "text", sources: str = "source", seed: int = 20, **how) -> DataFrame:
     """The rows of df, each as often as the mix takes it. Texts aren't moved: a row's copies follow from its pattern and
-    hash, but for the few rows where a pattern is cut. Of equal rows there, as many are taken as the mix says."""
-    marked, plan, _, _ = mix_rows(stage(sized(df, key, text, sources, seed), "mix-rows"), **how)
-    marked = stage(marked.select("key", "prio", "copies", "edge"), "mix-copies")
-    wanted = marked.filter("edge").select(F.col("prio").alias("__prio2"), F.col("key").alias("__key2")).distinct()
-    equal = marked.join(wanted, (F.col("prio") == F.col("__prio2")) & F.col("key").eqNullSafe(F.col("__key2")))
-    edge = stage(equal.groupBy("__prio2", "__key2").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows")), "mix-edge-rows")
-    rows = df.withColumn("__pattern", _member(df, sources)).withColumn("__prio", _prio(key, text, seed)).withColumn("__bucket", _bucket("__prio"))
-    plan = plan.select(F.col("pattern").alias("__pattern"), F.col("full").alias("__full"), F.col("cut").alias("__cut"))
-    rows = rows.join(F.broadcast(plan), "__pattern", "left").join(edge, (F.col("__prio") == F.col("__prio2")) & F.col(key).eqNullSafe(F.col("__key2")), "left")
-    away = F.least(F.lit(how.get("most", 2)), F.coalesce("__full", F.lit(0)) + F.when(F.col("__bucket") < F.col("__cut"), 1).otherwise(0))
-    out = rows.filter("__rows is null or __rows = 1").withColumn("__n", F.coalesce(F.col("__copies"), away).cast("int"))
-    if not edge.filter("__rows > 1").isEmpty():
-        crowd = rows.filter("__rows > 1").withColumn("__at", F.row_number().over(Window.partitionBy("__prio", key).orderBy("__prio")))
-        share = lambda at: F.floor(F.col("__copies") * at / F.col("__rows"))
-        out = out.unionByName(crowd.withColumn("__n", (share(F.col("__at")) - share(F.col("__at") - 1)).cast("int")).drop("__at"))
-    return out.filter("__n > 0").withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(df.columns)
+    hash, but for the few near their pattern's cut. Of equal rows there, as many are taken as the mix says; they are
+    combined, with a count, before they meet."""
+    m = Mix(df, key, text, sources, seed, **how)
+    pattern, prio, full, last, n, copies, at = unused(df, "pattern", "prio", "full", "last", "n", "copies", "at")
+    rows = df.withColumn(pattern, _member(df, sources)).withColumn(prio, _prio(key, text, seed))
+    rows = rows.join(m.plan.select(F.col("pattern").alias(pattern), F.col("full").alias(full), F.col("last").alias(last)), pattern, "left")
+    near = m.near.groupBy("pattern", "prio", "key").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    near = m.scratch.stage(near, "mix-near-rows")
+    side = F.broadcast(near) if near.count() <= SEND else near
+    near_row = (rows[pattern] == near["pattern"]) & (rows[prio] == near["prio"]) & rows[key].eqNullSafe(near["key"])
+    rows = rows.join(side, near_row, "left").select(*[rows[c] for c in rows.columns], near["n"].alias(n), near["copies"].alias(copies))
+    alone = rows.filter(F.col(n).isNull() | (F.col(n) == 1)).withColumn(copies, F.coalesce(copies, _passes(m.most, prio, full, last)))
+    out = alone.filter(F.col(copies) > 0).withColumn(at, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(df.columns)
+    if near.filter("n > 1").isEmpty():
+        return out
+    alike = rows.filter(F.col(n) > 1).groupBy(*df.columns, pattern, prio, n, copies).agg(F.count("*").alias(at))
+    upto = F.sum(at).over(Window.partitionBy(pattern, prio, key).orderBy(ordered(df)))
+    # the first `copies % n` of n rows get one more
+    given = lambda k: k * F.expr(f"`{copies}` div `{n}`") + F.least(k, F.col(copies) % F.col(n))
+    alike = alike.withColumn(full, upto).withColumn(copies, given(F.col(full)) - given(F.col(full) - F.col(at)))
+    return out.unionByName(unfolded(alike.drop(at), copies, at, [prio, full], LOT).select(df.columns))

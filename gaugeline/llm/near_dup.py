@@ -32,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, in_parts, unused
+from .common import Scratch, in_parts, ordered, unused
 
 WORDS, BUCKET_BITS, MANTISSA_BITS, ROWS = 5, 7, 10, 4
 #: Sizes of sets that have the sketch for large and that for small ones: 512 times 0.75, and 512 by 0.75.
@@ -404,6 +404,5 @@ def drop_near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text",
     once = rows.filter(F.col(first).isNull()).select(df.columns)
     if odd.filter(F.col(first) & F.col(many)).isEmpty():
         return once
-    ordered = [F.col(f.name) for f in df.schema if "map<" not in f.dataType.simpleString()]
-    several = rows.filter(F.col(first) & F.col(many)).groupBy(doc, hashed).agg(F.min_by(F.struct(*df.columns), F.struct(*ordered)).alias(many))
+    several = rows.filter(F.col(first) & F.col(many)).groupBy(doc, hashed).agg(F.min_by(F.struct(*df.columns), ordered(df)).alias(many))
     return once.unionByName(several.select(f"{many}.*"))

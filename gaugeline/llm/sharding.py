@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, stage
+from .common import shared_path, stage, unfolded
 
 N_SLOTS = 4096
 OVERHEAD = 8
@@ -34,19 +34,11 @@ def counted(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n"))
 
 
-def copies(groups: DataFrame) -> DataFrame:
-    """Each group as n rows with their number, copy. Where n is more than LOT, lots are dealt out before they unfold."""
-    one = groups.filter(F.col("n") == 1).withColumn("copy", F.lit(0).cast("long")).drop("n")
-    lots = groups.filter(F.col("n") > 1).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT))).alias("lot"))
-    lots = lots.repartition("key", "text_crc32", "lot")
-    numbers = F.sequence(F.col("lot") * LOT, F.least(F.col("lot") * LOT + LOT, F.col("n")) - 1)
-    return one.unionByName(lots.select("*", F.explode(numbers).alias("copy")).drop("n", "lot"))
-
-
 def slotted(df: DataFrame, key: str = "doc_id", text: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
     """key, size, text_crc32, copy and virtual_slot of each row. The first of equal rows has the slot of its values."""
     salt = F.when(F.col("copy") > 0, F.col("copy"))  # hashes skip nulls
-    return copies(counted(df, key, text)).withColumn("virtual_slot", F.pmod(F.xxhash64("key", "text_crc32", salt), F.lit(n_slots)).cast("int"))
+    rows = unfolded(counted(df, key, text), "n", "copy", ["key", "text_crc32"], LOT).drop("n")
+    return rows.withColumn("virtual_slot", F.pmod(F.xxhash64("key", "text_crc32", salt), F.lit(n_slots)).cast("int"))
 
 
 def slot_totals(rows: DataFrame) -> DataFrame:
