@@ -569,6 +569,27 @@ def test_code_search(spark):
     assert len(few) == 3
 
 
+def test_code_search_in_vectors_of_any_width(spark):
+    from gaugeline.llm import code_search
+
+    draw = np.random.default_rng(18)
+    for width in (1, 65, 128, 200):
+        base = draw.normal(size=(40, width))
+        rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
+        rows += [(100 + i, [float(x) for x in base[i % 3] + draw.normal(size=width) * 0.3]) for i in range(40)]
+        rows += [(200, [1.0] * (width - 1)), (201, [1.0] * max(1, width // 2)), (202, []), (203, None)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS c0", "2 AS q0", "3 AS bound")
+        codes = {i: [False] * (width - len(v)) + [x > 0 for x in v] for i, v in rows if v is not None}
+        asked = df.filter("vec_id % 20 = 0 or vec_id > 199")
+        want = set()
+        for q in {r.vec_id for r in asked.collect()} & set(codes):
+            near = sorted((sum(a != b for a, b in zip(codes[q], codes[i], strict=True)), i) for i in codes if i != q)
+            want |= {(q, k, i, d) for k, (d, i) in enumerate(near[:5], 1)}
+        got = [tuple(r) for r in code_search.search(df, asked, 5).select("query_id", "rank", "neighbour_id", "distance").collect()]
+        assert len(got) == len(set(got))
+        assert set(got) == want
+
+
 def _reachable(sizes, target, most=2):
     """The nearest sum of sizes, each 0 to `most` times, as a set of bits."""
     sums = 1
