@@ -1,32 +1,38 @@
 """Quality rules with an isolation forest on rule statistics.
 
 Each whole text gives counts: words, their code points, symbols, repeated lines, words in repeated five-word windows,
-upper-case words, exclamation and question marks, lines. Two base rules reject outright: fewer than 10 words, or more
-than a fifth of the words in repeated windows. An isolation forest judges the rest: trees of random splits over ratios
-of the counts, grown on small random subsets of labelled rows; a short mean path marks an anomaly. The threshold is the
-most lenient score that rejects the most bad labelled rows while at most `spare` of the good ones go.
-
-The forest is fitted on at most `fit_rows` labelled rows, those of the smallest seeded hash; every text is counted and
-scored.
-
-Defined results: a null or empty text has no words and fails; equal rows get equal verdicts; without labelled rows only
-the base rules reject; a document with several labels counts as bad if one says so; an empty table gives no rows; other
-columns are not looked at, and `keep` returns all of them.
+upper-case words, exclamation and question marks, lines, words equal to the one before, distinct words. Two base rules
+reject outright: fewer than 10 words, or more than a fifth of the words in repeated windows. An isolation forest judges
+the rest: trees of random splits over rates of all the counts, grown on small random subsets of labelled rows; a short
+mean path marks an anomaly.
+
+A rate enters as its distance from the range that good labelled rows have, in their deviations: good texts meet near
+one point, however their rates vary, and a split anywhere beyond isolates the others. The threshold is set on scores
+that labelled rows get from forests of the other folds, so each is held out: it is the score, the most lenient of
+equals, at which the share of bad rows that stay plus `price` times the share of good rows that go is least. Ranges and
+threshold come from labels alone.
+
+The forest uses at most `fit_rows` labelled rows, those of the smallest seeded hash; every text is counted and scored.
+
+Defined results: a null or empty text has no words and fails; equal rows get equal verdicts; without good and bad
+labelled rows that pass the base rules only these reject; a document with several labels counts as bad if one says so; an empty table
+gives no rows; other columns are not looked at, and `keep` returns all of them.
 """
 
 from __future__ import annotations
 
 from math import ceil, inf, log, log2
+from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_parts
 
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_marks", "n_lines")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_marks", "n_lines", "n_echo_words", "n_distinct_words")
 SYMBOLS, WINDOW = "#*$%&|<>", 5
-#: Symbols, upper-case words or marks per word that count as none.
-ALLOWED = 0.1
+#: Words of a common text that every text's rates are thinned with, so that those of short ones vary less, and their length.
+COMMON, LETTERS = 20.0, 5.0
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -55,6 +61,8 @@ def text_stats(text: str | None) -> tuple[int, ...]:
         sum(1 for w in words if len(w) > 3 and w.isupper()),
         text.count("!") + text.count("?"),
         len(lines),
+        sum(map(eq, words, words[1:])),
+        len(set(words)),
     )
 
 
@@ -63,14 +71,41 @@ def base_failed(s):
     return (s[:, 0] < 10) | (100 * s[:, 4] > 20 * s[:, 0])
 
 
-def features(s):
-    """Symbols, upper-case words and marks per word beyond what a clean text may have, on a log scale: clean texts meet in
-    one point, and a split anywhere above it isolates the others. Length, which says little of short texts, and
-    repetition are left to the base rules."""
+def rates(s):
+    """Of an array of statistics, a row each: symbols, upper-case words, marks, repeated lines, repeated and echoed words,
+    length of words, distinct words (which grow with a power of the words) and lines."""
+    import numpy as np
+
+    n, lines = s[:, 0].astype(float), s[:, 7]
+    return np.stack(
+        [
+            s[:, 2] / (n + 1),
+            s[:, 5] / (n + COMMON),
+            s[:, 6] / (n + 1),
+            s[:, 3] / (lines + COMMON),
+            s[:, 4] / (n + COMMON),
+            s[:, 8] / (n + COMMON),
+            (s[:, 1] + LETTERS * COMMON) / (n + COMMON),
+            np.log((s[:, 9] + 10) / (n + 10) ** 0.85),
+            np.log((lines + 1) / (n + COMMON)),
+        ],
+        axis=1,
+    )
+
+
+def usual(x, share: float = 0.0005):
+    """The range that holds all but a share of good rows' rates at either end, and their deviations."""
+    import numpy as np
+
+    low, high = np.quantile(x, [share, 1 - share], axis=0)
+    return low, high, x.std(0) + 1e-3
+
+
+def features(s, span):
     import numpy as np
 
-    n = np.maximum(1, s[:, 0])
-    return np.stack([np.log1p(10 * np.maximum(0, s[:, k] / n - ALLOWED)) for k in (2, 5, 6)], axis=1)
+    x, (low, high, deviation) = rates(s), span
+    return np.log1p((np.maximum(0, x - high) + np.maximum(0, low - x)) / deviation)
 
 
 def _mean_path(n: int) -> float:
@@ -80,13 +115,13 @@ def _mean_path(n: int) -> float:
 
 class IsolationForest:
     def __init__(self, trees: int = 200, subset: int = 256, seed: int = 7) -> None:
-        self.trees, self.subset, self.seed, self.threshold = trees, subset, seed, inf
+        self.trees, self.subset, self.seed, self.threshold, self.span = trees, subset, seed, inf, None
 
     def fit(self, x):
         import numpy as np
 
         rng = np.random.default_rng(self.seed)
-        size = min(self.subset, len(x))
+        size, self.rows = min(self.subset, len(x)), len(x)
         depth = ceil(log2(max(2, size)))
         self.depth, self.norm = depth, _mean_path(size) or 1.0
         width = 2 ** (depth + 1) - 1
@@ -127,18 +162,20 @@ class IsolationForest:
             out[at : at + 4096] = self.path[tree, node].mean(1)
         return 2.0 ** (-out / self.norm)
 
-    def calibrate(self, scores, bad, spare: float):
+    def calibrate(self, scores, bad, price: float):
         """bad: labels, aligned with scores."""
         import numpy as np
 
-        good = np.sort(scores[~bad])[::-1]
-        floor = good[int(spare * len(good))] if len(good) else -inf  # at most this share of the good is above it
-        caught = np.sort(scores[bad & (scores > floor)])
-        self.threshold = (floor + caught[0]) / 2 if len(caught) and len(good) else inf
+        found = np.unique(scores)
+        cuts = np.append((found[1:] + found[:-1]) / 2, inf)
+        stay = np.searchsorted(np.sort(scores[bad]), cuts) / max(1, bad.sum())
+        go = 1 - np.searchsorted(np.sort(scores[~bad]), cuts) / max(1, (~bad).sum())
+        loss = stay + price * go
+        self.threshold = float(cuts[len(loss) - 1 - np.argmin(loss[::-1])])
         return self
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 4096, spare: float = 0.002, seed: int = 7) -> IsolationForest | None:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", fit_rows: int = 4096, price: float = 10.0, folds: int = 5, seed: int = 7) -> IsolationForest | None:
     """None where no labelled document is there."""
     import numpy as np
 
@@ -158,11 +195,25 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         return None
     stats = np.array([r["stats"] for r in counted], np.int64)
     bad = np.array([r["label"] == 0 for r in counted])
-    pass_ = ~base_failed(stats)
-    if not pass_.any():
+    failed = base_failed(stats)
+    good, passed = ~bad & ~failed, ~failed
+    fold = np.random.default_rng(seed).permutation(len(stats)) % folds
+
+    def grown(rows):
+        if not (rows & good).any():
+            return None
+        forest = IsolationForest(seed=seed)
+        forest.span = usual(rates(stats[rows & good]))
+        return forest.fit(features(stats[rows], forest.span))  # rows that base rules reject show how far values can go
+
+    forest, scores, held = grown(np.ones(len(stats), bool)), np.zeros(len(stats)), np.zeros(len(stats), bool)
+    for k in range(folds):
+        other, rows = grown(fold != k), (fold == k) & passed
+        if other and rows.any():
+            scores[rows], held = other.score(features(stats[rows], other.span)), held | rows
+    if not (held & bad).any() or not (held & good).any():
         return None
-    forest = IsolationForest(seed=seed).fit(features(stats))  # rows that base rules reject show how far values can go
-    return forest.calibrate(forest.score(features(stats[pass_])), bad[pass_], spare)
+    return forest.calibrate(scores[held], bad[held], price)
 
 
 def judge(forest: IsolationForest | None, texts: list[str | None]):
@@ -171,7 +222,7 @@ def judge(forest: IsolationForest | None, texts: list[str | None]):
 
     stats = np.array([text_stats(t) for t in texts], np.int64).reshape(-1, len(STATS))
     failed = base_failed(stats)
-    score = forest.score(features(stats)) if forest else np.zeros(len(stats))
+    score = forest.score(features(stats, forest.span)) if forest else np.zeros(len(stats))
     return stats, failed, score, ~failed & (score <= (forest.threshold if forest else inf))
 
 
