@@ -2,8 +2,11 @@
 
 Documents are dealt to tasks by ranges of their id and sorted, each task encodes its documents and writes a file. A row
 is a document: its ids are a list of integers (run-length encoded in the stripes), and its place is a file number and
-the ids before it in that file. Row indexes and Bloom filters on doc_id let readers skip stripes. Where a document
-starts in the whole corpus follows from the files' totals, one row per file.
+the ids before it in that file. Row indexes and Bloom filters on doc_id let readers skip stripes. A manifest, a row per
+file with the least and greatest doc_id, rows, ids and the ids of all files before, says where a document starts in the
+whole corpus, so a lookup of one document reads the manifest and the stripes that may hold it.
+
+Layout: <out>/data/*.orc and <out>/manifest/*.parquet.
 
 Defined results: a null or empty text is the end id alone; a null doc_id comes first; rows of equal ids are ordered by
 the text's hash, so a crowd of them can be dealt to several tasks; an empty table gives files without rows; other
@@ -43,16 +46,22 @@ def write_token_ids(df: DataFrame, out: str, path: str, space: str, end: int, ke
 
     rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    rows.mapInArrow(run, ROW).write.options(**OPTIONS).orc(out)
+    rows.mapInArrow(run, ROW).write.options(**OPTIONS).orc(f"{out}/data")
+    files = df.sparkSession.read.schema(ROW).orc(f"{out}/data").groupBy("file")
+    found = files.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.count("*").alias("rows"), F.sum("n_tokens").alias("n_tokens"))
+    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    found.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))).coalesce(1).write.parquet(f"{out}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("file int, least long, greatest long, rows long, n_tokens long, ahead long").parquet(f"{path}/manifest")
 
 
 def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """The files' rows with `start`, the ids of all documents before. A filter on doc_id reaches the stripes."""
-    rows = spark.read.schema(ROW).orc(path)
-    files = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    ahead = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    return rows.join(F.broadcast(files), "file").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead")
+    rows = spark.read.schema(ROW).orc(f"{path}/data")
+    ahead = F.broadcast(read_manifest(spark, path).select("file", "ahead"))  # a row per file
+    return rows.join(ahead, "file").withColumn("start", F.col("ahead") + F.col("before")).drop("ahead")
 
 
 def with_checksum(rows: DataFrame) -> DataFrame:
