@@ -3,6 +3,10 @@
 Quality rules reject documents, near-duplicates leave one document of each group, personal data is replaced, sources are
 mixed to their targets (documents are left out or repeated), and what is left is packed into sequences. Each stage works
 on all rows that its predecessor kept and returns the columns of documents, the last one the places of pieces.
+
+Defined results: each stage's are its operator's. Null and empty texts fail the quality rules and go no further; a null
+doc_id is kept as such; of equal rows, one is left by the second stage; columns that documents has besides stay as they
+are until the last stage, whatever their names; empty tables, also of labels, give no rows.
 """
 
 from __future__ import annotations
@@ -26,13 +30,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; spans of personal data give way to their kind's name, and n_chars follows the text."""
+    """All rows; spans of personal data give way to their kind's name, and n_chars, where there is such a column, follows the
+    text. A null text stays null, an empty one empty; equal rows stay equal."""
     out = pii.redact(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row as often as the mix takes it: 0, 1 or 2 times."""
+    """Each row as often as the mix takes it: 0, 1 or 2 times. Rows without a source are a source of their own; texts without
+    words are taken as often as their source's others; equal rows differ by one copy at most."""
     return mixing.repeat_rows(docs)
 
 
