@@ -71,6 +71,17 @@ def _differ(a, a_starts, b, b_starts, lengths):
     return np.add.reduceat(unlike.astype(np.int32), np.cumsum(lengths) - lengths) > 0
 
 
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def _heads(shown, starts, lengths):
+    """The first eight bytes of each run, as a number; shorter ones end with zeros."""
+    padded = np.concatenate((shown, np.zeros(8, np.uint8)))
+    words = np.ndarray((len(shown),), "<u8", padded, strides=(1,))
+    return words[starts] & _FIRST[np.minimum(lengths, 8)]
+
+
 class _Memory:
     """Segments to ids, in arrays: open addressing by a hash, bytes and ids in flat arrays. Emptied when full."""
 
@@ -82,6 +93,7 @@ class _Memory:
         self.at = np.zeros(1 << _SLOTS, np.int32)
         self.n = self.used = 0
         self.starts, self.lengths, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.heads = np.zeros(1 << 16, np.uint64)
         self.bytes, self.byte_starts, self.byte_lengths, self.n_bytes = np.zeros(1 << 19, np.uint8), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _slot(self, keys):
@@ -99,18 +111,18 @@ class _Memory:
             open_, slot = open_[go], (slot[go] + 1) & ((1 << _SLOTS) - 1)
         return out
 
-    def unlike(self, number, shown, starts, lengths):
+    def unlike(self, number, heads, shown, starts, lengths):
         """Whether the segments' bytes differ from those of the entries."""
-        out = self.byte_lengths[number] != lengths
-        same = np.flatnonzero(~out)
+        out = (self.byte_lengths[number] != lengths) | (self.heads[number] != heads)
+        same = np.flatnonzero(~out & (lengths > 8))
         out[same] = _differ(self.bytes, self.byte_starts[number[same]], shown, starts[same], lengths[same])
         return out
 
-    def add(self, keys, ids: list, words: list[bytes]) -> None:
+    def add(self, keys, ids: list, words: list[bytes], heads) -> None:
         """New, distinct keys with their ids and bytes."""
         n = len(keys)
         while self.n + n > len(self.starts):
-            for name in ("starts", "lengths", "byte_starts", "byte_lengths"):
+            for name in ("starts", "lengths", "heads", "byte_starts", "byte_lengths"):
                 setattr(self, name, np.resize(getattr(self, name), 2 * len(self.starts) if name == "starts" else len(self.starts)))
         sizes, joined = np.fromiter(map(len, words), np.int64, n), np.frombuffer(b"".join(words), np.uint8)
         while self.n_bytes + len(joined) > len(self.bytes):
@@ -118,6 +130,7 @@ class _Memory:
         self.bytes[self.n_bytes : self.n_bytes + len(joined)] = joined
         self.byte_starts[self.n : self.n + n] = self.n_bytes + np.cumsum(sizes) - sizes
         self.byte_lengths[self.n : self.n + n] = sizes
+        self.heads[self.n : self.n + n] = heads
         self.n_bytes += len(joined)
         lengths = np.fromiter(map(len, ids), np.int64, n)
         flat = np.concatenate(ids) if n else np.empty(0, np.uint32)
@@ -207,16 +220,17 @@ class _Encoder:
             self.memory.clear()
         lengths = ends - starts
         number = self.memory.find(keys)
+        heads = _heads(shown, starts, lengths)
         known = np.flatnonzero(number >= 0)
         clash = np.zeros(len(keys), bool)  # segments whose hash is another's
-        clash[known] = self.memory.unlike(number[known], shown, starts[known], lengths[known])
+        clash[known] = self.memory.unlike(number[known], heads[known], shown, starts[known], lengths[known])
         lacking = np.flatnonzero(number < 0)
         extra: list = []
         if len(lacking):
             new, where, inverse = np.unique(keys[lacking], return_index=True, return_inverse=True)
             first = lacking[where][inverse]
-            unlike = lengths[first] != lengths[lacking]
-            again = np.flatnonzero(~unlike & (first != lacking))
+            unlike = (lengths[first] != lengths[lacking]) | (heads[first] != heads[lacking])
+            again = np.flatnonzero(~unlike & (first != lacking) & (lengths[lacking] > 8))
             unlike[again] = _differ(shown, starts[first[again]], shown, starts[lacking[again]], lengths[lacking[again]])
             clash[lacking[unlike]] = True
             at = lacking[where]
@@ -225,7 +239,7 @@ class _Encoder:
             ids = self.fresh([w.decode() for w in words])
             base = self.memory.n
             short = lengths[at] <= LONGEST
-            self.memory.add(new[short], [x for x, ok in zip(ids, short, strict=True) if ok], [x for x, ok in zip(words, short, strict=True) if ok])
+            self.memory.add(new[short], [x for x, ok in zip(ids, short, strict=True) if ok], [x for x, ok in zip(words, short, strict=True) if ok], heads[at][short])
             extra = [x for x, ok in zip(ids, short, strict=True) if not ok]
             named = np.empty(len(new), np.int64)
             named[short] = base + np.arange(int(short.sum()))
