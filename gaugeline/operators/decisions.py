@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from math import log2, radians, sin, sqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import d, haversine_km
+from ..functions.scalar import EARTH_KM, d, haversine_km
 
 
 def commit_thresholds(intervals: DataFrame, shares: list[float], *keys: str) -> DataFrame:
@@ -70,28 +72,112 @@ POLICIES = {
 }
 
 
-def allocated(requests: DataFrame, sites: DataFrame, policies: dict | None = None, *keys: str, most_sites: int = 100_000) -> DataFrame:
+def _cells(lat: Column, lon: Column, level: int) -> tuple[Column, Column]:
+    """Column and row of a point in a grid of 2 ** level cells around the globe."""
+    n = float(1 << level)
+    x = F.least(F.floor((lon + 180) / 360 * n), F.lit((1 << level) - 1))
+    return F.greatest(F.lit(0), x).cast("long"), F.floor((lat + 90) / 360 * n).cast("long")
+
+
+def _levels(sites: DataFrame) -> list[int]:
+    """Grid levels for the places of sites: from some sixteen cells a place to cells that are as large as all."""
+    spread = F.greatest(F.max("lat") - F.min("lat"), F.max("lon") - F.min("lon"))
+    box = sites.agg(spread.alias("spread"), F.approx_count_distinct(F.struct("lat", "lon")).alias("n")).first()
+    if not box["n"]:
+        return [0]
+    spread = max(box["spread"], 1e-4)
+    finest = int(min(26, max(2, 2 + log2(360 * sqrt(box["n"]) / spread))))
+    return [0, *range(max(2, int(log2(360 / spread))), finest + 1)]
+
+
+def candidates(cells: DataFrame, open_: DataFrame, levels: list[int], on: list[str]) -> DataFrame:
+    """on, x, y, policy, near: for each cell (on, x, y) of the finest level, the sites (on, policy, lat, lon, s) that can be
+    nearest to a point in it. A site is in the 3 by 3 cells around its own at every level, so a cell looks one place up.
+    The finest level where there is a site gives a distance; the level whose block reaches beyond it holds the nearest
+    one of every point in the cell, and what is farther from the cell's middle than that by more than the cell goes."""
+    finest = levels[-1]
+    size = 360.0 / (1 << finest)
+    wide = EARTH_KM * radians(size)  # no two points of a cell are farther apart
+    rows = []
+    for level in levels:
+        x, y = _cells(F.col("lat"), F.col("lon"), level)
+        steps = (-1, 0, 1) if level else (0,)
+        rows += [F.struct(F.lit(level).alias("level"), F.pmod(x + i, F.lit(1 << level)).alias("at_x"), (y + j).alias("at_y")) for i in steps for j in steps]
+    around = open_.select("*", F.inline(F.array(*rows)))
+    up = lambda c, level: F.shiftright(c, finest - level)
+    every = F.array(*[F.struct(F.lit(level).alias("level"), up("x", level).alias("at_x"), up("y", level).alias("at_y")) for level in levels])
+    place = ["level", "at_x", "at_y"]
+    held = around.select(*on, "policy", *place).distinct()
+    first = cells.select(*on, "x", "y", F.inline(every)).join(held, [*on, *place]).groupBy(*on, "x", "y", "policy").agg(F.max("level").alias("level"))
+
+    mid_lat, mid_lon = (F.col("y") + 0.5) * d(size) - 90, (F.col("x") + 0.5) * d(size) - 180
+    km = haversine_km(mid_lat, mid_lon, F.col("lat"), F.col("lon"))
+
+    def looked_up(df: DataFrame) -> DataFrame:
+        here = [F.call_function("shiftright", F.col(c), F.lit(finest) - F.col("level")).alias(f"at_{c}") for c in ("x", "y")]
+        return df.select("*", *here).join(around, [*on, "policy", *place]).withColumn("km", km)
+
+    found = looked_up(first).groupBy(*on, "x", "y", "policy").agg(F.min("km").alias("least"))
+    need = F.col("least") + 2 * wide + 1e-6
+    # what lies outside a cell's block is a cell away in latitude, or beyond a meridian that is
+    reach = lambda level: F.least(d(radians(360 / (1 << level))), F.asin(d(sin(radians(360 / (1 << level)))) * F.cos(F.radians(mid_lat)))) * d(EARTH_KM)
+    level = F.greatest(F.lit(0), *[F.when(reach(k) >= need, F.lit(k)) for k in levels if k > 2])
+    near = looked_up(found.withColumn("level", level)).filter(F.col("km") <= need)
+    return near.groupBy(*on, "x", "y", "policy").agg(F.collect_list(F.struct("lat", "lon", "s")).alias("near"))
+
+
+def allocated(requests: DataFrame, sites: DataFrame, policies: dict | None = None, *keys: str, send: int = 1_000_000) -> DataFrame:
     """Each request goes, for each policy, to the nearest site that looks feasible (the first id among equals), or
-    nowhere: keys, policy, site, km, y, capacity. Requests are independent. sites (site, slot?, lat, lon, capacity, yhat,
-    upper, margin, y) is the small side and is checked; the choice is an aggregation that combines before it shuffles."""
-    few = sites.select("site").distinct().limit(most_sites + 1).count()
-    if few > most_sites:
-        raise ValueError(f"more than {most_sites} sites: give requests an area key and allocate by area")
+    nowhere: keys, policy, site, km, y, capacity. Requests are independent, and may have a slot that sites have too.
+
+    Sites (site, slot?, lat, lon, capacity, yhat, upper, margin, y) are indexed by cells of a grid, and the cells that
+    hold requests get the few sites that can be nearest to a point in them. So a request meets a row of its cell, once,
+    and distances are computed to these sites alone: the work is in proportion to requests. The cells' rows are sent to
+    all executors if they hold at most `send` sites, else both sides are dealt out by cell."""
     rules = policies or POLICIES
-    s = sites.withColumnRenamed("lat", "__lat").withColumnRenamed("lon", "__lon")
     on = [c for c in ("slot",) if c in sites.columns and c in requests.columns]
-    pairs = requests.join(F.broadcast(s), on) if on else requests.crossJoin(F.broadcast(s))
-    pairs = pairs.withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("__lat"), F.col("__lon")))
-    best = [F.min(F.when(rule(), F.struct(F.round("km", 9).alias("km"), "site", "y", "capacity"))).alias(name) for name, rule in rules.items()]
-    wide = pairs.groupBy(*keys).agg(*best)
-    long = F.array(*[F.struct(F.lit(n).alias("policy"), F.col(n).alias("b")) for n in rules])
-    return wide.select(*keys, F.inline(long)).select(*keys, "policy", "b.*")
+    ruled = F.array(*[F.struct(F.lit(n).alias("policy"), rule().alias("ok")) for n, rule in rules.items()])
+    open_ = sites.select(*on, "site", "lat", "lon", "y", "capacity", F.inline(ruled)).filter("ok and lat is not null and lon is not null")
+    # of sites in one place, the first id can be chosen
+    open_ = open_.groupBy(*on, "policy", "lat", "lon").agg(F.min(F.struct("site", "y", "capacity")).alias("s"))
+    levels = _levels(open_)
+    x, y = _cells(F.col("lat"), F.col("lon"), levels[-1])
+    asked = requests.select(*dict.fromkeys([*keys, *on]), F.col("lat").alias("__lat"), F.col("lon").alias("__lon"), x.alias("x"), y.alias("y"))
+    few = candidates(asked.select(*on, "x", "y").distinct(), open_, levels, on)
+    mine = lambda p: F.flatten(F.collect_list(F.when(F.col("policy") == p, F.col("near"))))
+    few = few.groupBy(*on, "x", "y").agg(*[mine(p).alias(f"near_{i}") for i, p in enumerate(rules)])
+    few = few.persist()
+    held = few.agg(F.sum(sum((F.size(f"near_{i}") for i in range(len(rules))), F.lit(0)))).first()[0]
+    both = asked.join(F.broadcast(few) if (held or 0) <= send else few, [*on, "x", "y"], "left")
+    best = lambda i: F.array_min(F.transform(f"near_{i}", lambda c: F.struct(F.round(haversine_km(F.col("__lat"), F.col("__lon"), c["lat"], c["lon"]), 9).alias("km"), c["s"]["site"].alias("site"), c["s"]["y"].alias("y"), c["s"]["capacity"].alias("capacity"))))
+    long = F.array(*[F.struct(F.lit(n).alias("policy"), best(i).alias("b")) for i, n in enumerate(rules)])
+    return both.select(*keys, F.inline(long)).select(*keys, "policy", "b.*")
 
 
 def allocation_report(chosen: DataFrame, bad: Column, *keys: str) -> DataFrame:
-    """Served and bad shares, and the mean distance of what was served."""
+    """Served and bad shares of requests; the bad share of what was served; requests that were not served or badly; mean
+    and ninth decile of the distance of what was served."""
     served = F.col("site").isNotNull()
-    return chosen.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(served.cast("double")).alias("served"), F.avg(F.coalesce((served & bad).cast("double"), d(0))).alias("bad"), F.avg("km").alias("mean_km"))
+    poor = F.coalesce(served & bad, F.lit(False))
+    share = lambda c: F.avg(c.cast("double"))
+    return chosen.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.count("site").alias("n_assigned"),
+        share(served).alias("served"),
+        share(poor).alias("bad"),
+        share(F.when(served, poor)).alias("overflow"),
+        share(~served | poor).alias("unserved_or_overflow"),
+        F.avg("km").alias("mean_km"),
+        F.percentile("km", d(0.9)).alias("p90_km"),
+    )
+
+
+def policy_pairs(outcomes: DataFrame, a: str, b: str, value: str, *keys: str, seed: str = "seed") -> DataFrame:
+    """Of two policies on the same requests of each seed: means, the mean, least and greatest difference a - b, in how many
+    seeds it is above 0, and the difference by the mean of a. outcomes: keys, seed, policy, value."""
+    pick = lambda p: F.max(F.when(F.col("policy") == p, F.col(value)))
+    one = outcomes.groupBy(*keys, seed).agg(pick(a).alias("a"), pick(b).alias("b")).withColumn("d", F.col("a") - F.col("b"))
+    return one.groupBy(*keys).agg(F.count("d").alias("n_seeds"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_d"), F.min("d").alias("least_d"), F.max("d").alias("greatest_d"), F.count_if(F.col("d") > 0).alias("n_above"), F.try_divide(F.avg("d"), F.nullif(F.avg("a"), F.lit(0.0))).alias("relative_d")).select(*keys, F.lit(f"{a} - {b}").alias("contrast"), F.lit(value).alias("value"), "n_seeds", "mean_a", "mean_b", "mean_d", "least_d", "greatest_d", "n_above", "relative_d")
 
 
 def relative_policies(theta: float) -> dict:

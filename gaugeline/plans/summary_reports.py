@@ -223,6 +223,7 @@ def random_control(spark, sf_dir):
 
 # Sites are suppliers with derived coordinates, requests are orders.
 
+_OUTCOMES = "served bad overflow unserved_or_overflow mean_km p90_km"
 _KM = "2 * 6371 * asin(sqrt(pow(sin(radians(s.lat - r.lat) / 2), 2) + cos(radians(r.lat)) * cos(radians(s.lat)) * pow(sin(radians(s.lon - r.lon) / 2), 2)))"
 _SITES = """sites AS (SELECT s_suppkey AS site, 44.75 + (s_suppkey * 11 % 19) * 0.01::DOUBLE AS lat, 20.40 + (s_suppkey * 7 % 23) * 0.01::DOUBLE AS lon, CAST(40 + s_suppkey % 60 AS DOUBLE) AS capacity,
   CAST(20 + (s_suppkey * 13) % 70 AS DOUBLE) AS yhat, CAST(20 + (s_suppkey * 13) % 70 + 2 + s_suppkey % 9 AS DOUBLE) AS upper, CAST(20 + (s_suppkey * 17) % 75 AS DOUBLE) AS y FROM supplier),
@@ -245,18 +246,22 @@ def requests(spark, sf_dir):
 
 def _alloc_sql(rules: dict, extra: str) -> str:
     arms = " UNION ALL ".join(f"SELECT '{p}' AS policy, request, site, km, y, capacity FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY round(km, 9), site) AS k FROM pr WHERE {cond}) WHERE k = 1" for p, cond in rules.items())
-    return b.with_(_SITES, f"pr AS (SELECT request, site, {_KM} AS km, y, capacity, yhat, upper, margin FROM req r, mg s)", f"ch AS ({arms})", f"pol AS (SELECT unnest([{', '.join(repr(p) for p in rules)}]) AS policy)") + (
-        f"SELECT policy, count(*) AS n, avg(CAST(site IS NOT NULL AS DOUBLE)) AS served, avg(CAST(site IS NOT NULL AND {extra} AS DOUBLE)) AS bad, avg(km) AS mean_km FROM (SELECT p.policy, r.request, c.site, c.km, c.y, c.capacity FROM pol p CROSS JOIN req r LEFT JOIN ch c ON c.policy = p.policy AND c.request = r.request) GROUP BY policy"
-    )
+    return b.with_(_SITES, f"pr AS (SELECT request, site, {_KM} AS km, y, capacity, yhat, upper, margin FROM req r, mg s)", f"ch AS ({arms})", f"pol AS (SELECT unnest([{', '.join(repr(p) for p in rules)}]) AS policy)") + _outcome_sql("policy", f"SELECT p.policy, r.request, c.site, c.km, {extra} AS poor FROM pol p CROSS JOIN req r LEFT JOIN ch c ON c.policy = p.policy AND c.request = r.request")
 
 
-@report(_alloc_sql({"POINT": "capacity - yhat >= 1", "INTERVAL": "capacity - upper >= 1", "MARGIN": "capacity - (yhat + margin) >= 1"}, "coalesce(capacity - y < 1, false)"), "served bad mean_km")
+def _outcome_sql(keys: str, rows: str) -> str:
+    """Rows: keys, site, km, poor."""
+    share = lambda c: f"avg(CAST({c} AS DOUBLE))"
+    return f"""SELECT {keys}, count(*) AS n, count(site) AS n_assigned, {share('site IS NOT NULL')} AS served, {share('site IS NOT NULL AND poor')} AS bad, {share('CASE WHEN site IS NOT NULL THEN poor END')} AS overflow,
+ {share('site IS NULL OR poor')} AS unserved_or_overflow, avg(km) AS mean_km, quantile_cont(km, 0.9) AS p90_km FROM ({rows}) GROUP BY {keys}"""
+
+@report(_alloc_sql({"POINT": "capacity - yhat >= 1", "INTERVAL": "capacity - upper >= 1", "MARGIN": "capacity - (yhat + margin) >= 1"}, "coalesce(capacity - y < 1, false)"), _OUTCOMES)
 def greedy_allocation(spark, sf_dir):
     chosen = dc.allocated(requests(spark, sf_dir), sites(spark, sf_dir), None, "request")
     return dc.allocation_report(chosen, F.col("capacity") - F.col("y") < 1, "policy")
 
 
-@report(_alloc_sql({"POINT": "yhat <= 0.9::DOUBLE * capacity", "INTERVAL": "upper <= 0.9::DOUBLE * capacity"}, "coalesce(y >= 0.9::DOUBLE * capacity, false)"), "served bad mean_km")
+@report(_alloc_sql({"POINT": "yhat <= 0.9::DOUBLE * capacity", "INTERVAL": "upper <= 0.9::DOUBLE * capacity"}, "coalesce(y >= 0.9::DOUBLE * capacity, false)"), _OUTCOMES)
 def relative_threshold_allocation(spark, sf_dir):
     chosen = dc.allocated(requests(spark, sf_dir), sites(spark, sf_dir), dc.relative_policies(0.9), "request")
     return dc.allocation_report(chosen, F.col("y") >= d(0.9) * F.col("capacity"), "policy")

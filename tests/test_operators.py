@@ -261,3 +261,43 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path):
     for parts in (1, 5):
         out = st.replay(spark, rows, str(tmp_path / f"p{parts}"), parts, horizon=2)
         assert [(r.i, r.alpha, r.q) for r in out.orderBy("i").collect()] == want
+
+
+def test_allocation_equals_all_pairs_anywhere_on_the_globe(spark):
+    """The grid's answer against distances to all sites: cities, poles, the date line, slots, ties and places far away."""
+    draw = random.Random(4)
+    km = lambda a, b, c, e: 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(e - b) / 2) ** 2)))
+    spots = {
+        "city": lambda: (44.75 + draw.random() * 0.3, 20.4 + draw.random() * 0.3),
+        "line": lambda: (draw.uniform(-1, 1), draw.choice([179.9, -179.9]) + draw.uniform(-0.09, 0.09)),
+        "pole": lambda: (90 - draw.random(), draw.uniform(-180, 180)),
+        "globe": lambda: (draw.uniform(-90, 90), draw.uniform(-180, 180)),
+        "grid": lambda: (44 + draw.randint(0, 3) * 0.01, 20 + draw.randint(0, 3) * 0.01),
+    }
+    for name, spot in spots.items():
+        sites = [(i, draw.randint(0, 1), *spot(), float(draw.randint(10, 30)), float(draw.randint(5, 32)), float(draw.randint(0, 40))) for i in range(draw.choice([1, 40, 120]))]
+        asked = [(i, draw.randint(0, 2), *(spots["globe"]() if i % 10 == 0 else spot())) for i in range(120)] + [(500, 0, None, None)]
+        s = spark.createDataFrame(sites, "site int, slot int, lat double, lon double, capacity double, yhat double, y double").withColumn("upper", F.col("yhat") + 3).withColumn("margin", F.lit(2.0))
+        r = spark.createDataFrame(asked, "request int, slot int, lat double, lon double")
+        got = {(x.request, x.policy): (x.site, x.km) for x in decisions.allocated(r, s, None, "request").collect()}
+        assert len(got) == 3 * len(asked)
+        for q, slot, lat, lon in asked:
+            for policy, ahead in (("POINT", 0), ("INTERVAL", 3), ("MARGIN", 2)):
+                near = [] if lat is None else sorted((round(km(lat, lon, c, e), 9), i) for i, t, c, e, cap, f, _ in sites if t == slot and cap - f - ahead >= 1)
+                site, far = got[q, policy]
+                if not near:
+                    assert site is None, name
+                else:
+                    assert abs(far - near[0][0]) < 1e-6, name
+                    assert site in [i for k, i in near if k < near[0][0] + 1e-6], name
+        dealt = {(x.request, x.policy): (x.site, x.km) for x in decisions.allocated(r, s, None, "request", send=0).collect()}
+        assert dealt == got
+
+
+def test_paired_policies_over_seeds(spark):
+    rows = [(s, p, v) for s in range(6) for p, v in (("POINT", 0.1 * s), ("INTERVAL", 0.05 * s + 0.02))]
+    r = decisions.policy_pairs(spark.createDataFrame(rows, "seed int, policy string, bad double"), "POINT", "INTERVAL", "bad").first()
+    d = [0.05 * s - 0.02 for s in range(6)]
+    assert (r.n_seeds, r.n_above) == (6, sum(x > 0 for x in d))
+    assert (r.mean_d, r.least_d, r.greatest_d) == pytest.approx((sum(d) / 6, min(d), max(d)))
+    assert r.relative_d == pytest.approx(sum(d) / 6 / 0.25)
