@@ -301,3 +301,35 @@ def test_paired_policies_over_seeds(spark):
     assert (r.n_seeds, r.n_above) == (6, sum(x > 0 for x in d))
     assert (r.mean_d, r.least_d, r.greatest_d) == pytest.approx((sum(d) / 6, min(d), max(d)))
     assert r.relative_d == pytest.approx(sum(d) / 6 / 0.25)
+
+
+def _grow_one(x, y, leaf, depth):
+    """A regression tree, node by node, as a function of a row."""
+    best = None
+    if depth > 0 and len(y) >= 2 * leaf and y.max() > y.min():
+        for f in range(x.shape[1]):
+            for c in sorted(set(x[:, f]))[:-1]:
+                side = x[:, f] <= c
+                if side.sum() >= leaf and (~side).sum() >= leaf:
+                    loss = ((y[side] - y[side].mean()) ** 2).sum() + ((y[~side] - y[~side].mean()) ** 2).sum()
+                    if best is None or loss < best[0] - 1e-9:
+                        best = loss, f, (c + min(v for v in x[:, f] if v > c)) / 2
+    if best is None:
+        return lambda z: y.mean()
+    _, f, c = best
+    side = x[:, f] <= c
+    low, high = _grow_one(x[side], y[side], leaf, depth - 1), _grow_one(x[~side], y[~side], leaf, depth - 1)
+    return lambda z: low(z) if z[f] <= c else high(z)
+
+
+@pytest.mark.parametrize(("leaf", "depth"), [(1, math.inf), (2, math.inf), (2, 3), (5, 12)])
+def test_forest_equals_trees_grown_node_by_node(leaf, depth):
+    rng = np.random.default_rng(leaf)
+    x = np.column_stack([rng.normal(size=60), rng.integers(0, 5, 60), rng.normal(size=60).round(1)])
+    y = rng.normal(size=60) + x[:, 1]
+    drawn = [rng.integers(0, 60, 60) for _ in range(8)]
+    takes = iter(drawn)
+    predict = forecast.forest(x, y, trees=8, leaf=leaf, depth=depth, rows=lambda: next(takes))
+    trees = [_grow_one(x[r], y[r], leaf, depth) for r in drawn]
+    z = np.vstack([x, rng.normal(size=(40, 3))])
+    assert predict(z) == pytest.approx([np.mean([t(row) for t in trees]) for row in z])
