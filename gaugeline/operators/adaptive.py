@@ -1,16 +1,24 @@
 """Adaptive conformal streams with delayed feedback.
 
 A forecast issued at step i is resolved at step i + h, when its score enters the pool and its miss moves the level. Scores
-depend on outcomes and centres only, so the pool of each step is known beforehand; only the level and the misses are
-recursive. So a stream is one fold over a series' steps, in the JVM, and series are independent tasks. A fold copies its
-history per step; for series of more than some ten thousand steps, `engine="arrow"` runs the same rules in numpy, with a
-sorted window.
+depend on outcomes and centres only, so levels that differ in their rate share one pool. Rows are dealt out by series and
+sorted by step; a worker goes through them batch by batch and carries a series' state on: the window of scores, sorted,
+the levels, and the feedback that hasn't matured. So a step costs a search in the window, and memory is the window,
+however long a series is. Series are independent tasks.
+
+The rules are also written as one fold over arrays in the JVM (`engine="fold"`), which copies its history per step: the
+plainest form of them, for short series, and what tests hold the other engine against.
+
+Rows without a score, an end or an outcome take no part; a series without calibration rows gives none; steps with equal
+numbers are ordered by their values.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import deque
+from collections.abc import Callable
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,11 +33,11 @@ def _let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def gathered(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, y: str = "y", order: str = "i", extra: tuple = ()) -> DataFrame:
+def gathered(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, y: str = "y", order: str = "i") -> DataFrame:
     """One row per series: cal (scores in order) and test (steps in order)."""
-    step = F.struct(F.col(order).cast("long").alias("i"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(y).alias("y"), *[F.col(c) for c in extra])
-    c = cal.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col("score"), *[F.col(x) for x in extra]))), lambda s: s if extra else s["score"]).alias("cal"))
-    t = test.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("test"))
+    step = F.struct(F.col(order).cast("long").alias("i"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(y).alias("y"))
+    c = cal.filter("score is not null").groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("i"), F.col("score")))), lambda s: s["score"]).alias("cal"))
+    t = test.dropna(subset=[low, high, y]).groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("test"))
     return c.join(t, list(keys))
 
 
@@ -63,128 +71,154 @@ def folded(cal: Column, test: Column, alpha: float, horizon: int, gamma: Column,
     return F.aggregate(test, zero, step, lambda acc: acc["out"])
 
 
-def _opened(rows: DataFrame, keys, out: str, clip: float | None, extra: tuple = ()) -> DataFrame:
-    flat = rows.select(*keys, F.explode(F.arrays_zip("test", out)).alias("z")).select(*keys, "z.test.*", f"z.{out}.alpha", f"z.{out}.q")
-    lo = F.col("low") - F.col("q")
-    return flat.withColumn("lo", lo if clip is None else F.greatest(lo, d(clip))).withColumn("hi", F.col("high") + F.col("q"))
-
-
-def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, gamma: float | Column = 0.05, window: int | Column | None = None, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i", engine: str = "fold") -> DataFrame:
-    """keys, i, low, high, y, alpha, q, lo, hi. cal has a column score; gamma may be a column of the keys, and in the fold
-    the window one of the keys and the array cal of scores."""
-    rows = gathered(cal, test, *keys, low=low, high=high, y=y, order=order)
-    g = gamma if isinstance(gamma, Column) else d(gamma)
-    if engine == "fold":
-        w = None if window is None else F.lit(window)
-        return _opened(rows.withColumn("out", folded(F.col("cal"), F.col("test"), alpha, horizon, g, w, bounds)), keys, "out", clip)
-    types = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+def _opened(rows: DataFrame, keys, out: str, clip: float | None) -> DataFrame:
+    return _clipped(rows.select(*keys, F.explode(F.arrays_zip("test", out)).alias("z")).select(*keys, "z.test.*", f"z.{out}.alpha", f"z.{out}.q"), clip)
+
+
+class _Pool:
+    """A group's scores: the last ones in order of arrival and sorted, and the levels."""
+
+    def __init__(self, scores: list[float], width: int, levels: list[float]) -> None:
+        self.kept, self.levels = deque(scores[-width:] if width else (), maxlen=width), levels
+        self.ranked = sorted(self.kept)
+
+    def add(self, score: float) -> None:
+        if len(self.kept) == self.kept.maxlen:
+            if not self.kept:
+                return
+            del self.ranked[bisect_left(self.ranked, self.kept[0])]
+        self.kept.append(score)
+        insort(self.ranked, score)
+
+
+class Replay:
+    """One series by the rules. opening: (group, score) of its calibration rows, in order."""
+
+    def __init__(self, opening: list[tuple], gammas: list[float], alpha: float, horizon: int, window=None, bounds=LEVEL_BOUNDS, least: int = 0) -> None:
+        self.every, self.own = [s for _, s in opening], {}
+        for g, s in opening:
+            self.own.setdefault(g, []).append(s)
+        self.gammas, self.alpha, self.horizon, self.window, self.bounds, self.least = gammas, alpha, horizon, window, bounds, least
+        self.pools: dict = {}
+        self.waiting: deque = deque()
+
+    def _pool(self, group) -> _Pool:
+        if group not in self.pools:
+            scores = self.own.get(group, [])
+            scores = scores + self.every if len(scores) < self.least else scores
+            n = len(scores)
+            self.pools[group] = _Pool(scores, self.window(n) if callable(self.window) else self.window or n, [self.alpha] * len(self.gammas))
+        return self.pools[group]
+
+    def step(self, low: float, high: float, y: float, group=None) -> list[tuple[float, float | None]]:
+        """(level, margin) per gamma."""
+        if len(self.waiting) >= self.horizon:
+            where, score, misses = self.waiting.popleft()
+            pool = self._pool(where)
+            pool.add(score)
+            moved = [a + g * (self.alpha - m) for a, g, m in zip(pool.levels, self.gammas, misses, strict=True)]
+            pool.levels = moved if self.bounds is None else [min(max(a, self.bounds[0]), self.bounds[1]) for a in moved]
+        pool = self._pool(group)
+        n, out = len(pool.ranked), []
+        for a in pool.levels:
+            rank = min(ceil((n + 1) * (1 - a)), n)
+            out.append((a, pool.ranked[rank - 1] if rank > 0 else None))
+        misses = [0 if q is not None and low - q <= y <= high + q else 1 for _, q in out]
+        self.waiting.append((group, max(low - y, y - high), misses))
+        return out
+
+
+def replayed(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, gammas: tuple | Column, alpha: float, horizon: int, window: int | Callable[[int], int] | None = None, bounds=LEVEL_BOUNDS, group: str | None = None, least: int = 0, y: str = "y", order: str = "i") -> DataFrame:
+    """keys, __group, i, low, high, y, __rate (gamma), alpha, q: a row per test row and gamma. gammas: a grid, or a column of test rows
+    with the one gamma of their series."""
+    one = isinstance(gammas, Column)
+    grid = None if one else list(gammas)
+    of = (lambda df: F.col(group)) if group else (lambda df: F.lit(None).cast("string"))
+    none = F.lit(None).cast("double")
+    at = F.col(order).cast("long").alias("__i")
+    c = cal.select(*keys, F.lit(0).alias("__phase"), at, F.col("score").cast("double").alias("__score"), *[none.alias(x) for x in ("__low", "__high", "__y")], of(cal).alias("__group"), none.alias("__gamma")).filter("__score is not null")
+    t = test.select(*keys, F.lit(1).alias("__phase"), at, none.alias("__score"), *[F.col(x).cast("double").alias(n) for x, n in ((low, "__low"), (high, "__high"), (y, "__y"))], of(test).alias("__group"), (gammas if one else none).alias("__gamma")).dropna(subset=["__low", "__high", "__y"])
+    rows = c.unionByName(t)
+    rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "__phase", "__i", "__score", "__low", "__high", "__y", "__group")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + (", " if keys else "") + f"__group {types['__group']}, i long, low double, high double, y double, __rate double, alpha double, q double"
+    k = len(keys)
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                steps = replayed(r["cal"], [(t["low"], t["high"], t["y"]) for t in r["test"]], alpha, horizon, r["__g"], window, bounds)
-                out += [{k: r[k] for k in keys} | t | {"alpha": a, "q": q} for t, (a, q) in zip(r["test"], steps, strict=True)]
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema=None)
-
-    flat = rows.withColumn("__g", g).mapInArrow(run, f"{types}, i long, low double, high double, y double, alpha double, q double")
+        current, opening, series = None, [], None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in [*keys, "__group"]]
+            out: list[list] = [[] for _ in range(k + 8)]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                phase, i, score, low_, high_, y_, where, gamma = row[k:]
+                if row[:k] != current or current is None:
+                    current, opening, series = row[:k], [], None
+                if phase == 0:
+                    opening.append((where, score))
+                    continue
+                if not opening:
+                    continue
+                if series is None:
+                    series = Replay(opening, grid or [gamma], alpha, horizon, window, bounds, least)
+                for g, (a, q) in zip(series.gammas, series.step(low_, high_, y_, where), strict=True):
+                    for column, value in zip(out, (*row[:k], where, i, low_, high_, y_, g, a, q), strict=True):
+                        column.append(value)
+            if out[-1]:
+                types = [*kinds, pa.int64(), *[pa.float64()] * 6]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*keys, "__group", "i", "low", "high", "y", "__rate", "alpha", "q"])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _clipped(flat: DataFrame, clip: float | None) -> DataFrame:
     lo = F.col("low") - F.col("q")
     return flat.withColumn("lo", lo if clip is None else F.greatest(lo, d(clip))).withColumn("hi", F.col("high") + F.col("q"))
 
 
-def replayed(cal: list[float], steps: list[tuple[float, float, float]], alpha: float, horizon: int, gamma: float, window: int | None = None, bounds=LEVEL_BOUNDS) -> list[tuple[float, float]]:
-    """(level, margin) of each step (low, high, outcome), by the rules of the fold; log-time search in a sorted window."""
-    from math import ceil
-
-    kept = deque(cal, maxlen=window or len(cal))
-    ranked = sorted(kept)
-    waiting: deque = deque()
-    level, out = alpha, []
-    for i, (low, high, y) in enumerate(steps):
-        if i >= horizon:
-            score, miss = waiting.popleft()
-            if len(kept) == kept.maxlen:
-                del ranked[bisect_left(ranked, kept[0])]
-            kept.append(score)
-            insort(ranked, score)
-            level += gamma * (alpha - miss)
-            level = level if bounds is None else min(max(level, bounds[0]), bounds[1])
-        n = len(ranked)
-        q = ranked[min(ceil((n + 1) * (1 - level)), n) - 1]
-        out.append((level, q))
-        waiting.append((max(low - y, y - high), 0 if low - q <= y <= high + q else 1))
-    return out
+def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, gamma: float | Column = 0.05, window: int | Callable[[int], int] | None = None, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i", engine: str = "sorted") -> DataFrame:
+    """keys, i, low, high, y, alpha, q, lo, hi. cal has a column score; gamma may be a column of the keys; the window may
+    follow from the number of calibration rows (with the sorted engine)."""
+    if engine == "fold":
+        rows = gathered(cal, test, *keys, low=low, high=high, y=y, order=order)
+        g = gamma if isinstance(gamma, Column) else d(gamma)
+        return _opened(rows.withColumn("out", folded(F.col("cal"), F.col("test"), alpha, horizon, g, None if window is None else F.lit(window), bounds)), keys, "out", clip)
+    found = replayed(cal, test, *keys, low=low, high=high, gammas=gamma if isinstance(gamma, Column) else (gamma,), alpha=alpha, horizon=horizon, window=window, bounds=bounds, y=y, order=order)
+    return _clipped(found.select(*keys, "i", "low", "high", "y", "alpha", "q"), clip)
 
 
 def chosen_gamma(cal: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, grid: tuple = GAMMAS, share: float = 0.5, y: str = "y", order: str = "i") -> DataFrame:
     """gamma per series, chosen within the calibration rows: the first part opens the pool, the rest is replayed for each
     gamma; the nearest coverage wins, then the lower interval score, then the smaller gamma. Short series get the middle
     of the grid. cal has a column score."""
-    step = F.struct(F.col(order).cast("long").alias("i"), F.col("score"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(y).alias("y"))
-    one = cal.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("all")).withColumn("n", F.size("all")).withColumn("cut", F.floor(F.col("n") * d(share)).cast("int"))
-    short = (F.col("cut") < 30) | (F.col("n") - F.col("cut") < max(50, 10 * horizon))
-    long_ = one.filter(~short).withColumn("gamma", F.explode(F.array(*map(d, grid))))
-    opening = F.transform(F.slice("all", F.lit(1), F.col("cut")), lambda s: s["score"])
-    rest = F.transform(F.slice("all", F.col("cut") + 1, F.col("n") - F.col("cut")), lambda s: F.struct(s["i"].alias("i"), s["low"].alias("low"), s["high"].alias("high"), s["y"].alias("y")))
-    rows = long_.select(*keys, "gamma", opening.alias("cal"), rest.alias("test"))
-    flat = _opened(rows.withColumn("out", folded(F.col("cal"), F.col("test"), alpha, horizon, F.col("gamma"))), (*keys, "gamma"), "out", None)
     from .metrics import scores
 
-    scored = flat.groupBy(*keys, "gamma").agg(*scores(alpha))
+    every = Window.partitionBy(*keys)
+    rows = cal.withColumn("__n", F.count("*").over(every)).withColumn("__cut", F.floor(F.col("__n") * d(share)))
+    short = (F.col("__cut") < 30) | (F.col("__n") - F.col("__cut") < max(50, 10 * horizon))
+    rows = rows.withColumn("__short", short).withColumn("__at", F.row_number().over(every.orderBy(order, "score", low, high, y)))
+    first = F.col("__at") <= F.col("__cut")
+    flat = replayed(rows.filter(~F.col("__short") & first), rows.filter(~F.col("__short") & ~first), *keys, low=low, high=high, gammas=grid, alpha=alpha, horizon=horizon, y=y, order=order)
+    scored = _clipped(flat.withColumnRenamed("__rate", "gamma"), None).groupBy(*keys, "gamma").agg(*scores(alpha))
     best = scored.groupBy(*keys).agg(F.min_by(F.struct("gamma", "picp", "winkler"), F.struct(F.round(F.abs(F.col("picp") - d(1 - alpha)), 12).alias("a"), F.round("winkler", 9).alias("w"), "gamma")).alias("b"))
     picked = best.select(*keys, F.col("b.gamma").alias("gamma"), F.col("b.picp").alias("cal_picp"), F.col("b.winkler").alias("cal_winkler"))
-    return picked.unionByName(one.filter(short).select(*keys, d(grid[len(grid) // 2]).alias("gamma"), F.lit(None).cast("double").alias("cal_picp"), F.lit(None).cast("double").alias("cal_winkler")))
+    none = F.lit(None).cast("double")
+    return picked.unionByName(rows.filter("__short").select(*keys).distinct().select(*keys, d(grid[len(grid) // 2]).alias("gamma"), none.alias("cal_picp"), none.alias("cal_winkler")))
 
 
 def grouped_stream(cal: DataFrame, test: DataFrame, group: str, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, gamma: float = 0.05, least: int = 50, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i") -> DataFrame:
     """A level and a pool per group of a series; feedback returns to the group that issued it, h steps of the whole series
     later. A group with fewer than `least` scores opens with its own and all of the series'; its window is its opening
     size."""
-    rows = gathered(cal.withColumnRenamed(group, "grp") if group != "grp" else cal, test.withColumnRenamed(group, "grp") if group != "grp" else test, *keys, low=low, high=high, y=y, order=order, extra=("grp",))
-    numbered = F.transform("test", lambda t, n: F.struct(n.alias("n"), t["grp"].alias("grp"), band_score(t["y"], t["low"], t["high"]).alias("s")))
-    rows = rows.withColumn("scored", numbered).withColumn("names", F.array_sort(F.array_distinct(F.transform("test", lambda t: t["grp"]))))
-    own = lambda g: F.transform(F.filter("cal", lambda c: c["grp"] == g), lambda c: c["score"])
-    every = F.transform("cal", lambda c: c["score"])
-    opening = F.transform("names", lambda g: F.struct(g.alias("grp"), F.when(F.size(own(g)) < least, F.concat(own(g), every)).otherwise(own(g)).alias("open"), F.transform(F.filter("scored", lambda s: s["grp"] == g), lambda s: F.struct(s["n"].alias("n"), s["s"].alias("s"))).alias("later")))
-    rows = rows.withColumn("pools", opening)
-
-    def step(acc: Column, t: Column) -> Column:
-        n = F.size(acc["out"])
-        old = F.get(acc["out"], n - horizon)
-        levels = F.when(n >= horizon, F.transform(acc["levels"], lambda a, k: F.when(k == old["g"], _moved(a, d(gamma), alpha, old["miss"], bounds)).otherwise(a))).otherwise(acc["levels"])
-        g = F.array_position(acc["names"], t["grp"]) - 1
-        pool = F.get(acc["pools"], g.cast("int"))
-
-        def emit(v: Column) -> Column:
-            released = F.transform(F.filter(v["pool"]["later"], lambda s: s["n"] <= n - horizon), lambda s: s["s"])
-            whole = F.concat(v["pool"]["open"], released)
-            kept = F.array_sort(F.slice(whole, F.size(whole) - F.size(v["pool"]["open"]) + 1, F.size(v["pool"]["open"])))
-            a = F.get(v["levels"], v["g"])
-
-            def put(u: Column) -> Column:
-                q = F.get(u["kept"], conformal_rank(F.size(u["kept"]), u["a"]) - 1)
-                miss = F.when((t["y"] >= t["low"] - q) & (t["y"] <= t["high"] + q), 0).otherwise(1)
-                row = F.struct(t["i"].alias("i"), u["a"].alias("alpha"), q.alias("q"), miss.alias("miss"), v["g"].alias("g"))
-                return F.struct(v["levels"].alias("levels"), acc["names"].alias("names"), acc["pools"].alias("pools"), F.concat(acc["out"], F.array(row)).alias("out"))
-
-            return _let(F.struct(a.alias("a"), kept.alias("kept")), put)
-
-        return _let(F.struct(levels.alias("levels"), g.cast("int").alias("g"), pool.alias("pool")), emit)
-
-    zero = F.struct(F.transform("names", lambda g: d(alpha)).alias("levels"), F.col("names"), F.col("pools"), F.array().cast("array<struct<i:bigint,alpha:double,q:double,miss:int,g:int>>").alias("out"))
-    out = _opened(rows.withColumn("out", F.aggregate("test", zero, step, lambda acc: acc["out"])), keys, "out", clip)
-    return out.withColumnRenamed("grp", group) if group != "grp" else out
+    found = replayed(cal, test, *keys, low=low, high=high, gammas=(gamma,), alpha=alpha, horizon=horizon, bounds=bounds, group=group, least=least, y=y, order=order)
+    return _clipped(found.select(*keys, "i", "low", "high", "y", F.col("__group").alias(group), "alpha", "q"), clip)
 
 
 def aggregated_experts(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, eta: float = 0.01, gammas: tuple = GAMMAS, y: str = "y", order: str = "i") -> DataFrame:
     """Exponentially weighted streams, one per gamma, with weights of their own for each end: keys, i, y, lo, hi. The loss
     of step j first weighs at step j + h. After the streams it's windows only."""
-    spread = F.explode(F.array(*map(d, gammas)))
-    rows = gathered(cal, test, *keys, low=low, high=high, y=y, order=order).withColumn("gamma", spread)
-    flat = _opened(rows.withColumn("out", folded(F.col("cal"), F.col("test"), alpha, horizon, F.col("gamma"))), (*keys, "gamma"), "out", None)
+    flat = _clipped(replayed(cal, test, *keys, low=low, high=high, gammas=gammas, alpha=alpha, horizon=horizon, y=y, order=order).withColumnRenamed("__rate", "gamma"), None)
     before = Window.partitionBy(*keys, "gamma").orderBy("i").rowsBetween(Window.unboundedPreceding, -horizon)
     for end, tau in (("lo", alpha / 2), ("hi", 1 - alpha / 2)):
         flat = flat.withColumn(f"loss_{end}", F.coalesce(F.sum(pinball(F.col("y"), F.col(end), tau)).over(before), d(0)))

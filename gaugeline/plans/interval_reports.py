@@ -194,8 +194,7 @@ def delay_sensitivity_grid(spark, sf_dir):
         rows = b.rows(spark, sf_dir, h)
         cal, test = b.calibration(rows), b.part(rows, "test")
         spread = F.explode(F.array(*map(d, _RATES)))
-        window = F.greatest(F.lit(50), F.size("cal"))
-        aci = ad.stream(cal.withColumn("gamma", spread), test.withColumn("gamma", spread), "series", "gamma", low="occ", high="occ", alpha=b.ALPHA, horizon=h, gamma=F.col("gamma"), window=window, clip=None)
+        aci = ad.stream(cal.withColumn("gamma", spread), test.withColumn("gamma", spread), "series", "gamma", low="occ", high="occ", alpha=b.ALPHA, horizon=h, gamma=F.col("gamma"), window=lambda n: max(50, n), clip=None)
         split = cf.banded(test, cf.margins(cal, "score", b.ALPHA, "series"), "occ", "occ", "series", clip=None).withColumn("gamma", F.lit(None).cast("double"))
         for method, x in (("aci", aci), ("split_cp", split)):
             out.append(mt.scored(x, b.ALPHA, "gamma", "series").withColumn("method", F.lit(method)).withColumn("horizon", F.lit(h)))

@@ -45,7 +45,7 @@ def test_fold_equals_replay_and_sorted_engine(spark, horizon):
     cal, test = series(spark, 60, 150, shift=3.0)
     how = {"low": "f", "high": "f", "horizon": horizon, "gamma": 0.05}
     a = adaptive.stream(cal, test, "series", **how).orderBy("i").collect()
-    b = adaptive.stream(cal, test, "series", engine="arrow", **how).orderBy("i").collect()
+    b = adaptive.stream(cal, test, "series", engine="fold", **how).orderBy("i").collect()
     assert [(r.alpha, r.q, r.lo, r.hi) for r in a] == [(r.alpha, r.q, r.lo, r.hi) for r in b]
     scores = [r.score for r in cal.orderBy("i").collect()]
     level, pool, queue = 0.1, list(scores), {}
@@ -59,6 +59,61 @@ def test_fold_equals_replay_and_sorted_engine(spark, horizon):
         queue.setdefault(i + horizon, []).append((abs(r.y - r.f), 0 if r.f - q <= r.y <= r.f + q else 1))
 
 
+@pytest.mark.parametrize(("window", "bounds"), [(None, None), (20, (0.2, 0.8)), (500, (1e-3, 1 - 1e-3))])
+def test_engines_agree_on_several_series_in_small_batches(spark, window, bounds):
+    parts = [series(spark, n, m, seed=n, shift=2.0, name=f"s{n}") for n, m in ((40, 90), (1, 30), (25, 60))]
+    cal, test = (x.unionByName(y).unionByName(z) for x, y, z in zip(*parts, strict=True))
+    lone = series(spark, 0, 10, name="no calibration")[1]
+    test = test.unionByName(lone).unionByName(test.limit(1).withColumn("y", F.lit(None).cast("double")))
+    cal = cal.unionByName(cal.limit(1).withColumn("score", F.lit(None).cast("double")))
+    rows = []
+    for size, engine in (("7", "sorted"), ("10000", "fold")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        out = adaptive.stream(cal, test, "series", low="f", high="f", horizon=3, gamma=0.4, window=window, bounds=bounds, engine=engine)
+        rows.append(sorted((r.series, r.i, r.alpha, r.q, r.lo, r.hi) for r in out.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert repr(rows[0]) == repr(rows[1])
+    assert len(rows[0]) == 180
+
+
+def test_groups_have_pools_and_levels_of_their_own(spark):
+    cal, test = series(spark, 70, 120, shift=3.0)
+    got = adaptive.grouped_stream(cal, test, "grp", "series", low="f", high="f", horizon=4, gamma=0.1, least=24).orderBy("i").collect()
+    scores = [(r.grp, r.score) for r in cal.orderBy("i").collect()]
+    pools, width, level = {}, {}, dict.fromkeys("abc", 0.1)
+    for g in "abc":
+        own = [s for x, s in scores if x == g]
+        pools[g] = own + [s for _, s in scores] if len(own) < 24 else own
+        width[g] = len(pools[g])
+    late = []
+    for i, r in enumerate(test.orderBy("i").collect()):
+        if i >= 4:
+            g, s, m = late[i - 4]
+            pools[g].append(s)
+            level[g] = min(max(level[g] + 0.1 * (0.1 - m), 1e-3), 1 - 1e-3)
+        last = sorted(pools[r.grp][-width[r.grp] :])
+        q = last[min(math.ceil((len(last) + 1) * (1 - level[r.grp])), len(last)) - 1]
+        assert (got[i].grp, got[i].alpha, got[i].q) == (r.grp, level[r.grp], q)
+        late.append((r.grp, abs(r.y - r.f), 0 if r.f - q <= r.y <= r.f + q else 1))
+
+
+def test_a_long_series_takes_linear_time():
+    import time
+
+    def seconds(n):
+        rng = np.random.default_rng(1)
+        y = rng.normal(size=n).tolist()
+        series, began = adaptive.Replay([(None, abs(v)) for v in rng.normal(size=1000).tolist()], list(adaptive.GAMMAS), 0.1, 3), time.process_time()
+        for v in y:
+            series.step(0.0, 0.0, v)
+        assert len(series.pools[None].kept) == 1000
+        assert len(series.waiting) == 3
+        return time.process_time() - began
+
+    short, long_ = seconds(20_000), seconds(100_000)
+    assert long_ < 8 * short
+
+
 def test_no_lookahead(spark):
     cal, test = series(spark, 60, 80)
     late = test.withColumn("y", F.when(F.col("i") == 40, F.col("y") + 50).otherwise(F.col("y")))
@@ -69,7 +124,7 @@ def test_no_lookahead(spark):
 
 def test_adaptive_recovers_from_a_shift(spark):
     cal, test = series(spark, 200, 900, shift=3.0)
-    out = adaptive.stream(cal, test, "series", low="f", high="f", horizon=1, engine="arrow")
+    out = adaptive.stream(cal, test, "series", low="f", high="f", horizon=1)
     fixed = conformal.banded(test, conformal.margins(cal, "score", 0.1, "series"), "f", "f", "series")
     cover = [x.filter("i > 500").agg(F.avg(((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("double"))).first()[0] for x in (out, fixed)]
     assert abs(cover[0] - 0.9) < 0.03
