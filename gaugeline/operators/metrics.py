@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import picks
 from ..functions.scalar import covered, d, interval_score
 
 
@@ -51,29 +52,33 @@ def block_length(cadence_minutes: float, hours: float = 3.0) -> int:
     return max(2, round(hours * 60 / cadence_minutes))
 
 
-def block_bootstrap(df: DataFrame, indicator: str, order: str, *keys: str, block: int, draws: int = 10_000, seed: int = 42, level: float = 0.9) -> DataFrame:
-    """ci_lo and ci_hi of each series' mean under serial dependence: means of draws of n // block blocks with starts
-    anywhere, and their percentiles; null for a series shorter than a block. Block means come from a running sum, so a
-    draw costs its blocks and not its rows, and memory is bounded by a batch of draws."""
+def block_bootstrap(df: DataFrame, indicator: str, order: str, *keys: str, block: int, draws: int = 10_000, seed: int = 42, level: float = 0.9, target: float = 0.9, margin: float = 0.02) -> DataFrame:
+    """mean, ci_lo and ci_hi of each series' mean under serial dependence, whether the interval contains the target, and
+    whether it lies above target less margin: means of draws of n // block blocks with starts anywhere, and their
+    percentiles; null for a series shorter than a block. Block means come from a running sum, so a draw costs its blocks
+    and not its rows, and memory is bounded by a batch of draws."""
 
     def run(pdf):
         import numpy as np
         import pandas as pd
 
         x = pdf.sort_values(order)[indicator].to_numpy(float)
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        n = len(x)
-        if n < block:
-            return pd.DataFrame(out | {"ci_lo": [None], "ci_hi": [None]}).astype({"ci_lo": float, "ci_hi": float})
-        sums = np.concatenate(([0.0], np.cumsum(x)))
-        totals = sums[block:] - sums[:-block]
-        rng, many = np.random.default_rng(seed), max(1, n // block)
-        means = np.concatenate([totals[rng.integers(0, n - block + 1, (min(2000, draws - i), many))].sum(1) / (many * block) for i in range(0, draws, 2000)])
-        tail = (1 - level) / 2 * 100
-        return pd.DataFrame(out | {"ci_lo": [np.percentile(means, tail)], "ci_hi": [np.percentile(means, 100 - tail)]})
+        out, n = {k: [pdf[k].iloc[0]] for k in keys}, len(x)
+        low = high = np.nan
+        if n >= block:
+            sums = np.concatenate(([0.0], np.cumsum(x)))
+            totals, many = sums[block:] - sums[:-block], max(1, n // block)
+            step = max(1, min(2000, 4_000_000 // many))
+            means = np.concatenate([totals[picks(seed, range(i, min(draws, i + step)), many, n - block + 1)].sum(1) / (many * block) for i in range(0, draws, step)])
+            tail = (1 - level) / 2 * 100
+            low, high = np.percentile(means, tail), np.percentile(means, 100 - tail)
+        known = n >= block
+        out |= {"n": [n], "mean": [x.mean()], "ci_lo": [low], "ci_hi": [high], "contains": [bool(low <= target <= high) if known else None], "safe": [bool(low >= target - margin) if known else None]}
+        return pd.DataFrame(out)
 
     types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, F.col(indicator).cast("double").alias(indicator)).groupBy(*keys).applyInPandas(run, f"{types}, ci_lo double, ci_hi double")
+    rows = df.select(*keys, order, F.col(indicator).cast("double").alias(indicator)).groupBy(*keys).applyInPandas(run, f"{types}, n long, mean double, ci_lo double, ci_hi double, contains boolean, safe boolean")
+    return rows.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("ci_lo", "ci_hi")})
 
 
 def agreement(df: DataFrame, a: str, b: str, tolerance: float = 1e-9) -> Column:

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import pick_sql
 from ..functions.scalar import conformal_quantile, d, skipping_quantile
 from ..operators import adaptive as ad
 from ..operators import chunks as ch
@@ -285,7 +286,19 @@ def enbpi_intervals(spark, sf_dir):
     return mt.scored(ch.ensemble_intervals(rows, b.FEATURES, "y", "occ", "day", "series", alpha=b.ALPHA, horizon=b.HORIZON, members=30, **FOREST), b.ALPHA, "series")
 
 
-@report()
+_BLOCK, _DRAWS = mt.block_length(60, 6.0), 10_000
+
+
+@report(
+    b.with_(b.rows_sql(), b.split_cp_sql(), f"""h AS (SELECT series, CASE WHEN y >= lo AND y <= hi THEN 1.0::DOUBLE ELSE 0 END AS hit, row_number() OVER (PARTITION BY series ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY series) AS n FROM cp),
+s AS (SELECT series, p, n, sum(hit) OVER (PARTITION BY series ORDER BY p ROWS BETWEEN CURRENT ROW AND {_BLOCK - 1} FOLLOWING) AS t FROM h),
+d AS (SELECT series, n, draw, unnest(range(greatest(1, n // {_BLOCK}))) AS k FROM (SELECT DISTINCT series, n FROM h WHERE n >= {_BLOCK}), (SELECT unnest(range({_DRAWS})) AS draw)),
+u AS (SELECT *, {pick_sql('42', 'draw', 'k', f'(n - {_BLOCK} + 1)')} AS p FROM d),
+m AS (SELECT u.series, draw, sum(t) / (count(*) * {_BLOCK}) AS mean FROM u JOIN s ON s.series = u.series AND s.p = u.p GROUP BY 1, 2),
+c AS (SELECT series, quantile_cont(mean, 0.05) AS ci_lo, quantile_cont(mean, 0.95) AS ci_hi FROM m GROUP BY series)""")
+    + "SELECT h.series, count(*) AS n, avg(hit) AS mean, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi, any_value(ci_lo <= 0.9::DOUBLE AND ci_hi >= 0.9::DOUBLE) AS contains, any_value(ci_lo >= 0.9::DOUBLE - 0.02::DOUBLE) AS safe FROM h LEFT JOIN c ON c.series = h.series GROUP BY h.series",
+    "mean ci_lo ci_hi",
+)
 def coverage_block_bootstrap(spark, sf_dir):
     out = split_cp(b.rows(spark, sf_dir)).withColumn("hit", ((F.col("y") >= F.col("lo")) & (F.col("y") <= F.col("hi"))).cast("double"))
-    return mt.block_bootstrap(out, "hit", "i", "series", block=mt.block_length(60, 6.0), draws=10_000)
+    return mt.block_bootstrap(out, "hit", "i", "series", block=_BLOCK, draws=_DRAWS)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import number_sql, pick_sql
 from ..functions.scalar import d
 from ..operators import adaptive as ad
 from ..operators import conformal as cf
@@ -135,19 +136,82 @@ def _sites_panel(spark, sf_dir):
     return b.panel(spark, sf_dir, 6 * pn.HOUR, F.col("user_id") % 20)
 
 
-@report()
+_BUCKETS = f"e AS (SELECT series, bucket, {b.scores_sql()} FROM cp GROUP BY series, bucket)"
+#: P(T > t) for whole degrees of freedom: a finite sum in the angle whose tangent is t / sqrt(df).
+_T_SF = """list_transform([atan({t} / sqrt({n}))], lambda w: 0.5 - 0.5 * CASE WHEN {n} % 2 = 0 THEN sin(w) * coalesce(list_sum(list_transform(range({n} // 2), lambda j: pow(cos(w), 2 * j) * exp(lgamma(j + 0.5) - lgamma(0.5::DOUBLE) - lgamma(j + 1.0)))), 0)
+ ELSE 2 / pi() * (w + coalesce(list_sum(list_transform(range(({n} - 1) // 2), lambda j: sin(w) * pow(cos(w), 2 * j + 1) * exp(lgamma(j + 1.0) + lgamma(0.5::DOUBLE) - lgamma(j + 1.5)) / 2)), 0)) END)[1]"""
+
+
+def _t_sf(t: str, n: str) -> str:
+    return _T_SF.format(t=t, n=n)
+
+
+@report(
+    b.with_(b.rows_sql(), b.split_cp_sql(), _BUCKETS, f"""m AS (SELECT bucket, count(picp) AS n, avg(picp) AS mean, stddev_samp(picp) AS sd FROM e GROUP BY bucket),
+bis AS (SELECT n, 0 AS k, 0.0::DOUBLE AS a, 1000.0::DOUBLE AS z FROM (SELECT DISTINCT n FROM m WHERE n > 1)
+  UNION ALL SELECT n, k + 1, CASE WHEN {_t_sf('((a + z) / 2)', '(n - 1)')} > 0.05 THEN (a + z) / 2 ELSE a END, CASE WHEN {_t_sf('((a + z) / 2)', '(n - 1)')} > 0.05 THEN z ELSE (a + z) / 2 END FROM bis WHERE k < 70),
+tq AS (SELECT n, (a + z) / 2 AS t FROM bis WHERE k = 70)""", recursive=True)
+    + f"""SELECT bucket, n, mean, sd, sd / sqrt(n) AS se, mean - t * sd / sqrt(n) AS ci_lo, mean + t * sd / sqrt(n) AS ci_hi,
+ CASE WHEN n > 1 AND sd > 0 THEN greatest({_t_sf('((mean - 0.9::DOUBLE + 0.02::DOUBLE) / (sd / sqrt(n)))', '(n - 1)')}, {_t_sf('((0.02::DOUBLE - (mean - 0.9::DOUBLE)) / (sd / sqrt(n)))', '(n - 1)')}) END AS tost_p FROM m LEFT JOIN tq USING (n)""",
+    "mean sd se ci_lo ci_hi tost_p",
+)
 def t_interval_legs(spark, sf_dir):
     cells = mt.scored(split_cp(b.rows(spark, sf_dir)), b.ALPHA, "series", "bucket")
     return inf.mean_legs(cells, "picp", "bucket")
 
 
-@report()
+_MANY = 10_000
+
+
+@report(
+    b.with_(b.rows_sql(), b.split_cp_sql(), _BUCKETS, f"""x AS (SELECT bucket, picp, row_number() OVER (PARTITION BY bucket ORDER BY series) - 1 AS p, count(*) OVER (PARTITION BY bucket) AS n FROM e),
+d AS (SELECT bucket, n, draw, unnest(range(n)) AS k FROM (SELECT DISTINCT bucket, n FROM x), (SELECT unnest(range({_MANY})) AS draw)),
+u AS (SELECT *, {pick_sql('42', 'draw', 'k', 'n')} AS p FROM d),
+m AS (SELECT u.bucket, draw, avg(picp) AS mean FROM u JOIN x ON x.bucket = u.bucket AND x.p = u.p GROUP BY 1, 2),
+c AS (SELECT bucket, quantile_cont(mean, 0.05) AS ci_lo, quantile_cont(mean, 0.95) AS ci_hi FROM m GROUP BY bucket)""")
+    + "SELECT x.bucket, count(*) AS n, avg(picp) AS mean, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi FROM x JOIN c ON c.bucket = x.bucket GROUP BY x.bucket",
+    "mean ci_lo ci_hi",
+)
 def facility_bootstrap(spark, sf_dir):
     cells = mt.scored(split_cp(b.rows(spark, sf_dir)), b.ALPHA, "series", "bucket")
     return inf.bootstrap_mean(cells, "picp", "series", "bucket")
 
 
-@report()
+def _contrast_sql(cells: str, pairs: list[tuple[str, str]], keys: str = "family") -> str:
+    """CTEs from `unit` (keys, arm, entity, v) to `found`: the columns of inference.contrasts. Signed ranks are exact for at
+    most 50 differences without ties or zeros, else normal with the error function as a series."""
+    erfc = "1 - 2 / sqrt(pi()) * list_sum(list_transform(range(160), lambda j: (CASE WHEN j % 2 = 0 THEN 1 ELSE -1 END) * exp((2 * j + 1) * ln(greatest({z}, 1e-300::DOUBLE)) - lgamma(j + 1.0) - ln(2.0 * j + 1))))"
+    named = ", ".join(f"({k}, '{a}', '{c}')" for k, (a, c) in enumerate(pairs))
+    on = keys.split(", ")
+    same = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in on)
+    of = lambda x: ", ".join(f"{x}.{k}" for k in on)
+    return f"""{cells},
+pr AS (SELECT {of('l')}, c.k AS num, c.a || ' - ' || c.b AS contrast, l.entity, l.v - r.v AS d FROM (VALUES {named}) AS c(k, a, b) JOIN unit l ON l.arm = c.a JOIN unit r ON r.arm = c.b AND {same('r', 'l')} AND r.entity = l.entity WHERE l.v - r.v IS NOT NULL),
+px AS (SELECT *, row_number() OVER (PARTITION BY {keys}, num ORDER BY entity) - 1 AS p, count(*) OVER (PARTITION BY {keys}, num) AS n FROM pr),
+dr AS (SELECT *, unnest(range(n)) AS k FROM (SELECT DISTINCT {keys}, num, n FROM px), (SELECT unnest(range({_MANY})) AS draw)),
+up AS (SELECT *, {pick_sql(f'42 + num * {_MANY}', 'draw', 'k', 'n')} AS p FROM dr),
+bm AS (SELECT {of('u')}, u.num, draw, avg(d) AS mean FROM up u JOIN px x ON {same('x', 'u')} AND x.num = u.num AND x.p = u.p GROUP BY ALL),
+bo AS (SELECT {keys}, num, quantile_cont(mean, 0.05) AS ci_lo, quantile_cont(mean, 0.95) AS ci_hi, least(1.0, 2 * least(avg(CAST(mean <= 1e-12::DOUBLE AS DOUBLE)), avg(CAST(mean >= -1e-12::DOUBLE AS DOUBLE)))) AS boot_p FROM bm GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY {keys}, num ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, num, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {keys}, num, abs(d)) AS alike FROM px WHERE d <> 0),
+sr AS (SELECT {keys}, num, count(*) AS m, any_value(n) AS n, max(alike) > 1 AS tied, sum(alike * alike - 1) AS ties, least(sum(r) FILTER (WHERE d > 0), 1e18) AS plus FROM rk GROUP BY ALL),
+sw AS (SELECT *, least(coalesce(plus, 0), m * (m + 1) / 2.0::DOUBLE - coalesce(plus, 0)) AS w FROM sr),
+ways AS (SELECT 0 AS size, [1::HUGEINT] AS ways UNION ALL SELECT size + 1, list_transform(range(CAST((size + 1) * (size + 2) / 2 AS BIGINT) + 1), lambda s: coalesce(ways[s + 1], 0) + CASE WHEN s >= size + 1 THEN coalesce(ways[s - size], 0) ELSE 0 END) FROM ways WHERE size < 50),
+sp AS (SELECT {keys}, num, CASE WHEN m <= 50 AND NOT tied AND m = n THEN least(1.0, 2 * CAST(list_sum(ways[1 : CAST(floor(w) AS BIGINT) + 1]) AS DOUBLE) / pow(2, m)) ELSE least(1.0, {erfc.format(z='((m * (m + 1) / 4.0::DOUBLE - w) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) / sqrt(2))')}) END AS wilcoxon_p FROM sw JOIN ways ON size = least(m, 50)),
+found AS (SELECT {of('x')}, x.contrast, count(*) AS n, avg(d) AS mean_d, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi, any_value(boot_p) AS boot_p, avg(CAST(d < 0 AS DOUBLE)) AS share_less, any_value(wilcoxon_p) AS wilcoxon_p FROM px x JOIN bo ON {same('bo', 'x')} AND bo.num = x.num LEFT JOIN sp ON {same('sp', 'x')} AND sp.num = x.num GROUP BY {of('x')}, x.num, x.contrast),
+ho AS (SELECT *, (count(HP) OVER (PARTITION BY {keys}) - row_number() OVER hw + 1) * HP AS s FROM found WINDOW hw AS (PARTITION BY {keys} ORDER BY HP NULLS LAST, contrast))"""
+
+
+def _holm_sql(p: str, keys: str = "family") -> str:
+    return f"SELECT * EXCLUDE (s), CASE WHEN {p} IS NOT NULL THEN least(1.0, max(s) OVER (PARTITION BY {keys} ORDER BY {p} NULLS LAST, contrast ROWS UNBOUNDED PRECEDING)) END AS p_holm FROM ho"
+
+
+_CONTRAST = "mean_d ci_lo ci_hi boot_p share_less wilcoxon_p p_holm"
+
+
+@report(
+    b.with_(b.rows_sql(), b.split_cp_sql(), _MONDRIAN, _contrast_sql(f"unit AS (SELECT 'D' AS family, arm, series || '|' || bucket AS entity, abs(picp - 0.9::DOUBLE) AS v FROM (SELECT 'split_cp' AS arm, series, bucket, {b.scores_sql()} FROM cp GROUP BY series, bucket UNION ALL SELECT 'mondrian', series, bucket, {b.scores_sql()} FROM mond GROUP BY series, bucket))", [("split_cp", "mondrian")]).replace("HP", "boot_p"), recursive=True) + _holm_sql("boot_p"),
+    _CONTRAST,
+)
 def wilcoxon_contrasts(spark, sf_dir):
     rows = b.rows(spark, sf_dir)
     cells = mt.scored(split_cp(rows), b.ALPHA, "series", "bucket").withColumn("arm", F.lit("split_cp")).unionByName(mt.scored(mondrian(rows), b.ALPHA, "series", "bucket").withColumn("arm", F.lit("mondrian")))
@@ -399,7 +463,19 @@ def mantel_on_roster(spark, sf_dir):
     return sp.mantel_r(sp.on_roster(spatial_pairs(spark, sf_dir), coordinates(spark).filter("site not in (1, 8)")))
 
 
-@report()
+@report(
+    b.with_(_GRID, _COORD, _SPACE, f"""me AS (SELECT site, {b.grained_sql('avg(occ)')} AS v FROM o GROUP BY site), z AS (SELECT site, v - (SELECT avg(v) FROM me) AS z, row_number() OVER (ORDER BY site) - 1 AS p FROM me),
+mat AS (SELECT x.p AS i, y.p AS j, km, r, CASE WHEN km > 0 THEN 1 / km ELSE 0 END AS w, x.z AS zi, y.z AS zj FROM pr JOIN z x ON x.site = a JOIN z y ON y.site = b),
+sym AS (SELECT i, j, r FROM mat UNION ALL SELECT j, i, r FROM mat),
+dr AS (SELECT draw, p, z FROM z, (SELECT unnest(range(9999)) AS draw)),
+ord AS (SELECT draw, p AS picked, z, row_number() OVER (PARTITION BY draw ORDER BY {number_sql('42', 'draw', 'p')}, p) - 1 AS p FROM dr),
+per AS (SELECT m.i, m.j, km, w, x.draw, s.r, x.z * y.z AS zz FROM mat m JOIN ord x ON x.p = m.i JOIN ord y ON y.p = m.j AND y.draw = x.draw JOIN sym s ON s.i = x.picked AND s.j = y.picked),
+st AS (SELECT draw, sum(2 * w * zz) AS top, corr(km, r) AS mr FROM per GROUP BY draw),
+ob AS (SELECT sum(2 * w * zi * zj) AS top, sum(2 * w) AS w, corr(km, r) AS mr FROM mat),
+f AS (SELECT (SELECT count(*) FROM z) / w / (SELECT sum(z * z) FROM z) AS f, top, mr FROM ob)""")
+    + "SELECT f * top AS moran_i, ((SELECT count(*) FROM st WHERE draw < 999 AND abs(f.f * st.top) >= abs(f.f * f.top) - 1e-12::DOUBLE) + 1) / 1000.0::DOUBLE AS moran_p, mr AS mantel_r, ((SELECT count(*) FROM st WHERE abs(st.mr) >= abs(f.mr) - 1e-12::DOUBLE) + 1) / 10000.0::DOUBLE AS mantel_p FROM f",
+    "moran_i moran_p mantel_r mantel_p",
+)
 def spatial_permutation_tests(spark, sf_dir):
     return sp.permutation_tests(spatial_pairs(spark, sf_dir), site_means(spark, sf_dir), "mean_occ")
 
