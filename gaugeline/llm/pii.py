@@ -8,8 +8,8 @@ each round a pattern's confidence in a kind is the share of all places in the co
 they surround, that hold a known instance of the kind; patterns with enough distinct known instances and confidence are
 taken, and candidates score one minus the product of their patterns' doubts; those above the threshold, of a shape that
 the kind allows, become known. At the end the candidates that stand in a taken pattern are spans as well. All steps are
-DataFrame functions, and the graph lives in tables. Places are counted over all texts, for patterns with enough distinct
-instances of any sort; where no pattern has them, nothing can be taken and the texts aren't read again.
+DataFrame functions, and the graph lives in tables. Places are counted over all texts, for patterns that could be taken if
+all candidates of a kind's shape were known; where there is none, nothing can be taken and the texts aren't read again.
 
 The regular expressions are written so that Java's matcher stays linear and doesn't recurse: repeated groups are
 possessive, and a match starts only where a run of its characters does or where the last match ended.
@@ -195,7 +195,12 @@ def bootstrap(scratch: Scratch, df: DataFrame, text: str, found: DataFrame, roun
     seeds = found.select(F.explode("base").alias("m")).select(F.explode("m.contexts").alias("context"), "m.value", "m.kind", F.lit(None).cast("array<boolean>").alias("shape"))
     others = found.select(F.explode("candidates").alias("m")).select(F.explode("m.contexts").alias("context"), "m.value", F.lit(None).cast("int").alias("kind"), "m.shape")
     edges = scratch.stage(seeds.unionByName(others).groupBy("context", "value").agg(F.min("kind").alias("seed"), F.max("shape").alias("shape"), F.count("*").alias("n")), "edges")
-    supported = scratch.stage(edges.groupBy("context").agg(F.count("*").alias("distinct"), F.sum("n").alias("least")).filter(F.col("distinct") >= support).select("context", "least"), "supported")
+    # what may ever be known as of a kind: its seeds, and candidates of its shape
+    may = [(F.col("seed") == k) | (F.col("seed").isNull() & F.get("shape", F.lit(k))) for k in range(len(KINDS))]
+    each = [F.struct(F.count_if(m).alias("distinct"), F.coalesce(F.sum(F.when(m, F.col("n"))), F.lit(0)).alias("n")) for m in may]
+    totals = edges.groupBy("context").agg(F.sum("n").alias("least"), F.array(*each).alias("kinds"))
+    supported = totals.filter(F.exists("kinds", lambda k: (k["distinct"] >= support) & (k["n"] >= confidence * F.col("least")))).select("context", "least")
+    supported = scratch.stage(supported, "supported")
     if supported.isEmpty() or edges.filter("seed is not null").isEmpty():
         return None
     stand = places(df, text, supported.select("context"))
