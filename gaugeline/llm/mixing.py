@@ -195,25 +195,26 @@ def _rechosen(near: DataFrame, most: int) -> DataFrame:
     """pattern, prio, key, size, copies (of all rows of the group) of the groups near their pattern's cut. A row of near:
     a group, with up to NEAR of its rows that are picked (inside) and of those that are not (outside)."""
 
-    def run(pdf):
-        import pandas as pd
+    def run(table):
+        import pyarrow as pa
 
-        pdf = pdf.sort_values(["prio", "key", "size"], na_position="first", kind="stable")
+        rows = sorted(table.to_pylist(), key=lambda r: (r["prio"], r["key"] is not None, r["key"] or "", r["size"]))
         sizes, picked, of = [], [], []
-        for i, (size, inside, outside) in enumerate(zip(pdf["size"].tolist(), pdf["inside"].tolist(), pdf["outside"].tolist(), strict=True)):
-            sizes += [size] * (inside + outside)
-            picked += [True] * inside + [False] * outside
-            of += [i] * (inside + outside)
-        row = pdf.iloc[0]
-        copies = chosen(sizes, picked, int(row["full"]), most, int(row["gap"]), int(row["tokens"]))
-        total = pdf["away"].to_numpy().copy()
-        for i, c in zip(of, copies, strict=True):
+        for i, r in enumerate(rows):
+            units = r["inside"] + r["outside"]
+            sizes += [r["size"]] * units
+            picked += [True] * r["inside"] + [False] * r["outside"]
+            of += [i] * units
+        one = rows[0]
+        total = [r["away"] for r in rows]
+        for i, c in zip(of, chosen(sizes, picked, one["full"], most, one["gap"], one["tokens"]), strict=True):
             total[i] += c
-        return pd.DataFrame({"pattern": [list(row["pattern"])] * len(pdf), "prio": pdf["prio"].to_numpy(), "key": pdf["key"].to_numpy(), "size": pdf["size"].to_numpy(), "n": pdf["n"].to_numpy(), "copies": total})
+        schema = pa.schema([("pattern", pa.list_(pa.string())), ("prio", pa.int64()), ("key", pa.string()), ("size", pa.int64()), ("n", pa.int64()), ("copies", pa.int64())])
+        return pa.table({c: [r[c] for r in rows] for c in schema.names[:-1]} | {"copies": total}, schema=schema)
 
     kind = near.schema["key"].dataType.simpleString()
     near = near.withColumn("key", F.col("key").cast("string"))
-    found = near.groupBy("pattern").applyInPandas(run, "pattern array<string>, prio long, key string, size long, n long, copies long")
+    found = near.groupBy("pattern").applyInArrow(run, "pattern array<string>, prio long, key string, size long, n long, copies long")
     return found.withColumn("key", F.col("key").cast(kind))
 
 
