@@ -45,9 +45,9 @@ def band_score(y: Column, low: Column, high: Column) -> Column:
     return F.greatest(low - y, y - high)
 
 
-def interval_score(y: Column, lo: Column, hi: Column, alpha: float) -> Column:
+def interval_score(y: Column, lo: Column, hi: Column, alpha: float | Column) -> Column:
     miss = F.when(y < lo, lo - y).when(y > hi, y - hi).otherwise(d(0))
-    return (hi - lo) + d(2 / alpha) * miss
+    return (hi - lo) + (2 / alpha if isinstance(alpha, Column) else d(2 / alpha)) * miss
 
 
 def covered(y: Column, lo: Column, hi: Column) -> Column:

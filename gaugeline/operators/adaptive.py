@@ -128,16 +128,16 @@ class Replay:
         return out
 
 
-def replayed(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, gammas: tuple | Column, alpha: float, horizon: int, window: int | Callable[[int], int] | None = None, bounds=LEVEL_BOUNDS, group: str | None = None, least: int = 0, y: str = "y", order: str = "i") -> DataFrame:
-    """keys, __group, i, low, high, y, __rate (gamma), alpha, q: a row per test row and gamma. gammas: a grid, or a column of test rows
-    with the one gamma of their series."""
-    one = isinstance(gammas, Column)
-    grid = None if one else list(gammas)
+def replayed(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, gammas: tuple | Column, alpha: float | Column, horizon: int, window: int | Callable[[int], int] | None = None, bounds=LEVEL_BOUNDS, group: str | None = None, least: int = 0, y: str = "y", order: str = "i") -> DataFrame:
+    """keys, __group, i, low, high, y, __rate (gamma), alpha, q: a row per test row and gamma. gammas: a grid, or a column of
+    test rows with the one gamma of their series; alpha may be such a column too."""
+    one, every = isinstance(gammas, Column), not isinstance(alpha, Column)
+    grid, nominal = None if one else list(gammas), alpha if every else None
     of = (lambda df: F.col(group)) if group else (lambda df: F.lit(None).cast("string"))
     none = F.lit(None).cast("double")
     at = F.col(order).cast("long").alias("__i")
-    c = cal.select(*keys, F.lit(0).alias("__phase"), at, F.col("score").cast("double").alias("__score"), *[none.alias(x) for x in ("__low", "__high", "__y")], of(cal).alias("__group"), none.alias("__gamma")).filter("__score is not null")
-    t = test.select(*keys, F.lit(1).alias("__phase"), at, none.alias("__score"), *[F.col(x).cast("double").alias(n) for x, n in ((low, "__low"), (high, "__high"), (y, "__y"))], of(test).alias("__group"), (gammas if one else none).alias("__gamma")).dropna(subset=["__low", "__high", "__y"])
+    c = cal.select(*keys, F.lit(0).alias("__phase"), at, F.col("score").cast("double").alias("__score"), *[none.alias(x) for x in ("__low", "__high", "__y")], of(cal).alias("__group"), none.alias("__gamma"), none.alias("__alpha")).filter("__score is not null")
+    t = test.select(*keys, F.lit(1).alias("__phase"), at, none.alias("__score"), *[F.col(x).cast("double").alias(n) for x, n in ((low, "__low"), (high, "__high"), (y, "__y"))], of(test).alias("__group"), (gammas if one else none).alias("__gamma"), (none if every else alpha).alias("__alpha")).dropna(subset=["__low", "__high", "__y"])
     rows = c.unionByName(t)
     rows = (rows.repartition(*keys) if keys else rows.coalesce(1)).sortWithinPartitions(*keys, "__phase", "__i", "__score", "__low", "__high", "__y", "__group")
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
@@ -152,7 +152,7 @@ def replayed(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, g
             kinds = [batch.schema.field(c).type for c in [*keys, "__group"]]
             out: list[list] = [[] for _ in range(k + 8)]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                phase, i, score, low_, high_, y_, where, gamma = row[k:]
+                phase, i, score, low_, high_, y_, where, gamma, a0 = row[k:]
                 if row[:k] != current or current is None:
                     current, opening, series = row[:k], [], None
                 if phase == 0:
@@ -161,7 +161,7 @@ def replayed(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, g
                 if not opening:
                     continue
                 if series is None:
-                    series = Replay(opening, grid or [gamma], alpha, horizon, window, bounds, least)
+                    series = Replay(opening, grid or [gamma], a0 if nominal is None else nominal, horizon, window, bounds, least)
                 for g, (a, q) in zip(series.gammas, series.step(low_, high_, y_, where), strict=True):
                     for column, value in zip(out, (*row[:k], where, i, low_, high_, y_, g, a, q), strict=True):
                         column.append(value)
@@ -177,7 +177,7 @@ def _clipped(flat: DataFrame, clip: float | None) -> DataFrame:
     return flat.withColumn("lo", lo if clip is None else F.greatest(lo, d(clip))).withColumn("hi", F.col("high") + F.col("q"))
 
 
-def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, gamma: float | Column = 0.05, window: int | Callable[[int], int] | None = None, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i", engine: str = "sorted") -> DataFrame:
+def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alpha: float | Column = 0.1, horizon: int = 1, gamma: float | Column = 0.05, window: int | Callable[[int], int] | None = None, bounds=LEVEL_BOUNDS, clip: float | None = 0.0, y: str = "y", order: str = "i", engine: str = "sorted") -> DataFrame:
     """keys, i, low, high, y, alpha, q, lo, hi. cal has a column score; gamma may be a column of the keys; the window may
     follow from the number of calibration rows (with the sorted engine)."""
     if engine == "fold":
@@ -188,10 +188,10 @@ def stream(cal: DataFrame, test: DataFrame, *keys: str, low: str, high: str, alp
     return _clipped(found.select(*keys, "i", "low", "high", "y", "alpha", "q"), clip)
 
 
-def chosen_gamma(cal: DataFrame, *keys: str, low: str, high: str, alpha: float = 0.1, horizon: int = 1, grid: tuple = GAMMAS, share: float = 0.5, y: str = "y", order: str = "i") -> DataFrame:
+def chosen_gamma(cal: DataFrame, *keys: str, low: str, high: str, alpha: float | Column = 0.1, horizon: int = 1, grid: tuple = GAMMAS, share: float = 0.5, y: str = "y", order: str = "i") -> DataFrame:
     """gamma per series, chosen within the calibration rows: the first part opens the pool, the rest is replayed for each
     gamma; the nearest coverage wins, then the lower interval score, then the smaller gamma. Short series get the middle
-    of the grid. cal has a column score."""
+    of the grid. cal has a column score; alpha may be one of the keys."""
     from .metrics import scores
 
     every = Window.partitionBy(*keys)
@@ -200,8 +200,9 @@ def chosen_gamma(cal: DataFrame, *keys: str, low: str, high: str, alpha: float =
     rows = rows.withColumn("__short", short).withColumn("__at", F.row_number().over(every.orderBy(order, "score", low, high, y)))
     first = F.col("__at") <= F.col("__cut")
     flat = replayed(rows.filter(~F.col("__short") & first), rows.filter(~F.col("__short") & ~first), *keys, low=low, high=high, gammas=grid, alpha=alpha, horizon=horizon, y=y, order=order)
+    level = 1 - alpha if isinstance(alpha, Column) else d(1 - alpha)
     scored = _clipped(flat.withColumnRenamed("__rate", "gamma"), None).groupBy(*keys, "gamma").agg(*scores(alpha))
-    best = scored.groupBy(*keys).agg(F.min_by(F.struct("gamma", "picp", "winkler"), F.struct(F.round(F.abs(F.col("picp") - d(1 - alpha)), 12).alias("a"), F.round("winkler", 9).alias("w"), "gamma")).alias("b"))
+    best = scored.groupBy(*keys).agg(F.min_by(F.struct("gamma", "picp", "winkler"), F.struct(F.round(F.abs(F.col("picp") - level), 12).alias("a"), F.round("winkler", 9).alias("w"), "gamma")).alias("b"))
     picked = best.select(*keys, F.col("b.gamma").alias("gamma"), F.col("b.picp").alias("cal_picp"), F.col("b.winkler").alias("cal_winkler"))
     none = F.lit(None).cast("double")
     return picked.unionByName(rows.filter("__short").select(*keys).distinct().select(*keys, d(grid[len(grid) // 2]).alias("gamma"), none.alias("cal_picp"), none.alias("cal_winkler")))

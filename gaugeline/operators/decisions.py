@@ -51,6 +51,14 @@ def matched_random(rows: DataFrame, draws: int, order: str, *keys: str) -> DataF
     return many.withColumn("committed", at <= F.col("k")).drop("k")
 
 
+def anchors(train: DataFrame, value: str, when: Column, k: int, *keys: str) -> DataFrame:
+    """The k series with the highest mean reading at some times, by the most they ever had: keys, ratio, place. A top-k by a
+    plain order, so each task keeps k rows."""
+    one = train.groupBy(*keys).agg((F.avg(F.when(when, F.col(value))) / F.max(value)).alias("ratio")).filter("ratio is not null")
+    top = one.orderBy(F.col("ratio").desc(), *keys).limit(k)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("ratio").desc(), *keys)))
+
+
 def demand(spark, seeds: int, requests: int, anchors: list[tuple[float, float]], box: tuple[float, float, float, float], hot: float = 0.65, spread: float = 0.0035, slots: int = 1) -> DataFrame:
     """Requests (seed, request, slot, lat, lon): a share around anchors, the others anywhere in the box widened by 15
     percent. Made in the cluster from seeded functions of the row's number."""

@@ -75,6 +75,11 @@ def by_prefix(df: DataFrame, *prefixes: str) -> list[str]:
     return [c for c in df.columns if c.startswith(prefixes)]
 
 
+def floored(df: DataFrame, *columns: str, least: float = 0.0) -> DataFrame:
+    """Readings below the least one become it; nulls stay."""
+    return df.withColumns({c: F.when(F.col(c) < d(least), d(least)).otherwise(F.col(c)) for c in columns})
+
+
 def overlaid(df: DataFrame, column: str, start: Column, level: Column, order: str = "i") -> DataFrame:
     """The column replaced by a level from an index on."""
     return df.withColumn(column, F.when(F.col(order) >= start, level).otherwise(F.col(column)))

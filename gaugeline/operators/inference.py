@@ -112,7 +112,9 @@ def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     """rho and n; null where a side is constant."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
     ranked = average_rank(average_rank(rows, a, "__ra", *keys), b, "__rb", *keys)
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("rho")).withColumn("rho", F.when(~F.isnan("rho"), F.col("rho")))
+    one = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("__ra", "__rb").alias("__c"), (F.stddev_pop("__ra") * F.stddev_pop("__rb")).alias("__s"))
+    rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("__c", "__s")))
+    return one.select(*keys, "n", F.when(F.col("__s") > 0, rho).alias("rho"))
 
 
 def spearman_test(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
@@ -126,6 +128,15 @@ def spearman_test(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
     return one.mapInPandas(run, _types(one, keys) + "n long, rho double, p double")
 
 
+def entity_table(intervals: DataFrame, entity: str, *keys: str, target: float = 0.9, margin: float = 0.02) -> DataFrame:
+    """Of intervals of coverage per entity (mean, ci_lo, ci_hi): the spread and the worst of means, shares whose interval
+    begins below target less margin, whose mean is below the target, and whose interval contains it, and half widths."""
+    half, worst = (F.col("ci_hi") - F.col("ci_lo")) / 2, F.min(F.struct("mean", entity))
+    share = lambda c: F.avg(c.cast("double"))
+    low = F.lit(target).cast("double") - F.lit(margin).cast("double")
+    return intervals.groupBy(*keys).agg(F.count("*").alias("n_entities"), F.stddev_samp("mean").alias("sd_picp"), worst["mean"].alias("worst_picp"), worst[entity].alias("worst_entity"), share(F.col("ci_lo") < low).alias("share_unsafe"), share(F.col("mean") < target).alias("share_below"), F.percentile(half, F.lit(0.5)).alias("median_half"), F.max(half).alias("greatest_half"), share((F.col("ci_lo") <= target) & (F.col("ci_hi") >= target)).alias("share_containing"))
+
+
 def seeds_summary(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """Of repeated runs: moments, quartiles, extremes and signs."""
     v = F.col(value)

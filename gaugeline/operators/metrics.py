@@ -9,13 +9,13 @@ from ..functions.draws import picks
 from ..functions.scalar import covered, d, interval_score
 
 
-def scores(alpha: float, y: str = "y", lo: str = "lo", hi: str = "hi") -> list[Column]:
+def scores(alpha: float | Column, y: str = "y", lo: str = "lo", hi: str = "hi") -> list[Column]:
     """n, picp, mpiw and winkler as aggregates."""
     c = [F.col(x) for x in (y, lo, hi)]
     return [F.count("*").alias("n"), F.avg(covered(*c)).alias("picp"), F.avg(c[2] - c[1]).alias("mpiw"), F.avg(interval_score(*c, alpha)).alias("winkler")]
 
 
-def scored(intervals: DataFrame, alpha: float, *keys: str) -> DataFrame:
+def scored(intervals: DataFrame, alpha: float | Column, *keys: str) -> DataFrame:
     return intervals.groupBy(*keys).agg(*scores(alpha))
 
 

@@ -42,12 +42,23 @@ def cramers_v(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
 
 
 def excess_dispersion(cells: DataFrame, base: str, *keys: str, population: bool = True) -> DataFrame:
-    """Spread of coverage over cells of each partition, and what exceeds the chance partition's."""
+    """Spread of coverage over cells of each partition, and what exceeds the chance partition's. Variances that differ by
+    less than 1e-15 are equal."""
     sd = (F.stddev_pop if population else F.stddev_samp)("picp")
     spread = cells.groupBy(*keys, "partition").agg(F.count("*").alias("n_cells"), sd.alias("sd"))
     floor = spread.filter(F.col("partition") == base).select(*keys, F.col("sd").alias("floor_sd"))
     rows = spread.join(floor, list(keys)) if keys else spread.crossJoin(F.broadcast(floor))
-    return rows.withColumn("excess", F.sqrt(F.greatest(F.col("sd") * F.col("sd") - F.col("floor_sd") * F.col("floor_sd"), F.lit(0.0))))
+    return rows.withColumn("excess", F.sqrt(F.greatest(F.round(F.col("sd") * F.col("sd") - F.col("floor_sd") * F.col("floor_sd"), 15), F.lit(0.0))))
+
+
+def structure_removed(dispersion: DataFrame, base: str, cells: DataFrame) -> DataFrame:
+    """Adds the cells' mean and least coverage, how many lie below 0.80, and 1 - excess^2 / excess^2 of a base method in the
+    same partition; null where the base has none. Rows: method, partition."""
+    on = ["method", "partition"]
+    more = cells.groupBy(*on).agg(F.avg("picp").alias("mean_picp"), F.min("picp").alias("least_picp"), F.count_if(F.col("picp") < 0.8).alias("n_below_80"))
+    own = dispersion.filter(F.col("method") == base).select("partition", (F.col("excess") * F.col("excess")).alias("__base"))
+    share = F.when(F.col("__base") > 0, 1 - F.col("excess") * F.col("excess") / F.col("__base"))
+    return dispersion.join(own, "partition").withColumn("structure_removed", share).drop("__base").join(more, on)
 
 
 def in_folds(df: DataFrame, folds: DataFrame, at: str = "slot") -> DataFrame:

@@ -24,9 +24,13 @@ def low_information(df: DataFrame, value: str, *keys: str, least: int = MIN_DIST
     return df.groupBy(*keys).agg(n.alias("n_distinct"), (n < least).alias("low_information"))
 
 
-def degenerate(scores: DataFrame, score: str, *keys: str, tolerance: float = 1e-9) -> DataFrame:
+#: When calibration scores count as nearly 0: by their greatest size, by the greatest, or if none is above 0.
+DEGENERATE = {"size": lambda s, t: F.max(F.abs(s)) < t, "greatest": lambda s, t: F.max(s) < t, "none_above": lambda s, t: F.max(s) <= 0}
+
+
+def degenerate(scores: DataFrame, score: str, *keys: str, tolerance: float = 1e-9, rule: str = "size") -> DataFrame:
     """A flag per series: all calibration scores are nearly 0."""
-    return scores.groupBy(*keys).agg((F.max(F.abs(F.col(score))) < tolerance).alias("degenerate"))
+    return scores.groupBy(*keys).agg(DEGENERATE[rule](F.col(score), tolerance).alias("degenerate"))
 
 
 def thin(df: DataFrame, *keys: str, least: tuple[int, int, int] = THIN["core"]) -> DataFrame:

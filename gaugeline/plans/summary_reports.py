@@ -193,8 +193,8 @@ up AS (SELECT *, {pick_sql(f'42 + num * {_MANY}', 'draw', 'k', 'n')} AS p FROM d
 bm AS (SELECT {of('u')}, u.num, draw, avg(d) AS mean FROM up u JOIN px x ON {same('x', 'u')} AND x.num = u.num AND x.p = u.p GROUP BY ALL),
 bo AS (SELECT {keys}, num, quantile_cont(mean, 0.05) AS ci_lo, quantile_cont(mean, 0.95) AS ci_hi, least(1.0, 2 * least(avg(CAST(mean <= 1e-12::DOUBLE AS DOUBLE)), avg(CAST(mean >= -1e-12::DOUBLE AS DOUBLE)))) AS boot_p FROM bm GROUP BY ALL),
 rk AS (SELECT *, rank() OVER (PARTITION BY {keys}, num ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, num, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {keys}, num, abs(d)) AS alike FROM px WHERE d <> 0),
-sr AS (SELECT {keys}, num, count(*) AS m, any_value(n) AS n, max(alike) > 1 AS tied, sum(alike * alike - 1) AS ties, least(sum(r) FILTER (WHERE d > 0), 1e18) AS plus FROM rk GROUP BY ALL),
-sw AS (SELECT *, least(coalesce(plus, 0), m * (m + 1) / 2.0::DOUBLE - coalesce(plus, 0)) AS w FROM sr),
+sr AS (SELECT {keys}, num, count(*) AS m, any_value(n) AS n, max(alike) > 1 AS tied, sum(alike * alike - 1) AS ties, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS plus FROM rk GROUP BY ALL),
+sw AS (SELECT *, least(plus, m * (m + 1) / 2.0::DOUBLE - plus) AS w FROM sr),
 ways AS (SELECT 0 AS size, [1::HUGEINT] AS ways UNION ALL SELECT size + 1, list_transform(range(CAST((size + 1) * (size + 2) / 2 AS BIGINT) + 1), lambda s: coalesce(ways[s + 1], 0) + CASE WHEN s >= size + 1 THEN coalesce(ways[s - size], 0) ELSE 0 END) FROM ways WHERE size < 50),
 sp AS (SELECT {keys}, num, CASE WHEN m <= 50 AND NOT tied AND m = n THEN least(1.0, 2 * CAST(list_sum(ways[1 : CAST(floor(w) AS BIGINT) + 1]) AS DOUBLE) / pow(2, m)) ELSE least(1.0, {erfc.format(z='((m * (m + 1) / 4.0::DOUBLE - w) / sqrt(m * (m + 1) * (2 * m + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) / sqrt(2))')}) END AS wilcoxon_p FROM sw JOIN ways ON size = least(m, 50)),
 found AS (SELECT {of('x')}, x.contrast, count(*) AS n, avg(d) AS mean_d, any_value(ci_lo) AS ci_lo, any_value(ci_hi) AS ci_hi, any_value(boot_p) AS boot_p, avg(CAST(d < 0 AS DOUBLE)) AS share_less, any_value(wilcoxon_p) AS wilcoxon_p FROM px x JOIN bo ON {same('bo', 'x')} AND bo.num = x.num LEFT JOIN sp ON {same('sp', 'x')} AND sp.num = x.num GROUP BY {of('x')}, x.num, x.contrast),

@@ -80,3 +80,25 @@ def sorted_ids(df: DataFrame, name: str, out: str = "series_id") -> DataFrame:
     """Numbers names from 1 in sorted order. Only the distinct names are sorted in one place."""
     ids = df.select(name).distinct().withColumn(out, F.row_number().over(Window.orderBy(name)))
     return df.join(ids, name)
+
+
+def hashed_files(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
+    """path, bytes, sha256 of the files under a folder. With a list (name, sha256): state is `same`, `changed`, `missing` (only
+    listed) or `unlisted`, by the files' names below the folder."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    root = F.lit(path.rstrip("/") + "/")
+    name = F.substring_index("path", root, -1)
+    files = found.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if listed is None:
+        return files
+    both = files.join(listed.select("name", F.col("sha256").alias("listed")), "name", "full_outer")
+    state = F.when(F.col("sha256").isNull(), "missing").when(F.col("listed").isNull(), "unlisted").when(F.col("sha256") == F.col("listed"), "same").otherwise("changed")
+    return both.withColumn("state", state)
+
+
+def table_file(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A result table as the next step's input: a delimited file with a header, or a columnar one, with the columns and types
+    that the step asks for."""
+    plain = spark.read.option("header", True).csv(path) if path.rstrip("/").endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    wanted = T.StructType.fromDDL(schema)
+    return plain.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted])

@@ -28,10 +28,13 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new place in the folder that the driver and all executors see, which a cluster names in spark.checkpoint.dir."""
+    """A new place in the folder that the driver and all executors see, which a cluster names in spark.checkpoint.dir. Only
+    a session whose executors are threads of this process may go without."""
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="gaugeline-"))
         root = sc.getCheckpointDir()
     return f"{root.rstrip('/')}/gaugeline/{name}-{uuid4().hex}"

@@ -26,9 +26,10 @@ def deduplicated(stream: DataFrame, key: str = "event_id", ts: str = "ts", late:
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def binned_stream(stream: DataFrame, series: str, ts: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """series, start, v: the mean reading of each closed window, when the watermark has passed it."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+def binned_stream(stream: DataFrame, series: str, ts: str, value: str, width: str = "1 hour", late: str | None = "1 hour") -> DataFrame:
+    """series, start, v: the mean reading of each closed window, when the watermark has passed it. late: None if the stream
+    has a watermark."""
+    timed = stream if late is None else stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
     return timed.groupBy(F.col(series).alias("series"), F.window(ts, width).alias("w")).agg(F.avg(value).alias("v")).select("series", F.col("w.start").alias("start"), "v")
 
 
@@ -85,3 +86,21 @@ def replay(spark, rows: DataFrame, path: str, parts: int = 4, **how) -> DataFram
     query = adaptive(source, **how).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{path}/out")
+
+
+def closed_windows(spark, rows: DataFrame, path: str, series: str, ts: str, value: str, parts: int = 3, **how) -> DataFrame:
+    """Writes rows as `parts` files by time, and streams them through deduplicated() and binned_stream(): series, start (whole
+    seconds), v of the windows that the watermark has passed at the end."""
+    if rows.schema[ts].dataType.simpleString() == "timestamp_ntz":  # a stream's time has a zone; readings' time has none
+        rows = rows.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), ts)))
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    lo, hi = rows.agg(F.min(F.unix_micros(ts)), F.max(F.unix_micros(ts))).first()
+    for k in range(parts):
+        a, b = lo + (hi + 1 - lo) * k // parts, lo + (hi + 1 - lo) * (k + 1) // parts
+        rows.filter((F.unix_micros(ts) >= a) & (F.unix_micros(ts) < b)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    closed = binned_stream(deduplicated(source, ts=ts, **how), series, ts, value, late=None)
+    query = closed.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(closed.schema).parquet(f"{path}/out").select("series", F.unix_seconds("start").alias("start"), "v")
