@@ -15,8 +15,20 @@ from ..sources.session import ship
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Bytes of a batch of rows that goes to a Python worker, unless the session says otherwise: texts may be long, and both
+#: sides hold a batch whole.
+BATCH, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> SparkSession:
+    """Keeps batches for Python workers small in this session."""
+    if spark.conf.get(BATCH_SETTING, None) in (None, "", "67108864b", "64MB"):  # as Spark has it
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded(ship(spark)).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -39,7 +51,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage ends there, a lost executor repeats nothing that was
     written, and what reads it later prunes columns."""
-    path = shared_path(df.sparkSession, name)
+    path = shared_path(bounded(df.sparkSession), name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -48,7 +60,7 @@ class Scratch:
     """Stages tables, and removes those that nothing reads any more."""
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths = bounded(spark), {}
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         path = shared_path(self.spark, name)

@@ -380,7 +380,7 @@ def encoder(path: str, space: str):
     return _loaded[path, space]
 
 
-def batches(texts: list[str | None], most: int = 400_000):
+def batches(texts: list[str | None], most: int = 150_000):
     """(index, texts) of runs of texts of about `most` code points, nulls as empty, so memory stays bounded."""
     at, run, n = 0, [], 0
     for i, t in enumerate(texts):
