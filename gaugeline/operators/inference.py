@@ -91,21 +91,59 @@ def contrasts(df: DataFrame, value: str, arm: str, pairs: list[tuple[str, str]],
     return wide.groupBy(*keys).applyInPandas(run, schema)
 
 
+#: Parts that the rows of a group of more than LOT are cut into by their values.
+PARTS, LOT = 256, 1_000_000
+
+
+def in_parts(df: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Adds __part: rows of a lower part have no greater values. Small groups are one part; a large one is cut at quantiles, a
+    row of cuts per LOT rows, so that its order needs no task with all of it. Nulls are in the last part."""
+    cuts = F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)])
+    big = df.groupBy(*keys).agg(F.count("*").alias("__n"), cuts.alias("__cuts")).filter(F.col("__n") > LOT).drop("__n")
+    if big.isEmpty():
+        return df.withColumn("__part", F.lit(0))
+    rows = df.join(F.broadcast(big), list(keys), "left") if keys else df.crossJoin(F.broadcast(big))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    return rows.withColumn("__part", F.when(F.col("__cuts").isNull(), 0).when(F.col(value).isNull(), PARTS).otherwise(part)).drop("__cuts")
+
+
+def _ahead(parts: DataFrame, what, out: str, *keys: str) -> DataFrame:
+    """An aggregate of the parts before each part: a few rows per group."""
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.withColumn(out, what.over(before))
+
+
 def holm(df: DataFrame, p: str, *family: str, name: str = "contrast") -> DataFrame:
-    """p_holm: step-down adjusted within a family, never less than that of a smaller p. Nulls stay null."""
-    w = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), name)
-    m = F.count(p).over(Window.partitionBy(*family))
-    step = (m - F.row_number().over(w) + 1) * F.col(p)
-    return df.withColumn("__s", step).withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))))).drop("__s")
+    """p_holm: step-down adjusted within a family, never less than that of a smaller p. Nulls stay null. Large families are
+    ranked part by part."""
+    rows = in_parts(df, p, *family)
+    on = [*family, "__part"]
+    w = Window.partitionBy(*on).orderBy(F.col(p).asc_nulls_last(), name)
+
+    def with_parts(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """Adds what is known of a row's part; a null family is one like any other."""
+        side = parts.withColumnsRenamed({c: f"{c}_of" for c in on})
+        met = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in on]
+        return rows.join(side, met).drop(*[f"{c}_of" for c in on])
+
+    counts = rows.groupBy(*on).agg(F.count("*").alias("__rows"), F.count(p).alias("__with"))
+    counts = _ahead(counts, F.sum("__rows"), "__before", *family).withColumn("__m", F.sum("__with").over(Window.partitionBy(*family)))
+    ranked = with_parts(rows, counts.select(*on, F.coalesce("__before", F.lit(0)).alias("__before"), "__m"))
+    ranked = ranked.withColumn("__s", (F.col("__m") - (F.col("__before") + F.row_number().over(w)) + 1) * F.col(p))
+    tops = _ahead(ranked.groupBy(*on).agg(F.max("__s").alias("__top")), F.max("__top"), "__floor", *family).select(*on, "__floor")
+    upto = F.greatest(F.col("__floor"), F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return with_parts(ranked, tops).withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), upto))).select(*df.columns, "p_holm")
 
 
 def average_rank(df: DataFrame, value: str, out: str, *keys: str) -> DataFrame:
     """Ranks of equal values are their mean. Values are ranked by counts of distinct values, so a crowd of equal ones is
-    a row."""
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn(out, F.sum("__c").over(w) - (F.col("__c") - 1) / 2).drop("__c")
-    return df.join(ranks, [*keys, value])
+    a row, and large groups part by part."""
+    counts = in_parts(df.groupBy(*keys, value).agg(F.count("*").alias("__c")), value, *keys)
+    on = [*keys, "__part"]
+    ahead = _ahead(counts.groupBy(*on).agg(F.sum("__c").alias("__rows")), F.sum("__rows"), "__before", *keys).select(*on, F.coalesce("__before", F.lit(0)).alias("__before"))
+    w = Window.partitionBy(*on).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranks = counts.join(ahead, on).withColumn(out, F.col("__before") + F.sum("__c").over(w) - (F.col("__c") - 1) / 2)
+    return df.join(ranks.select(*keys, value, out), [*keys, value])
 
 
 def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:

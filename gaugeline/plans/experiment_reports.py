@@ -140,6 +140,20 @@ def method_contrasts(spark, sf_dir):
     return inf.holm(inf.contrasts(cells.select("method", "series", both), "v", "method", _PAIRS, "series", "family"), "wilcoxon_p", "family")
 
 
+_FIVE = [*_PAIRS, ("acqr", "aci")]
+_EVERY = " UNION ALL ".join(f"SELECT {h} AS horizon, * FROM ({core_sql(h, (b.ALPHA,), (b.ALPHA,))})" for h in HORIZONS)
+_UNITS_3 = f"cz AS (SELECT horizon, method AS arm, series AS entity, {_scores()} FROM ({_EVERY}) WHERE rule IS NULL OR rule = 'fixed' GROUP BY 1, 2, 3), unit AS (SELECT 'coverage' AS family, horizon, arm, entity, abs(picp - 0.9::DOUBLE) AS v FROM cz UNION ALL SELECT 'score', horizon, arm, entity, winkler FROM cz)"
+
+
+@report(b.with_(_contrast_sql(_UNITS_3, _FIVE, "family, horizon").replace("HP", "wilcoxon_p"), recursive=True) + _holm_sql("wilcoxon_p", "family, horizon"), _CONTRAST)
+def paired_tests(spark, sf_dir):
+    """Five pairs of methods, two metrics, every horizon."""
+    rows = union([core(b.rows(spark, sf_dir, h), h, (b.ALPHA,), (b.ALPHA,)).withColumn("horizon", F.lit(h)) for h in HORIZONS])
+    cells = mt.scored(rows.filter("rule is null or rule = 'fixed'"), b.ALPHA, "horizon", "method", "series")
+    both = F.inline(F.array(F.struct(F.lit("coverage").alias("family"), F.abs(F.col("picp") - d(0.9)).alias("v")), F.struct(F.lit("score").alias("family"), F.col("winkler").alias("v"))))
+    return inf.holm(inf.contrasts(cells.select("horizon", "method", "series", both), "v", "method", _FIVE, "series", "family", "horizon"), "wilcoxon_p", "family", "horizon")
+
+
 @report(
     f"WITH c AS (SELECT method, series, {_scores()} FROM ({_ONE}) WHERE rule IS NULL OR rule = 'fixed' GROUP BY 1, 2) SELECT method, count(*) AS n_entities, sum(picp * n) / sum(n) AS pooled_picp, avg(picp) AS mean_picp, stddev_samp(picp) AS sd_picp, min(picp) AS worst_picp, arg_min(series, struct_pack(p := picp, s := series)) AS worst_entity, avg(CAST(abs(picp - 0.9::DOUBLE) <= 0.02 AS DOUBLE)) AS share_near, count(*) FILTER (WHERE picp < 0.8) AS n_below_80, count(*) FILTER (WHERE picp < 0.85) AS n_below_85, avg(CAST(picp >= 0.88 AS DOUBLE)) AS share_safe, avg(mpiw) AS mean_mpiw, avg(winkler) AS mean_winkler FROM c GROUP BY method",
     "pooled_picp mean_picp sd_picp worst_picp share_near share_safe mean_mpiw mean_winkler",

@@ -45,6 +45,13 @@ def features_lag_roll(spark, sf_dir):
     return out.select("series", "slot", "occ", *_F.split(", "))
 
 
+@report(b.with_(b.panel_sql(6 * 3600, "user_id"), b.features_sql()) + "SELECT series, count(*) AS n, count(lag_1) AS n_lag, avg(lag_1) AS mean_lag, count(roll_mean) AS n_roll, avg(roll_mean) AS mean_roll FROM f GROUP BY series", "mean_lag mean_roll")
+def features_by_user(spark, sf_dir):
+    """Panels and features of many series: as many tasks as there are users."""
+    rows = ft.rolling(ft.lagged(b.panel(spark, sf_dir, 6 * pn.HOUR, F.col("user_id")), (1,)), b.WIDTH)
+    return rows.groupBy("series").agg(F.count("*").alias("n"), F.count("lag_1").alias("n_lag"), F.avg("lag_1").alias("mean_lag"), F.count("roll_mean").alias("n_roll"), F.avg("roll_mean").alias("mean_roll"))
+
+
 @report(b.with_(b.panel_sql(), b.features_sql()) + f"SELECT series, slot, tod_sin, tod_cos, dow, CAST(dow >= 5 AS BIGINT) AS is_weekend, CAST((slot // 24) % 30 = 5 AS BIGINT) AS is_holiday, {day_bucket_sql('hour')} AS bucket FROM f", "tod_sin tod_cos")
 def calendar_features(spark, sf_dir):
     p = b.panel(spark, sf_dir)

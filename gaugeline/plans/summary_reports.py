@@ -28,13 +28,13 @@ _CELLS = f"cell AS (SELECT series, {b.scores_sql()} FROM cp GROUP BY series)"
 
 @report(
     b.with_(b.rows_sql(), b.split_cp_sql(), _CELLS, "sd AS (SELECT series, stddev_samp(occ) FILTER (WHERE split = 'train') AS sd FROM fc GROUP BY series)")
-    + "SELECT threshold, count(*) AS n_series, avg(picp) AS mean_picp, stddev_samp(picp) AS sd_picp, avg(winkler) AS mean_winkler FROM cell c JOIN sd ON c.series = sd.series JOIN (SELECT unnest([0.0, 28.6, 28.8, 29.0])::DOUBLE AS threshold) t ON sd >= threshold GROUP BY threshold",
+    + "SELECT threshold, count(*) AS n_series, avg(picp) AS mean_picp, stddev_samp(picp) AS sd_picp, avg(winkler) AS mean_winkler FROM cell c JOIN sd ON c.series = sd.series JOIN (SELECT unnest([0.0, 2.0, 5.0, 10.0, 28.6, 28.8, 29.0])::DOUBLE AS threshold) t ON sd >= threshold GROUP BY threshold",
     "threshold mean_picp sd_picp mean_winkler",
 )
 def sigma_threshold_sweep(spark, sf_dir):
     rows = b.rows(spark, sf_dir)
     cells = mt.scored(split_cp(rows), b.ALPHA, "series").join(ql.dynamic(rows, "occ", "series").select("series", "train_sd"), "series")
-    many = cells.withColumn("threshold", F.explode(F.array(*map(d, (0.0, 28.6, 28.8, 29.0))))).filter("train_sd >= threshold")
+    many = cells.withColumn("threshold", F.explode(F.array(*map(d, (0.0, 2.0, 5.0, 10.0, 28.6, 28.8, 29.0))))).filter("train_sd >= threshold")
     return many.groupBy("threshold").agg(F.count("*").alias("n_series"), F.avg("picp").alias("mean_picp"), F.stddev_samp("picp").alias("sd_picp"), F.avg("winkler").alias("mean_winkler"))
 
 

@@ -86,8 +86,7 @@ def hashed_files(spark: SparkSession, path: str, listed: DataFrame | None = None
     """path, bytes, sha256 of the files under a folder. With a list (name, sha256): state is `same`, `changed`, `missing` (only
     listed) or `unlisted`, by the files' names below the folder."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    root = F.lit(path.rstrip("/") + "/")
-    name = F.substring_index("path", root, -1)
+    name = F.substring_index("path", path.rstrip("/") + "/", -1)
     files = found.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
     if listed is None:
         return files

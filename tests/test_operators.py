@@ -388,3 +388,64 @@ def test_forest_equals_trees_grown_node_by_node(leaf, depth):
     trees = [_grow_one(x[r], y[r], leaf, depth) for r in drawn]
     z = np.vstack([x, rng.normal(size=(40, 3))])
     assert predict(z) == pytest.approx([np.mean([t(row) for t in trees]) for row in z])
+
+
+def test_ranks_of_large_groups_part_by_part(spark, monkeypatch):
+    draw = random.Random(6)
+    rows = [(f, i, draw.choice([None, 0.5, draw.random(), draw.random()]), draw.random()) for f in "ab" for i in range(700)] + [("c", 0, 0.3, 0.1), ("d", 1, None, 0.2)]
+    df = spark.createDataFrame(rows, "family string, contrast int, p double, q double")
+    both = df.filter("p is not null")
+    whole = [inference.holm(df, "p", "family").collect(), inference.spearman(df, "p", "q", "family").collect(), inference.average_rank(both, "p", "r", "family").collect()]
+    monkeypatch.setattr(inference, "LOT", 20)
+    monkeypatch.setattr(inference, "PARTS", 16)
+    assert inference.in_parts(df, "p", "family").select("family", "__part").distinct().count() > 20
+    parts = [inference.holm(df, "p", "family").collect(), inference.spearman(df, "p", "q", "family").collect(), inference.average_rank(both, "p", "r", "family").collect()]
+    for a, b in zip(whole, parts, strict=True):
+        a, b = (sorted(x, key=lambda r: repr(tuple(r))) for x in (a, b))
+        assert len(a) == len(b)
+        for x, y in zip(a, b, strict=True):
+            assert [v for v in x if not isinstance(v, float)] == [v for v in y if not isinstance(v, float)]
+            assert [v for v in x if isinstance(v, float)] == pytest.approx([v for v in y if isinstance(v, float)])
+
+
+def test_spearman_of_a_constant_is_undefined(spark):
+    df = spark.createDataFrame([(1.0, float(i)) for i in range(9)], "a double, b double")
+    assert inference.spearman(df, "a", "b").first().rho is None
+
+
+def test_readings_below_the_least_become_it(spark):
+    df = features.floored(spark.createDataFrame([(-2.0, 1), (3.0, 2), (None, 3)], "occ double, i int"), "occ")
+    assert [r.occ for r in df.orderBy("i").collect()] == [0.0, 3.0, None]
+
+
+def test_files_are_hashed_and_compared_with_a_list(spark, tmp_path):
+    import hashlib
+
+    for name, text in (("a.txt", "one"), ("sub/b.txt", "two"), ("c.txt", "three")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    found = {r.name: (r.bytes, r.sha256) for r in readers.hashed_files(spark, str(tmp_path)).collect()}
+    assert found == {"a.txt": (3, sha("one")), "sub/b.txt": (3, sha("two")), "c.txt": (5, sha("three"))}
+    listed = spark.createDataFrame([("a.txt", sha("one")), ("sub/b.txt", sha("other")), ("d.txt", sha("x"))], "name string, sha256 string")
+    assert {r.name: r.state for r in readers.hashed_files(spark, str(tmp_path), listed).collect()} == {"a.txt": "same", "sub/b.txt": "changed", "c.txt": "unlisted", "d.txt": "missing"}
+
+
+def test_result_tables_are_the_next_steps_input(spark, tmp_path):
+    df = spark.createDataFrame([("a", 0.5, 3), ("b", None, 4)], "series string, picp double, n int")
+    df.coalesce(1).write.option("header", True).csv(str(tmp_path / "t.csv"))
+    df.write.parquet(str(tmp_path / "t"))
+    for path in ("t.csv", "t"):
+        got = readers.table_file(spark, str(tmp_path / path), "series string, n long, picp double")
+        assert got.dtypes == [("series", "string"), ("n", "bigint"), ("picp", "double")]
+        assert sorted(map(tuple, got.collect())) == [("a", 3, 0.5), ("b", 4, None)]
+
+
+def test_draws_are_spread_and_repeat(spark):
+    from gaugeline.functions import draws
+
+    x = draws.numbers(42, range(0, 300), 50)
+    assert (draws.numbers(42, range(100, 200), 50) == x[100:200]).all()
+    assert len(np.unique(x)) > 14_990
+    counts = np.bincount(draws.picks(7, range(0, 2000), 50, 10).ravel(), minlength=10)
+    assert abs(counts / 10_000 - 1).max() < 0.05
