@@ -237,16 +237,22 @@ def rarest_shared(scratch: Scratch, left: DataFrame, sets: DataFrame, percent: i
     rows = left.select("id", "label").distinct().join(sets, "id").select("id", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
     common = rows.groupBy("s").agg(F.count("*").alias("rows"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("s", "rows")
     common = scratch.stage(common, "common-shingles")
-    heavy = common.filter(F.col("rows") > LOT).select("s", F.ceil(F.col("rows") / LOT).alias("lots"))
-    heavy = None if heavy.isEmpty() else F.broadcast(heavy)
-    own = salted_join(rows, common, "s", "id", heavy).groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "s"))).alias("found"))
+    own = _of_shingles(rows, common).groupBy("id", "label", "n").agg(F.array_sort(F.collect_list(F.struct("rows", "s"))).alias("found"))
     need = F.ceil(F.col("n") * percent / 100)
     take = (F.col("n") - need + 1 - (F.col("n") - F.size("found"))).cast("int")
     first = scratch.stage(own.filter(take > 0).select("id", "label", F.explode(F.slice("found", F.lit(1), F.greatest(take, F.lit(0)))).alias("t")).select("id", "label", F.col("t.s").alias("s")), "rarest")
     hubs = first.groupBy("s").agg(F.min("label").alias("hub"), F.max("label").alias("high"), F.count("*").alias("rows")).filter("hub <> high")
-    heavy = hubs.filter(F.col("rows") > LOT).select("s", F.ceil(F.col("rows") / LOT).alias("lots"))
-    heavy = None if heavy.isEmpty() else F.broadcast(heavy)
-    return scratch.stage(salted_join(first, hubs.select("s", "hub"), "s", "id", heavy).select("id", "label", "hub").distinct(), "rarest-hubs")
+    hubs = scratch.stage(hubs.select("s", "hub", "rows"), "shingle-hubs")
+    return scratch.stage(_of_shingles(first, hubs).select("id", "label", "hub").distinct(), "rarest-hubs")
+
+
+def _of_shingles(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows with what is known of their shingle (s, with the number of rows that have it): sent to all executors if it's
+    small, else salted."""
+    if known.count() <= SEND:
+        return rows.join(F.broadcast(known), "s")
+    heavy = known.filter(F.col("rows") > LOT).select("s", F.ceil(F.col("rows") / LOT).alias("lots"))
+    return salted_join(rows, known, "s", "id", None if heavy.isEmpty() else F.broadcast(heavy))
 
 
 def confirmed_in_blocks(scratch: Scratch, left: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

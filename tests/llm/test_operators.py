@@ -268,10 +268,12 @@ def test_near_duplicates_without_ids_and_with_ids_that_repeat(spark):
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(5, base): 1, (3, lone + " y z"): 1, (-7, other + " w"): 1, (-7, "five words are here now"): 1, (None, ""): 2, (4, None): 1, (4, ""): 1}
 
 
-def test_near_duplicates_of_crowds_and_shared_passages(spark, monkeypatch):
+@pytest.mark.parametrize("send", [0, near_dup.SEND])
+def test_near_duplicates_of_crowds_and_shared_passages(spark, monkeypatch, send):
     """Keys beyond the salting bound, copies of one row, and texts that share a passage but aren't near copies."""
     import random
 
+    monkeypatch.setattr(near_dup, "SEND", send)
     monkeypatch.setattr(near_dup, "LOT", 4)
     monkeypatch.setattr(near_dup, "BLOCK_ROWS", 7)
     draw, rows = random.Random(12), []
