@@ -96,12 +96,13 @@ PARTS, LOT = 256, 1_000_000
 
 
 def in_parts(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """Adds __part: rows of a lower part have no greater values. Small groups are one part; a large one is cut at quantiles, a
-    row of cuts per LOT rows, so that its order needs no task with all of it. Nulls are in the last part."""
+    """Adds __part where a group has more than LOT rows: rows of a lower part have no greater values. Small groups are one part;
+    a large one is cut at quantiles, a row of cuts per LOT rows, so that its order needs no task with all of it. Nulls are
+    in the last part."""
     cuts = F.percentile_approx(value, [k / PARTS for k in range(1, PARTS)])
     big = df.groupBy(*keys).agg(F.count("*").alias("__n"), cuts.alias("__cuts")).filter(F.col("__n") > LOT).drop("__n")
     if big.isEmpty():
-        return df.withColumn("__part", F.lit(0))
+        return df
     rows = df.join(F.broadcast(big), list(keys), "left") if keys else df.crossJoin(F.broadcast(big))
     part = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     return rows.withColumn("__part", F.when(F.col("__cuts").isNull(), 0).when(F.col(value).isNull(), PARTS).otherwise(part)).drop("__cuts")
@@ -113,10 +114,15 @@ def _ahead(parts: DataFrame, what, out: str, *keys: str) -> DataFrame:
     return parts.withColumn(out, what.over(before))
 
 
-def holm(df: DataFrame, p: str, *family: str, name: str = "contrast") -> DataFrame:
-    """p_holm: step-down adjusted within a family, never less than that of a smaller p. Nulls stay null. Large families are
-    ranked part by part."""
-    rows = in_parts(df, p, *family)
+def holm(df: DataFrame, p: str, *family: str, name: str = "contrast", large: bool = True) -> DataFrame:
+    """p_holm: step-down adjusted within a family, never less than that of a smaller p. Nulls stay null. large: whether a
+    family may have more than LOT rows; such ones are looked for, and ranked part by part."""
+    rows = in_parts(df, p, *family) if large else df
+    if "__part" not in rows.columns:
+        w = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), name)
+        step = (F.count(p).over(Window.partitionBy(*family)) - F.row_number().over(w) + 1) * F.col(p)
+        most = F.max("__s").over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("__s", step).withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), most))).drop("__s")
     on = [*family, "__part"]
     w = Window.partitionBy(*on).orderBy(F.col(p).asc_nulls_last(), name)
 
@@ -135,21 +141,25 @@ def holm(df: DataFrame, p: str, *family: str, name: str = "contrast") -> DataFra
     return with_parts(ranked, tops).withColumn("p_holm", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), upto))).select(*df.columns, "p_holm")
 
 
-def average_rank(df: DataFrame, value: str, out: str, *keys: str) -> DataFrame:
+def average_rank(df: DataFrame, value: str, out: str, *keys: str, large: bool = True) -> DataFrame:
     """Ranks of equal values are their mean. Values are ranked by counts of distinct values, so a crowd of equal ones is
-    a row, and large groups part by part."""
-    counts = in_parts(df.groupBy(*keys, value).agg(F.count("*").alias("__c")), value, *keys)
-    on = [*keys, "__part"]
-    ahead = _ahead(counts.groupBy(*on).agg(F.sum("__c").alias("__rows")), F.sum("__rows"), "__before", *keys).select(*on, F.coalesce("__before", F.lit(0)).alias("__before"))
+    a row. large: whether a group may have more than LOT distinct values; such ones are ranked part by part."""
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("__c"))
+    counts = in_parts(counts, value, *keys) if large else counts
+    ahead, on = F.lit(0), list(keys)
+    if "__part" in counts.columns:
+        on = [*keys, "__part"]
+        before = _ahead(counts.groupBy(*on).agg(F.sum("__c").alias("__rows")), F.sum("__rows"), "__before", *keys).select(*on, F.coalesce("__before", F.lit(0)).alias("__before"))
+        counts, ahead = counts.join(before, on), F.col("__before")
     w = Window.partitionBy(*on).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.join(ahead, on).withColumn(out, F.col("__before") + F.sum("__c").over(w) - (F.col("__c") - 1) / 2)
+    ranks = counts.withColumn(out, ahead + F.sum("__c").over(w) - (F.col("__c") - 1) / 2)
     return df.join(ranks.select(*keys, value, out), [*keys, value])
 
 
-def spearman(df: DataFrame, a: str, b: str, *keys: str) -> DataFrame:
+def spearman(df: DataFrame, a: str, b: str, *keys: str, large: bool = True) -> DataFrame:
     """rho and n; null where a side is constant."""
     rows = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, a, b)
-    ranked = average_rank(average_rank(rows, a, "__ra", *keys), b, "__rb", *keys)
+    ranked = average_rank(average_rank(rows, a, "__ra", *keys, large=large), b, "__rb", *keys, large=large)
     one = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("__ra", "__rb").alias("__c"), (F.stddev_pop("__ra") * F.stddev_pop("__rb")).alias("__s"))
     rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide("__c", "__s")))
     return one.select(*keys, "n", F.when(F.col("__s") > 0, rho).alias("rho"))

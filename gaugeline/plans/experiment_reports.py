@@ -19,8 +19,8 @@ from ..operators import metrics as mt
 from ..operators import partitions as pt
 from . import base as b
 from .interval_reports import _GROUPED, _GROUPED_FOLD, _MONDRIAN, folds, mondrian, split_cp
-from .interval_reports import _AT, _FOLDS
-from .panel_reports import report
+from .interval_reports import _AT, _FOLDS, _RATES
+from .panel_reports import ORACLES, report
 from .summary_reports import _CONTRAST, _SITES, _contrast_sql, _holm_sql, _outcome_sql, sites
 
 HORIZONS, MISSES, BAND_MISSES = (1, 3, 6), (0.2, 0.15, 0.1, 0.05), (0.1, 0.05)
@@ -137,7 +137,7 @@ def method_contrasts(spark, sf_dir):
     family."""
     cells = mt.scored(_one(spark, sf_dir), b.ALPHA, "method", "series").withColumn("gap", F.abs(F.col("picp") - d(0.9)))
     both = F.inline(F.array(F.struct(F.lit("D").alias("family"), F.col("gap").alias("v")), F.struct(F.lit("E").alias("family"), F.col("winkler").alias("v"))))
-    return inf.holm(inf.contrasts(cells.select("method", "series", both), "v", "method", _PAIRS, "series", "family"), "wilcoxon_p", "family")
+    return inf.holm(inf.contrasts(cells.select("method", "series", both), "v", "method", _PAIRS, "series", "family"), "wilcoxon_p", "family", large=False)
 
 
 _FIVE = [*_PAIRS, ("acqr", "aci")]
@@ -151,7 +151,7 @@ def paired_tests(spark, sf_dir):
     rows = union([core(b.rows(spark, sf_dir, h), h, (b.ALPHA,), (b.ALPHA,)).withColumn("horizon", F.lit(h)) for h in HORIZONS])
     cells = mt.scored(rows.filter("rule is null or rule = 'fixed'"), b.ALPHA, "horizon", "method", "series")
     both = F.inline(F.array(F.struct(F.lit("coverage").alias("family"), F.abs(F.col("picp") - d(0.9)).alias("v")), F.struct(F.lit("score").alias("family"), F.col("winkler").alias("v"))))
-    return inf.holm(inf.contrasts(cells.select("horizon", "method", "series", both), "v", "method", _FIVE, "series", "family", "horizon"), "wilcoxon_p", "family", "horizon")
+    return inf.holm(inf.contrasts(cells.select("horizon", "method", "series", both), "v", "method", _FIVE, "series", "family", "horizon"), "wilcoxon_p", "family", "horizon", large=False)
 
 
 @report(
@@ -172,7 +172,7 @@ SELECT method, count(*) AS n, CASE WHEN count(DISTINCT a) > 1 AND count(DISTINCT
 def calibration_size_correlation(spark, sf_dir):
     """Whether coverage goes with the number of calibration rows; undefined where either is constant."""
     n = b.part(b.rows(spark, sf_dir), "calibration").groupBy("series").agg(F.count("*").cast("double").alias("n_cal"))
-    return inf.spearman(mt.scored(_one(spark, sf_dir), b.ALPHA, "method", "series").join(n, "series"), "n_cal", "picp", "method")
+    return inf.spearman(mt.scored(_one(spark, sf_dir), b.ALPHA, "method", "series").join(n, "series"), "n_cal", "picp", "method", large=False)
 
 
 # The same intervals under several partitions.
@@ -335,3 +335,24 @@ def anchor_sites(spark, sf_dir):
 
     rows = b.part(b.rows(spark, sf_dir), "train")
     return dc.anchors(rows, "occ", ft.afternoon(pn.slot_time()), 4, "series")
+
+
+# The delay grid's SQL: windows of at least 50 scores, ends that aren't clipped.
+
+
+def _delay_sql(horizon: int) -> str:
+    pools = _pools("g", "src", "series", horizon).replace(f"a.r > greatest(t.i - {horizon} + 1, 0)", f"a.r > w + greatest(t.i - {horizon} + 1, 0) - greatest(w, 50)")
+    grid = ", ".join(b.num(g) for g in _RATES)
+    both = b.with_(
+        b.rows_sql(horizon),
+        "src AS (SELECT series, split, i, y, occ AS low, occ AS high FROM fc WHERE split <> 'train')",
+        pools,
+        f"ds AS (SELECT s.*, pool, gamma, {b.num(b.ALPHA)} AS miss FROM src s JOIN gpool p ON s.series = p.series AND s.i = p.i, (SELECT unnest([{grid}]) AS gamma) WHERE split = 'test')",
+        _fold("df", "ds", "series, gamma", horizon),
+        f"cq AS (SELECT series, sc[{b.rank_sql('len(sc)', b.num(b.ALPHA))}] AS q FROM (SELECT series, list_sort(list(abs(y - low))) AS sc FROM src WHERE split = 'calibration' GROUP BY series))",
+        recursive=True,
+    )
+    return both + "SELECT 'aci' AS method, f.gamma, f.series, y, low - q AS lo, high + q AS hi FROM df f JOIN ds s ON f.series = s.series AND f.gamma = s.gamma AND f.i = s.i UNION ALL SELECT 'split_cp', NULL::DOUBLE, s.series, y, low - q, high + q FROM src s JOIN cq ON cq.series = s.series WHERE split = 'test'"
+
+
+ORACLES["delay_sensitivity_grid"] = b.rounded_sql(" UNION ALL ".join(f"SELECT {h} AS horizon, method, gamma, series, {b.scores_sql()} FROM ({_delay_sql(h)}) GROUP BY method, gamma, series" for h in HORIZONS), "gamma picp mpiw winkler")

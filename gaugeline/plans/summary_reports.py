@@ -216,7 +216,7 @@ def wilcoxon_contrasts(spark, sf_dir):
     rows = b.rows(spark, sf_dir)
     cells = mt.scored(split_cp(rows), b.ALPHA, "series", "bucket").withColumn("arm", F.lit("split_cp")).unionByName(mt.scored(mondrian(rows), b.ALPHA, "series", "bucket").withColumn("arm", F.lit("mondrian")))
     cells = cells.withColumn("entity", F.concat_ws("|", "series", "bucket")).withColumn("gap", F.abs(F.col("picp") - 0.9)).withColumn("family", F.lit("D"))
-    return inf.holm(inf.contrasts(cells, "gap", "arm", [("split_cp", "mondrian")], "entity", "family"), "boot_p", "family")
+    return inf.holm(inf.contrasts(cells, "gap", "arm", [("split_cp", "mondrian")], "entity", "family"), "boot_p", "family", large=False)
 
 
 @report(

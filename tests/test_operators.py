@@ -396,6 +396,7 @@ def test_ranks_of_large_groups_part_by_part(spark, monkeypatch):
     df = spark.createDataFrame(rows, "family string, contrast int, p double, q double")
     both = df.filter("p is not null")
     whole = [inference.holm(df, "p", "family").collect(), inference.spearman(df, "p", "q", "family").collect(), inference.average_rank(both, "p", "r", "family").collect()]
+    assert "__part" not in inference.in_parts(df, "p", "family").columns
     monkeypatch.setattr(inference, "LOT", 20)
     monkeypatch.setattr(inference, "PARTS", 16)
     assert inference.in_parts(df, "p", "family").select("family", "__part").distinct().count() > 20
