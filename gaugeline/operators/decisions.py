@@ -164,10 +164,13 @@ def allocated(requests: DataFrame, sites: DataFrame, policies: dict | None = Non
 
 def allocation_report(chosen: DataFrame, bad: Column, *keys: str) -> DataFrame:
     """Served and bad shares of requests; the bad share of what was served; requests that were not served or badly; mean
-    and ninth decile of the distance of what was served."""
+    and ninth decile of the distance of what was served. Distances are summed as decimals: a mean doesn't depend on the
+    order of rows, and policies that choose the same sites have the same one."""
     served = F.col("site").isNotNull()
     poor = F.coalesce(served & bad, F.lit(False))
     share = lambda c: F.avg(c.cast("double"))
+    nan = F.isnan("km")
+    mean = F.sum(F.when(~nan, F.col("km").cast("decimal(20,9)"))) / F.nullif(F.count("km"), F.lit(0))
     return chosen.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.count("site").alias("n_assigned"),
@@ -175,7 +178,7 @@ def allocation_report(chosen: DataFrame, bad: Column, *keys: str) -> DataFrame:
         share(poor).alias("bad"),
         share(F.when(served, poor)).alias("overflow"),
         share(~served | poor).alias("unserved_or_overflow"),
-        F.avg("km").alias("mean_km"),
+        F.coalesce(F.max(F.when(nan, F.col("km"))), mean.cast("double")).alias("mean_km"),
         F.percentile("km", d(0.9)).alias("p90_km"),
     )
 
