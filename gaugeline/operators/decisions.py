@@ -183,12 +183,19 @@ def allocation_report(chosen: DataFrame, bad: Column, *keys: str) -> DataFrame:
     )
 
 
-def policy_pairs(outcomes: DataFrame, a: str, b: str, value: str, *keys: str, seed: str = "seed") -> DataFrame:
+def policy_contrasts(outcomes: DataFrame, cases: list[tuple[str, str, str]], *keys: str, seed: str = "seed") -> DataFrame:
     """Of two policies on the same requests of each seed: means, the mean, least and greatest difference a - b, in how many
-    seeds it is above 0, and the difference by the mean of a. outcomes: keys, seed, policy, value."""
-    pick = lambda p: F.max(F.when(F.col("policy") == p, F.col(value)))
-    one = outcomes.groupBy(*keys, seed).agg(pick(a).alias("a"), pick(b).alias("b")).withColumn("d", F.col("a") - F.col("b"))
-    return one.groupBy(*keys).agg(F.count("d").alias("n_seeds"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_d"), F.min("d").alias("least_d"), F.max("d").alias("greatest_d"), F.count_if(F.col("d") > 0).alias("n_above"), F.try_divide(F.avg("d"), F.nullif(F.avg("a"), F.lit(0.0))).alias("relative_d")).select(*keys, F.lit(f"{a} - {b}").alias("contrast"), F.lit(value).alias("value"), "n_seeds", "mean_a", "mean_b", "mean_d", "least_d", "greatest_d", "n_above", "relative_d")
+    seeds it is above 0, and the difference by the mean of a. outcomes: keys, seed, policy, values. All cases (a, b, value)
+    come from one pass over outcomes."""
+    pick = lambda p, value: F.max(F.when(F.col("policy") == p, F.col(value)))
+    every = F.array(*[F.struct(F.lit(f"{a} - {b}").alias("contrast"), F.lit(value).alias("value"), pick(a, value).alias("a"), pick(b, value).alias("b")) for a, b, value in cases])
+    one = outcomes.groupBy(*keys, seed).agg(every.alias("__cases")).select(*keys, seed, F.inline("__cases")).withColumn("d", F.col("a") - F.col("b"))
+    return one.groupBy(*keys, "contrast", "value").agg(F.count("d").alias("n_seeds"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"), F.avg("d").alias("mean_d"), F.min("d").alias("least_d"), F.max("d").alias("greatest_d"), F.count_if(F.col("d") > 0).alias("n_above"), F.try_divide(F.avg("d"), F.nullif(F.avg("a"), F.lit(0.0))).alias("relative_d"))
+
+
+def policy_pairs(outcomes: DataFrame, a: str, b: str, value: str, *keys: str, seed: str = "seed") -> DataFrame:
+    """One case of policy_contrasts."""
+    return policy_contrasts(outcomes, [(a, b, value)], *keys, seed=seed)
 
 
 def relative_policies(theta: float) -> dict:

@@ -320,8 +320,7 @@ _CASES = [(a, c, v) for a, c in (("POINT", "INTERVAL"), ("POINT", "MARGIN"), ("M
 )
 def policy_pairs_over_seeds(spark, sf_dir):
     """Policies paired by seed: the same requests, the difference of outcomes, in how many seeds its sign holds."""
-    rows = _outcomes(spark, sf_dir)
-    return union([dc.policy_pairs(rows, a, c, v) for a, c, v in _CASES])
+    return dc.policy_contrasts(_outcomes(spark, sf_dir), _CASES)
 
 
 @report(

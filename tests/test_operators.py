@@ -374,6 +374,26 @@ def test_same_sites_in_another_order_have_the_same_mean(spark):
         assert (r.n_seeds, r.n_above, r.mean_d, r.least_d, r.greatest_d) == (3, 0, 0.0, 0.0, 0.0)
 
 
+def test_contrasts_of_policies_are_one_pass(spark):
+    """Outcomes are computed once for all cases, and each case is what it is alone."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(k, s, p, 0.1 * s + i, 0.3 * i * s) for k in "xy" for s in range(4) for i, p in enumerate(("POINT", "INTERVAL", "MARGIN"))]
+    kind = "k string, seed int, policy string, bad double, mean_km double"
+    plain = spark.createDataFrame(rows, kind)
+    cases = [(a, b, v) for a, b in (("POINT", "INTERVAL"), ("POINT", "MARGIN"), ("MARGIN", "INTERVAL")) for v in ("bad", "mean_km")]
+    got = sorted(decisions.policy_contrasts(plain.mapInArrow(seen, kind), cases, "k").collect())
+    assert made.value == len(rows)
+    assert got == sorted(r for a, b, v in cases for r in decisions.policy_pairs(plain, a, b, v, "k").collect())
+    assert len(got) == 2 * len(cases)
+    assert next(r.mean_d for r in got if (r.k, r.contrast, r.value) == ("y", "MARGIN - INTERVAL", "bad")) == pytest.approx(1)
+
+
 def _grow_one(x, y, leaf, depth):
     """A regression tree, node by node, as a function of a row."""
     best = None
